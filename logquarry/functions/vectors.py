@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logquarry import dims
 from logquarry.functions.text import TERM_PATTERN
 
 
@@ -31,36 +34,29 @@ def similarity_from_distance(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - distance)
 
 
-def hashing_encoder(dims: int = 64, stop_words: list[str] | None = None):
-    """Default text encoder: term counts hashed to ``dims`` places, unit length.
+def hashing_encoder(width: int = 64, stop_words: list[str] | None = None):
+    """Default text encoder: word counts hashed to ``width`` places, unit length.
 
-    Any Arrow UDF ``string -> array<float>`` of one fixed length can replace it.
+    Any Arrow UDF ``string -> array<double>`` (or float) of one fixed length can replace it.
+    Equal texts of a batch are encoded once.
     """
-    import re
+    stops = frozenset(dims.STOP_WORDS if stop_words is None else stop_words)
 
-    from logquarry import dims as fixed
-
-    stops = frozenset(fixed.STOP_WORDS if stop_words is None else stop_words)
-    pattern = TERM_PATTERN
-
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def encode(texts: pd.Series) -> pd.Series:
-        words = re.compile(pattern)
-        places: dict[str, int] = {}
-
-        def place(word):
-            if word not in places:
-                if len(places) > 200_000:
-                    places.clear()
-                places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims
-            return places[word]
+        words = re.compile(TERM_PATTERN)
+        place = lru_cache(maxsize=200_000)(
+            lambda word: int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % width
+        )
 
         def one(text):
-            found = [place(w) for w in words.findall((text or "").lower()) if w not in stops]
-            counts = np.bincount(found, minlength=dims).astype(np.float64) if found else np.zeros(dims)
-            length = np.sqrt(np.dot(counts, counts))
-            return (counts / length if length else counts).astype(np.float32)
-
-        return texts.map(one)
+            places = [place(w) for w in words.findall(text.lower()) if w not in stops]
+            counts = np.bincount(np.array(places, dtype=np.int64), minlength=width).astype(np.float64)
+            length = np.sqrt(counts @ counts)
+            return counts / length if length else counts
+
+        codes, unique = pd.factorize(texts.fillna(""))
+        vectors = [one(t) for t in unique]
+        return pd.Series([vectors[c] for c in codes], index=texts.index)
 
     return encode
