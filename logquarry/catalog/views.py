@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.session import use_utc
+from logquarry.sources.store import spread_small
 
 # Messages by event_id modulo their number.
 MESSAGES = [
@@ -55,19 +56,23 @@ ISSUES = [
 ]
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def files(spark: SparkSession, sf: str, name: str) -> DataFrame:
     use_utc(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spread_small(files(spark, sf, name))
+
+
 def logs(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    e = files(spark, sf, "events")
     event_id, user = F.col("event_id"), F.col("user_id")
     text = F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (event_id % len(MESSAGES) + 1).cast("int"))
     number = F.regexp_extract("props", "[0-9]+", 0)
     padded_user = F.lpad(user.cast("string"), 8, "0")
     kind = F.col("event_type")
-    return e.select(
+    rows = e.select(
         event_id.alias("log_id"),
         F.col("ts").cast("timestamp_ntz").alias("timestamp"),
         F.when((kind == "error") & (event_id % 10 == 3), "CRITICAL")
@@ -87,6 +92,7 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit("[instance: "), padded_user, F.lit("] "), text))
         .alias("message"),
     )
+    return spread_small(rows)
 
 
 def raw_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,6 +21,11 @@ def any_of(phrases: list[str]) -> str:
 
 
 def mentions(text: Column, phrases: list[str]) -> Column:
+    """Any of the lower-case phrases occurs, ignoring case.
+
+    One regex test refers to the text once. A chain or loop of substring tests would repeat
+    the text's own expression for every phrase when the optimizer pushes the test down.
+    """
     return F.lower(text).rlike(any_of(phrases))
 
 
@@ -70,7 +75,8 @@ def terms(text: Column, stop_words: list[str] | None = None) -> Column:
         F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM_PATTERN), F.lit(0)),
         stop_words,
     )
-    return F.concat(words, neighbour_pairs(words))
+    # Bound once as a lambda variable, so that the words are not found again for every use.
+    return F.transform(F.array(words), lambda w: F.concat(w, neighbour_pairs(w)))[0]
 
 
 def neighbour_pairs(words: Column) -> Column:

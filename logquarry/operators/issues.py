@@ -15,6 +15,7 @@ from logquarry.operators.search import top_by_similarity
 from logquarry.operators.tfidf import TfidfModel
 from logquarry.operators.topk import at_least_percentile, top_per_group
 
+SCORE_DIGITS = 6
 PAYLOAD = ("timestamp", "level", "service_type", "message", "importance")
 
 
@@ -63,17 +64,21 @@ def recommendations(issues: DataFrame) -> DataFrame:
 
 
 def with_importance(logs: DataFrame, score: Column | None = None) -> DataFrame:
-    if "importance" in logs.columns and score is None:
+    """Adds ``importance``: the given score, the one already there, or the rule score."""
+    if score is None and "importance" in logs.columns:
         return logs
     if score is None:
         score = rules.rule_score(F.col("level"), F.col("message"))
-    return logs.withColumn("importance", score)
+    return logs.withColumn("importance", F.round(score, SCORE_DIGITS))
 
 
 def importance_filter(logs: DataFrame, score: Column | None = None,
                       q: float = dims.IMPORTANCE_PERCENTILE) -> DataFrame:
-    """Lines at or above the importance percentile. Scored once, shared by all issues."""
-    return at_least_percentile(with_importance(logs, score), "importance", q)
+    """Lines at or above the importance percentile. Scored once, shared by all issues.
+
+    Scores lie within 0..1 and are kept to six digits, which bounds their distinct values.
+    """
+    return at_least_percentile(with_importance(logs, score), "importance", q, few_values=True)
 
 
 def most_important(survivors: DataFrame, k: int) -> Column:
@@ -105,8 +110,8 @@ def fast_filter(
     kept = importance_filter(logs) if survivors is None else survivors
     tfidf = model or TfidfModel.fit(kept, "message")
     hits = top_by_similarity(
-        tfidf.transform(kept, "message"), tfidf.transform(issues, "description"), k,
-        vector=("indices", "weights"), width=max(len(tfidf.vocabulary), 1),
+        tfidf.counts(kept, "message"), tfidf.counts(issues, "description"), k,
+        vector=("indices", "counts"), width=len(tfidf.vocabulary) or 1, scale=tfidf.idf or [0.0],
         threshold=threshold, carry=PAYLOAD,
     ).drop("rank").withColumn("_hit", F.lit(1))
     spare = spare_lines(issues, kept, k).withColumn("_hit", F.lit(0))

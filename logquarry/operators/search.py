@@ -85,7 +85,8 @@ class BatchScorer:
         self.floor = np.where(full, np.maximum(self.floor, worst), self.floor)
 
 
-def query_blocks(queries: DataFrame, query_id: str, vector: str | tuple[str, str], width: int | None):
+def query_blocks(queries: DataFrame, query_id: str, vector: str | tuple[str, str], width: int | None,
+                 factors: np.ndarray | float = 1.0):
     """Blocks of (ids, unit matrix), each at most BLOCK_BYTES large."""
     columns = [vector] if isinstance(vector, str) else list(vector)
     ids, rows, size = [], [], width
@@ -99,10 +100,10 @@ def query_blocks(queries: DataFrame, query_id: str, vector: str | tuple[str, str
         ids.append(r[query_id])
         rows.append(row)
         if len(rows) * size * 8 >= BLOCK_BYTES:
-            yield ids, unit_rows(np.stack(rows))
+            yield ids, unit_rows(np.stack(rows) * factors)
             ids, rows = [], []
     if rows:
-        yield ids, unit_rows(np.stack(rows))
+        yield ids, unit_rows(np.stack(rows) * factors)
 
 
 def top_by_similarity(
@@ -113,6 +114,7 @@ def top_by_similarity(
     query_id: str = "issue_id",
     vector: str | tuple[str, str] = "embedding",
     width: int | None = None,
+    scale: list[float] | None = None,
     threshold: float | None = None,
     carry: tuple[str, ...] = (),
     cell: str | None = None,
@@ -120,7 +122,8 @@ def top_by_similarity(
 ) -> DataFrame:
     """``(query_id, doc_id, *carry, similarity, rank)`` with cosine similarity to six digits.
 
-    ``vector`` names a dense array column, or an (indices, weights) pair with ``width`` places.
+    ``vector`` names a dense array column, or an (indices, weights) pair with ``width`` places;
+    ``scale`` multiplies the places of both sides before vectors are scaled to unit length.
     Equal similarities are ranked by ``doc_id``. More queries than one block holds are scored in
     further passes. ``cell`` and ``probes(matrix) -> bool[query, cell]`` restrict each query to
     the cells it probes (approximate search).
@@ -134,20 +137,22 @@ def top_by_similarity(
         [source.schema[c] for c in kept]
         + [T.StructField("_query", T.LongType()), T.StructField("similarity", T.DoubleType())]
     )
+    factors = 1.0 if scale is None else np.asarray(scale)
     passes = []
-    for ids, matrix in query_blocks(queries, query_id, vector, width):
-        shared = spark.sparkContext.broadcast((matrix, None if probes is None else probes(matrix)))
+    for ids, matrix in query_blocks(queries, query_id, vector, width, factors):
+        shared = spark.sparkContext.broadcast((matrix, factors, None if probes is None else probes(matrix)))
         dense = isinstance(vector, str)
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared, dense=dense) -> Iterator[pa.RecordBatch]:
-            q, allowed = shared.value
+            q, factors, allowed = shared.value
             scorer = BatchScorer(q, k, doc_id, threshold)
             for batch in batches:
                 table = pa.Table.from_batches([batch])
                 if dense:
-                    vectors = unit_rows(dense_rows(batch.column(columns[0]), q.shape[1]))
+                    vectors = dense_rows(batch.column(columns[0]), q.shape[1])
                 else:
                     vectors = sparse_rows(batch.column(columns[0]), batch.column(columns[1]), q.shape[1])
+                vectors = unit_rows(vectors * factors)
                 payload = table.select(kept)
                 if allowed is None:
                     scorer.add(payload, vectors)

@@ -52,28 +52,33 @@ class TfidfModel:
         idf = [math.log((1 + rows) / (1 + documents)) + 1 for _, documents in kept]
         return cls([term for term, _ in kept], idf, stop_words)
 
-    def transform(self, df: DataFrame, column: str, indices: str = "indices", weights: str = "weights") -> DataFrame:
-        """Adds term numbers and their weights, scaled to unit length; no shuffle."""
+    def counts(self, df: DataFrame, column: str, indices: str = "indices", values: str = "counts") -> DataFrame:
+        """Adds the numbers of the vocabulary terms in the text and how often each occurs."""
         if not self.vocabulary:
             empty = F.array()
-            return df.withColumn(indices, empty.cast("array<int>")).withColumn(weights, empty.cast("array<double>"))
+            return df.withColumn(indices, empty.cast("array<int>")).withColumn(values, empty.cast("array<double>"))
         worded = df.withColumn("_words", text.terms(F.col(column), self.stop_words))
         counter = CountVectorizerModel.from_vocabulary(self.vocabulary, "_words", "_counts")
-        idf = F.array(*[F.lit(x) for x in self.idf])
         return (
             counter.transform(worded)
             .withColumn("_counts", F.unwrap_udt("_counts"))
             .withColumn(indices, F.col("_counts.indices"))
-            .withColumn(
-                "_raw",
-                F.zip_with(
-                    F.col("_counts.values"), F.transform(F.col(indices), lambda i: F.get(idf, i)),
-                    lambda tf, w: tf * w,
-                ),
-            )
+            .withColumn(values, F.col("_counts.values"))
+            .drop("_words", "_counts")
+        )
+
+    def transform(self, df: DataFrame, column: str, indices: str = "indices", weights: str = "weights") -> DataFrame:
+        """Adds term numbers and their weights, scaled to unit length; no shuffle."""
+        idf = F.array(*[F.lit(x) for x in self.idf or [0.0]])
+        weighted = F.zip_with(
+            F.col("_values"), F.transform(F.col(indices), lambda i: F.get(idf, i)), lambda tf, w: tf * w
+        )
+        return (
+            self.counts(df, column, indices, "_values")
+            .withColumn("_raw", weighted)
             .withColumn("_length", F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x)))
             .withColumn(weights, F.transform("_raw", lambda x: x / F.col("_length")))
-            .drop("_words", "_counts", "_raw", "_length")
+            .drop("_values", "_raw", "_length")
         )
 
     def term_table(self, spark: SparkSession) -> DataFrame:

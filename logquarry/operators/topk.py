@@ -83,7 +83,20 @@ def exact_percentiles(
     return per_name.groupBy(*keys).agg(*picked)
 
 
-def at_least_percentile(df: DataFrame, value: str, q: float) -> DataFrame:
+def percentile_of_few(df: DataFrame, value: str, q: float) -> Column:
+    """Interpolated percentile, as a one-row subquery, of a column with few distinct values.
+
+    Values are counted first, so the memory of the last step is bounded by their number (at
+    most a million and one for scores within 0..1 kept to six digits).
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.agg(F.percentile(F.col(value).cast("double"), q, F.col("_n"))).scalar()
+
+
+def at_least_percentile(df: DataFrame, value: str, q: float, few_values: bool = False) -> DataFrame:
     """Rows whose value reaches the whole table's interpolated percentile; ties stay."""
-    threshold = exact_percentiles(df, value, {"p": q}).select("p").scalar()
+    if few_values:
+        threshold = percentile_of_few(df, value, q)
+    else:
+        threshold = exact_percentiles(df, value, {"p": q}).select("p").scalar()
     return df.where(F.col(value) >= threshold)
