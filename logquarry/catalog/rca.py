@@ -13,7 +13,8 @@ from logquarry.operators import issues as ops
 from logquarry.operators import reports
 from logquarry.operators.documents import to_documents
 from logquarry.operators.tfidf import TfidfModel, tfidf_terms
-from logquarry.plans.analysis import analyze_issues, history_hits
+from logquarry.plans.analysis import LINE_COLUMNS, analyze_issues, history_hits
+from logquarry.session import stage
 
 WIDTH = 64
 
@@ -66,6 +67,12 @@ def tfidf(spark, sf):
         "weight", F.round("weight", 6))
 
 
+def scored_logs(spark, sf):
+    """The log lines with their importance, staged: the percentile, the term fit and the search
+    each read them."""
+    return stage(ops.with_importance(logs(spark, sf)).select(*LINE_COLUMNS))
+
+
 @query("importance_filter", with_logs(" SELECT log_id, importance FROM kept", ("kept", SQL_KEPT)))
 def importance_filter(spark, sf):
     return ops.importance_filter(logs(spark, sf)).select("log_id", "importance")
@@ -96,7 +103,7 @@ def sql_fast() -> list[tuple[str, str]]:
 @query("fast_filter", with_logs(
     " SELECT issue_id, log_id, similarity, importance, rank FROM relevant", *sql_fast()))
 def fast_filter(spark, sf):
-    return ops.fast_filter(logs(spark, sf), issues(spark)).select(
+    return ops.fast_filter(scored_logs(spark, sf), issues(spark)).select(
         "issue_id", "log_id", "similarity", "importance", "rank")
 
 
@@ -129,7 +136,7 @@ SQL_HYBRID = [
 @query("hybrid_rank", with_logs(
     " SELECT issue_id, log_id, importance, similarity, score, rank FROM ranked WHERE rank <= 50", *SQL_HYBRID))
 def hybrid_rank(spark, sf):
-    return ops.hybrid_rank(logs(spark, sf), issues(spark), hashing_encoder(WIDTH)).select(
+    return ops.hybrid_rank(scored_logs(spark, sf), issues(spark), hashing_encoder(WIDTH)).select(
         "issue_id", "log_id", "importance", "similarity", "score", "rank")
 
 
@@ -222,7 +229,7 @@ SQL_LINES = ("lines", f"SELECT r.*, {sql_category('i.description')} AS category,
     *sql_fast(), SQL_LINES))
 def issue_patterns(spark, sf):
     asked = issues(spark)
-    return ops.issue_patterns(ops.fast_filter(logs(spark, sf), asked), asked)
+    return ops.issue_patterns(ops.fast_filter(scored_logs(spark, sf), asked), asked)
 
 
 # --- reports ---------------------------------------------------------------------------
@@ -264,7 +271,7 @@ SQL_REPORT = [
 
 def _gathered(spark, sf):
     asked = issues(spark)
-    return reports.gathered_issues(ops.fast_filter(logs(spark, sf), asked), asked)
+    return reports.gathered_issues(ops.fast_filter(scored_logs(spark, sf), asked), asked)
 
 
 @query("report_context", with_logs(" SELECT issue_id, context FROM reports", *SQL_REPORT))
@@ -290,7 +297,7 @@ def _flat(analysis):
     e AS error_count, first_time, last_time, events, advice AS recommendations, report AS root_cause_analysis,
     'fast' AS analysis_mode FROM reports""", *SQL_REPORT))
 def analyze(spark, sf):
-    return _flat(analyze_issues(logs(spark, sf), issues(spark)))
+    return _flat(analyze_issues(logs(spark, sf), issues(spark), materialize=stage))
 
 
 

@@ -15,6 +15,9 @@ from logquarry.operators.search import top_by_similarity
 from logquarry.operators.tfidf import TfidfModel
 
 
+LINE_COLUMNS = ["log_id", *ops.PAYLOAD]
+
+
 def analyze_issues(
     logs: DataFrame,
     issues: DataFrame,
@@ -34,8 +37,7 @@ def analyze_issues(
     """
     if mode not in ("fast", "hybrid"):
         raise ValueError(f"unknown mode: {mode}")
-    columns = ["log_id", "timestamp", "level", "service_type", "message", "importance"]
-    scored = ops.with_importance(logs, score).select(*columns)
+    scored = ops.with_importance(logs, score).select(*LINE_COLUMNS)
     if materialize is not None:
         scored = materialize(scored)
     survivors = ops.importance_filter(scored)
