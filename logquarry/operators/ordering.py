@@ -170,3 +170,22 @@ def over_blocks(
 def sort_logs(df: DataFrame, *tiebreak: str) -> DataFrame:
     """Total order by time, null timestamps last; a range-partitioned sort."""
     return df.orderBy(F.col("timestamp").asc_nulls_last(), *[F.col(c) for c in tiebreak])
+
+
+def numbered_by_hash(df: DataFrame, key: str, seed: int, index: str, groups: int = 4096) -> DataFrame:
+    """Rows numbered from 0 in a random but repeatable order.
+
+    The order is that of a hash of the key; equal slices of the hash range are the groups whose
+    counts give the offsets, so the numbering is spread evenly whatever the keys are.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn(
+        "_slice", F.pmod("_h", F.lit(groups)))
+    counts = hashed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_slice").orderBy("_h", key)
+    return (
+        hashed.join(offsets, "_slice")
+        .withColumn(index, F.col("_before") + F.row_number().over(inside) - 1)
+        .drop("_h", "_slice", "_before")
+    )
