@@ -18,7 +18,7 @@ from logquarry.operators import issues as ops  # noqa: E402
 from logquarry.operators.tfidf import TfidfModel  # noqa: E402
 from logquarry.plans.analysis import LINE_COLUMNS, analyze_issues  # noqa: E402
 from logquarry.plans.features import engineer_all  # noqa: E402
-from logquarry.session import build_session, stage  # noqa: E402
+from logquarry.session import build_session, small_table, stage  # noqa: E402
 from logquarry.sources.files import parse_lines  # noqa: E402
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -32,7 +32,7 @@ def sink(df):
 def many_issues(spark, n):
     """The issue texts repeated with a number until there are n."""
     rows = [(i + 1, ISSUES[i % len(ISSUES)] + f" case {i}") for i in range(n)]
-    return spark.createDataFrame(rows, "issue_id long, description string")
+    return small_table(spark, rows, "issue_id long, description string")
 
 
 def main():

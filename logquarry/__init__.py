@@ -9,3 +9,10 @@ Packages:
 * ``streaming`` - Structured Streaming jobs built from the same functions
 * ``catalog``   - the queries that ``__spark_entry__`` registers, each with its SQL check
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Tasks carry the functions they need by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.session import use_utc
+from logquarry.session import small_table, use_utc
 from logquarry.sources.store import spread_small
 
 # Messages by event_id modulo their number.
@@ -134,9 +134,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def issues(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, d) for i, d in enumerate(ISSUES, start=1)], "issue_id long, description string"
-    )
+    return small_table(spark, list(enumerate(ISSUES, start=1)), "issue_id long, description string")
 
 
 def _quoted(text: str) -> str:

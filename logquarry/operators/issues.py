@@ -14,6 +14,7 @@ from logquarry.operators.filters import is_severe
 from logquarry.operators.search import top_by_similarity
 from logquarry.operators.tfidf import TfidfModel
 from logquarry.operators.topk import at_least_percentile, top_per_group
+from logquarry.session import small_table
 
 SCORE_DIGITS = 6
 PAYLOAD = ("timestamp", "level", "service_type", "message", "importance")
@@ -37,7 +38,7 @@ def categorize(issues: DataFrame) -> DataFrame:
 
 def category_table(spark) -> DataFrame:
     rows = [(c, p, k) for p, (c, words) in enumerate(dims.CATEGORY_KEYWORDS) for k in words]
-    return spark.createDataFrame(rows, "category string, priority int, keyword string")
+    return small_table(spark, rows, "category string, priority int, keyword string")
 
 
 def advice(category_column: Column) -> Column:

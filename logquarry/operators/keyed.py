@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions.temporal import seconds_between
-from logquarry.operators.ordering import GROUP, with_global_index
+from logquarry.operators.ordering import BLOCK_ROWS, with_global_index
 from logquarry.operators.sequence import is_error
 
 NULL_SPREAD = 1024
@@ -57,9 +57,9 @@ def request_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def add_request_stats(df: DataFrame, row_key: str = "log_id") -> DataFrame:
+def add_request_stats(df: DataFrame, row_key: str = "log_id", stats_from: DataFrame | None = None) -> DataFrame:
     """Left join of the request statistics; rows without a request get 0 / 1 / 0."""
-    stats = request_stats(df).withColumnRenamed("request_id", "_join_key")
+    stats = request_stats(df if stats_from is None else stats_from).withColumnRenamed("request_id", "_join_key")
     joined = df.withColumn("_join_key", spread_null_key("request_id", row_key)).join(
         stats, "_join_key", "left"
     )
@@ -70,14 +70,22 @@ def add_request_stats(df: DataFrame, row_key: str = "log_id") -> DataFrame:
     })
 
 
-def add_instance_features(indexed: DataFrame) -> DataFrame:
+def number_in_block(blocked: DataFrame, index: str = "log_sequence_id") -> DataFrame:
+    """Adds ``_in_block``: the row's place among the rows of its instance in its block."""
+    inside = Window.partitionBy("_block", "instance_id").orderBy(index)
+    return blocked.withColumn("_in_block", F.row_number().over(inside))
+
+
+def add_instance_features(blocked: DataFrame, stats_from: DataFrame | None = None) -> DataFrame:
     """Statistics of the row's instance and the row's position in it.
 
-    ``indexed`` comes from ``with_global_index(keep_groups=True)``. Rows are first counted per
-    instance and order group; a running sum over those counts gives each group its first
-    position, so an instance that holds much of the table is spread over all its groups.
+    ``blocked`` has ``_block`` and ``_in_block``; ``stats_from`` (the same rows by default) has
+    ``_block``. Rows are counted per instance and block, and a running sum over those counts
+    gives each block its first position, so an instance that holds much of the table is spread
+    over all its blocks. Joining on both keys also spreads the rows without an instance.
     """
-    per_group = indexed.where(F.col("instance_id").isNotNull()).groupBy("instance_id", *GROUP).agg(
+    rows = blocked if stats_from is None else stats_from
+    per_block = rows.where(F.col("instance_id").isNotNull()).groupBy("instance_id", "_block").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.sum(is_error()).alias("_errors"),
         F.count("message").alias("_messages"),
@@ -85,11 +93,11 @@ def add_instance_features(indexed: DataFrame) -> DataFrame:
         F.max("timestamp").alias("_last"),
     )
     whole = Window.partitionBy("instance_id")
-    before = whole.orderBy(*GROUP).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     stats = with_instance_rates(
-        per_group.select(
+        per_block.select(
             "instance_id",
-            *GROUP,
+            "_block",
             F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_instance_before"),
             F.sum("_errors").over(whole).alias("instance_error_count"),
             F.sum("_messages").over(whole).alias("instance_log_count"),
@@ -97,18 +105,16 @@ def add_instance_features(indexed: DataFrame) -> DataFrame:
             F.max("_last").over(whole).alias("instance_last_seen"),
         )
     )
-    joined = indexed.join(stats, ["instance_id", *GROUP], "left")
-    inside = Window.partitionBy("instance_id", *GROUP).orderBy("_key")
-    position = F.when(
-        F.col("instance_id").isNotNull(), F.col("_instance_before") + F.row_number().over(inside)
-    )
+    position = F.when(F.col("instance_id").isNotNull(), F.col("_instance_before") + F.col("_in_block"))
     return (
-        joined.withColumn("instance_log_position", position)
+        blocked.join(stats, ["instance_id", "_block"], "left")
+        .withColumn("instance_log_position", position)
         .withColumn("is_new_instance", F.coalesce(F.col("instance_log_position") == 1, F.lit(False)))
-        .drop("_instance_before")
+        .drop("_instance_before", "_in_block", "_block")
     )
 
 
-def instance_positions(df: DataFrame, tiebreak=("log_id",)) -> DataFrame:
-    indexed = with_global_index(df, tiebreak=tiebreak, keep_groups=True)
-    return add_instance_features(indexed)
+def instance_positions(df: DataFrame, tiebreak=("log_id",), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    indexed = with_global_index(df, tiebreak=tiebreak)
+    blocked = indexed.withColumn("_block", F.floor(F.col("log_sequence_id") / F.lit(block_rows)))
+    return add_instance_features(number_in_block(blocked), stats_from=blocked)

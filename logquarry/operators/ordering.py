@@ -27,6 +27,7 @@ MAX_CUTS = 2_000
 HASH_SPAN = 1 << 30
 
 GROUP = ["_minute", "_part"]
+MINUTE_FACTS = ["_minute_start", "_hour_start", "_minute_rows"]
 BLOCK_ROWS = 100_000
 WIDEST_BEFORE = 19
 WIDEST_AFTER = 4
@@ -37,7 +38,6 @@ def keyed(df: DataFrame, ts: str, tiebreak: list[str]) -> DataFrame:
     return (
         df.withColumn("_at", at)
         .withColumn("_minute", F.floor(F.col("_at") / F.lit(MINUTE)))
-        .withColumn("_key", F.struct("_at", *tiebreak))
     )
 
 
@@ -55,16 +55,17 @@ def assign_groups(
     fullest, total = minutes.agg(F.max("n"), F.sum("n")).first()
     limit = max(group_rows, (total or 0) // MAX_CUTS)
     if (fullest or 0) <= limit:
-        return rows.withColumn("_part", F.lit(0)).drop("_at")
+        return rows.withColumn("_part", F.lit(0))
+    key = F.struct("_at", *tiebreak)
     inside = (
         (F.col("_minute") == F.col("_hot_minute"))
-        & (F.col("_from").isNull() | (F.col("_key") >= F.col("_from")))
-        & (F.col("_to").isNull() | (F.col("_key") < F.col("_to")))
+        & (F.col("_from").isNull() | (key >= F.col("_from")))
+        & (F.col("_to").isNull() | (key < F.col("_to")))
     )
     return (
         rows.join(hot_ranges(rows, minutes, limit, tiebreak), inside, "left")
         .withColumn("_part", F.coalesce("_range", F.lit(0)))
-        .drop("_hot_minute", "_from", "_to", "_range", "_at")
+        .drop("_hot_minute", "_from", "_to", "_range")
     )
 
 
@@ -79,7 +80,7 @@ def hot_ranges(rows: DataFrame, minutes: DataFrame, limit: int, tiebreak: list[s
     )
     by_key = Window.partitionBy("_minute").orderBy("_key")
     cuts = (
-        rows.select("_minute", "_key", "_at", *tiebreak)
+        rows.select("_minute", "_at", *tiebreak, F.struct("_at", *tiebreak).alias("_key"))
         .where(drawn)
         .join(hot, "_minute", "left_semi")
         .select("_minute", F.col("_key").alias("_from"), F.row_number().over(by_key).alias("r"))
@@ -126,17 +127,15 @@ def with_global_index(
 ) -> DataFrame:
     """Row number from 0 in (timestamp, tiebreak) order, null timestamps last.
 
-    ``tiebreak`` must identify a row. With ``keep_groups`` the grouping columns stay, for
-    operators that count inside minutes, hours or keys.
+    ``tiebreak`` must identify a row. With ``keep_groups`` the row's ``_minute_start``,
+    ``_hour_start`` (first number of its minute and hour) and ``_minute_rows`` stay.
     """
     grouped = assign_groups(df, ts, list(tiebreak), group_rows)
+    inside = Window.partitionBy(*GROUP).orderBy("_at", *tiebreak)
     ranked = grouped.join(group_offsets(grouped), GROUP).withColumn(
-        index,
-        F.col("_before") + F.row_number().over(Window.partitionBy(*GROUP).orderBy("_key")) - 1,
-    )
-    if keep_groups:
-        return ranked.drop("_before")
-    return ranked.drop("_before", "_minute_start", "_hour_start", "_minute_rows", "_key", *GROUP)
+        index, F.col("_before") + F.row_number().over(inside) - 1
+    ).drop("_before", "_at", *GROUP)
+    return ranked if keep_groups else ranked.drop(*MINUTE_FACTS)
 
 
 def over_blocks(
@@ -146,10 +145,12 @@ def over_blocks(
     before: int = WIDEST_BEFORE,
     after: int = WIDEST_AFTER,
     block_rows: int = BLOCK_ROWS,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Adds window columns whose frames reach at most ``before`` rows back and ``after`` ahead.
 
     ``frames`` receives the ordered window and returns the columns; one shuffle serves all.
+    With ``keep_block`` the block number ``_block`` stays; the rows are partitioned by it.
     """
     if block_rows <= before + after:
         raise ValueError("block_rows must exceed the widest frame")
@@ -164,7 +165,8 @@ def over_blocks(
     spread = indexed.withColumn("_home", block_of(number)).withColumn("_block", F.explode(seen_by))
     window = Window.partitionBy("_block").orderBy(index)
     out = spread.select("*", *[c.alias(n) for n, c in frames(window).items()])
-    return out.where(F.col("_block") == F.col("_home")).drop("_block", "_home")
+    home = out.where(F.col("_block") == F.col("_home")).drop("_home")
+    return home if keep_block else home.drop("_block")
 
 
 def sort_logs(df: DataFrame, *tiebreak: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logquarry.operators.topk import top_per_group
+from logquarry.session import small_table
 
 BLOCK_BYTES = 32 << 20
+WIDEST = 4096
 DIGITS = 6
 
 
@@ -89,21 +92,22 @@ def query_blocks(queries: DataFrame, query_id: str, vector: str | tuple[str, str
                  factors: np.ndarray | float = 1.0):
     """Blocks of (ids, unit matrix), each at most BLOCK_BYTES large."""
     columns = [vector] if isinstance(vector, str) else list(vector)
-    ids, rows, size = [], [], width
-    for r in queries.select(query_id, *columns).orderBy(query_id).toLocalIterator():
+    asked = queries.select(query_id, *columns)
+    most = max(1, BLOCK_BYTES // (8 * (width or WIDEST)))
+    first = asked.limit(most + 1).collect()
+    # One small job serves the usual case; a longer table is read partition by partition.
+    rows = first if len(first) <= most else asked.toLocalIterator()
+
+    def as_row(r):
         if isinstance(vector, str):
-            row = np.asarray(r[vector], dtype=np.float64)
-        else:
-            row = np.zeros(width)
-            row[list(r[columns[0]])] = list(r[columns[1]])
-        size = len(row)
-        ids.append(r[query_id])
-        rows.append(row)
-        if len(rows) * size * 8 >= BLOCK_BYTES:
-            yield ids, unit_rows(np.stack(rows) * factors)
-            ids, rows = [], []
-    if rows:
-        yield ids, unit_rows(np.stack(rows) * factors)
+            return np.asarray(r[vector], dtype=np.float64)
+        row = np.zeros(width)
+        row[list(r[columns[0]])] = list(r[columns[1]])
+        return row
+
+    rows = iter(rows)
+    while block := list(islice(rows, most)):
+        yield [r[query_id] for r in block], unit_rows(np.stack([as_row(r) for r in block]) * factors)
 
 
 def top_by_similarity(
@@ -165,9 +169,7 @@ def top_by_similarity(
                 yield from scorer.best.combine_chunks().to_batches()
 
         found = source.mapInArrow(score, out_schema)
-        names = spark.createDataFrame(
-            list(enumerate(ids)), T.StructType([T.StructField("_query", T.LongType()), T.StructField(query_id, id_type)])
-        )
+        names = small_table(spark, list(enumerate(ids)), f"_query long, `{query_id}` {id_type.simpleString()}")
         passes.append(found.join(names, "_query").drop("_query"))
     if not passes:
         shape = T.StructType([T.StructField(query_id, id_type), *out_schema.fields[:-2],

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions.temporal import flag, seconds_between
-from logquarry.operators.ordering import over_blocks, with_global_index
+from logquarry.operators.ordering import MINUTE_FACTS, over_blocks, with_global_index
 
 ERROR = "ERROR"
 TRAILING = (5, 10, 20)
@@ -123,9 +123,7 @@ def bucket_positions(df: DataFrame, tiebreak=("log_id",)) -> DataFrame:
     Both follow from the global number and the first number of the minute or hour.
     """
     indexed = with_global_index(df, tiebreak=tiebreak, keep_groups=True)
-    return add_bucket_positions(indexed).drop(
-        "_minute", "_part", "_key", "_minute_start", "_hour_start", "_minute_rows"
-    )
+    return add_bucket_positions(indexed).drop(*MINUTE_FACTS)
 
 
 def add_bucket_positions(indexed: DataFrame) -> DataFrame:

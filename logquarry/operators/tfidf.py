@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logquarry import dims
 from logquarry.functions import text
+from logquarry.session import small_table
 
 
 def term_counts(df: DataFrame, column: str, stop_words: list[str] | None = None) -> DataFrame:
@@ -83,7 +84,7 @@ class TfidfModel:
 
     def term_table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, t, w) for i, (t, w) in enumerate(zip(self.vocabulary, self.idf))]
-        return spark.createDataFrame(rows, "index int, term string, idf double")
+        return small_table(spark, rows, "index int, term string, idf double")
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.term_table(spark).coalesce(1).write.mode("overwrite").parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logquarry.functions import temporal, text
 from logquarry.operators import anomaly, keyed, sequence
-from logquarry.operators.ordering import over_blocks, with_global_index
+from logquarry.operators.ordering import MINUTE_FACTS, over_blocks, with_global_index
 
 FRAMES = [
     sequence.time_since_prev,
@@ -21,7 +21,6 @@ FRAMES = [
     sequence.context_services,
     sequence.context_instances,
 ]
-INTERNAL = ["_minute", "_part", "_key", "_minute_start", "_hour_start", "_minute_rows"]
 
 
 def temporal_features(df: DataFrame) -> DataFrame:
@@ -39,10 +38,10 @@ def engineer_all(
 ) -> DataFrame:
     """The 77 features.
 
-    Shuffles of whole rows: by order group, by block, by (instance, group), by request.
-    Whole-table means and deviations are scalar subqueries. ``materialize`` may write the
-    ordered rows to a table and return its reader; the statistics then read that table
-    instead of repeating the order on the narrow columns.
+    Whole rows are shuffled by order group and by block; the tables per (instance, block) and
+    per request are pre-aggregated and joined back. Whole-table means and deviations are scalar
+    subqueries. ``materialize`` may write the ordered rows to a table and return its reader; the
+    statistics then read that table instead of repeating the order on the narrow columns.
     """
     rows = text_features(temporal_features(df))
     indexed = sequence.add_bucket_positions(
@@ -55,12 +54,13 @@ def engineer_all(
             out.update(build(w))
         return out
 
-    framed = over_blocks(indexed, frames)
+    framed = keyed.number_in_block(over_blocks(indexed, frames, keep_block=True))
     if materialize is not None:
         framed = materialize(framed)
     with_instances = keyed.add_instance_features(framed)
-    with_requests = keyed.add_request_stats(with_instances, tiebreak[0])
+    with_requests = keyed.add_request_stats(
+        with_instances, tiebreak[0], stats_from=framed if materialize else df)
     out = anomaly.message_length_anomaly(with_requests, stats_from=framed if materialize else rows)
     out = anomaly.time_gap_anomaly(out, stats_from=framed)
     out = anomaly.minute_frequency(out, stats_from=framed if materialize else df)
-    return out.drop(*INTERNAL)
+    return out.drop(*MINUTE_FACTS)

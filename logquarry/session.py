@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -64,3 +65,11 @@ def stage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A local relation: its size is known to the optimizer and reading it takes no job."""
+    shape = spark.createDataFrame([], schema).schema
+    if not rows:
+        return spark.createDataFrame([], shape)
+    return spark.createDataFrame(pd.DataFrame(rows, columns=shape.names), shape)
