@@ -59,15 +59,16 @@ def main():
             "duration_quantiles", "alert_error_rate", "tfidf_terms", "vector_topk", "chunk_text", "log_kpis")},
     }
     sink(lines.select(F.length("message")))
-    seconds = {}
+    seconds, first_run = {}, {}
     for name, run in work.items():
-        start = time.time()
-        run()
-        seconds[name] = round(time.time() - start, 3)
-        print(name, seconds[name], file=sys.stderr, flush=True)
+        for times in (first_run, seconds):  # the second run is the measurement
+            start = time.time()
+            run()
+            times[name] = round(time.time() - start, 3)
+        print(name, first_run[name], seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": SF.rstrip("/").split("sf")[-1], "log_rows": rows,
+        "queries": seconds, "first_run": first_run, "sf": SF.rstrip("/").split("sf")[-1], "log_rows": rows,
         "rows_per_sec": {n: round(rows / seconds[n]) for n in (
             "engineer_all", "fast_filter", "hybrid_rank", "analyze_issues_5", "analyze_issues_500")},
     }))

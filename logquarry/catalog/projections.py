@@ -235,14 +235,13 @@ def ml_features(spark, sf):
 
 @query("label_encode", with_logs("""
   SELECT log_id, CAST(dense_rank() OVER (ORDER BY level) - 1 AS INT) AS level_encoded,
-    CAST(dense_rank() OVER (ORDER BY service_type) - 1 AS INT) AS service_type_encoded,
-    CAST(dense_rank() OVER (ORDER BY coalesce(instance_id, 'unknown')) - 1 AS INT) AS instance_id_encoded
+    CAST(dense_rank() OVER (ORDER BY service_type) - 1 AS INT) AS service_type_encoded
   FROM logs"""))
 def label_encode(spark, sf):
     df = logs(spark, sf)
-    for column in ("level", "service_type", "instance_id"):
+    for column in ("level", "service_type"):
         df = apply_labels(df, fit_labels(df, column), column)
-    return df.select("log_id", "level_encoded", "service_type_encoded", "instance_id_encoded")
+    return df.select("log_id", "level_encoded", "service_type_encoded")
 
 
 SQL_SIGNALS = {

@@ -57,10 +57,15 @@ def request_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def add_request_stats(df: DataFrame, row_key: str = "log_id", stats_from: DataFrame | None = None) -> DataFrame:
-    """Left join of the request statistics; rows without a request get 0 / 1 / 0."""
+def add_request_stats(
+    df: DataFrame, row_key: tuple[str, ...] = ("log_id",), stats_from: DataFrame | None = None
+) -> DataFrame:
+    """Left join of the request statistics; rows without a request get 0 / 1 / 0.
+
+    ``row_key`` identifies a row; it only serves to spread the rows without a request.
+    """
     stats = request_stats(df if stats_from is None else stats_from).withColumnRenamed("request_id", "_join_key")
-    joined = df.withColumn("_join_key", spread_null_key("request_id", row_key)).join(
+    joined = df.withColumn("_join_key", spread_null_key("request_id", *row_key)).join(
         stats, "_join_key", "left"
     )
     return joined.drop("_join_key").withColumns({

@@ -13,7 +13,8 @@ MISSING = "unknown"
 def fit_labels(df: DataFrame, column: str) -> DataFrame:
     """``(value, code)``: codes from 0 in sorted order, null as ``unknown``.
 
-    The only single-task sort is over the distinct values.
+    Meant for categories (levels, services, modules): only their distinct values are sorted, in
+    one task.
     """
     values = df.select(F.coalesce(column, F.lit(MISSING)).alias("value")).distinct()
     return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))

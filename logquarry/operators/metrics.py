@@ -99,8 +99,8 @@ def alert_error_rate(runs: DataFrame, width: int = 5, limit: float = 5.0, hold:
 
 
 def alert_slow(runs: DataFrame, width: int = 5, limit: float = 30.0, hold: int = 5) -> DataFrame:
-    """95th percentile of the run time. Equal times of a minute are counted before they are
-    added to the windows."""
+    """95th percentile of the run time. A percentile cannot be added up, so each run joins the
+    ``width`` windows that cover it; equal times of a window are then counted in each task."""
     ends = F.transform(
         F.sequence(F.lit(1), F.lit(width)), lambda i: plus_minutes(minute_of(F.col("ts")), i))
     spread = runs.select(F.explode(ends).alias("window_end"), "duration")

@@ -59,7 +59,7 @@ def engineer_all(
         framed = materialize(framed)
     with_instances = keyed.add_instance_features(framed)
     with_requests = keyed.add_request_stats(
-        with_instances, tiebreak[0], stats_from=framed if materialize else df)
+        with_instances, tiebreak, stats_from=framed if materialize else df)
     out = anomaly.message_length_anomaly(with_requests, stats_from=framed if materialize else rows)
     out = anomaly.time_gap_anomaly(out, stats_from=framed)
     out = anomaly.minute_frequency(out, stats_from=framed if materialize else df)
