@@ -12,14 +12,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from logquarry.catalog import QUERIES  # noqa: E402
-from logquarry.catalog.views import ISSUES, logs, raw_lines  # noqa: E402
+from logquarry.catalog.sources import written_files  # noqa: E402
+from logquarry.catalog.views import ISSUES, logs  # noqa: E402
 from logquarry.functions.vectors import hashing_encoder  # noqa: E402
 from logquarry.operators import issues as ops  # noqa: E402
 from logquarry.operators.tfidf import TfidfModel  # noqa: E402
 from logquarry.plans.analysis import LINE_COLUMNS, analyze_issues  # noqa: E402
 from logquarry.plans.features import engineer_all  # noqa: E402
 from logquarry.session import build_session, small_table, stage  # noqa: E402
-from logquarry.sources.files import parse_lines  # noqa: E402
+from logquarry.sources.files import read_logs  # noqa: E402
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -44,9 +45,10 @@ def main():
     scored = stage(ops.with_importance(lines).select(*LINE_COLUMNS))
     kept = ops.importance_filter(scored)
     model = TfidfModel.fit(kept, "message")
+    folder = written_files(spark, SF)
     five, hundreds = many_issues(spark, 5), many_issues(spark, 500)
     work = {
-        "parse_lines": lambda: sink(parse_lines(raw_lines(spark, SF).withColumnRenamed("line", "value"))),
+        "read_logs": lambda: sink(read_logs(spark, folder)),
         "engineer_all": lambda: sink(engineer_all(lines, materialize=stage)),
         "importance_filter": lambda: sink(ops.importance_filter(scored)),
         "fast_filter": lambda: sink(ops.fast_filter(scored, five, model, survivors=kept)),

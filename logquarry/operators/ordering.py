@@ -28,7 +28,7 @@ HASH_SPAN = 1 << 30
 
 GROUP = ["_minute", "_part"]
 MINUTE_FACTS = ["_minute_start", "_hour_start", "_minute_rows"]
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 20_000  # a block is one unit of work; the copied rows are about 0.1 % of it
 WIDEST_BEFORE = 19
 WIDEST_AFTER = 4
 
