@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import lexicon_bpe, token_store
+from logquarry.llm import lexicon_bpe, pii, quality_rules, token_store
 from logquarry.llm.common import table
-from logquarry.session import scratch_path
+from logquarry.session import scratch_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -49,3 +49,23 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return lexicon_bpe.decode(coded, path).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    found = pii.find(table(spark, sf, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    spans = F.col("spans")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.BASE],
+                        F.sha2(pii.digest(spans, True).cast("binary"), 256).alias("base_sha256"),
+                        pii.digest(spans, False).alias("spans"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics and verdict for all documents; cutoffs from the labelled ones."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    stats = stage(quality_rules.with_stats(docs).drop("text"))
+    cutoffs = stage(quality_rules.select_cutoffs(stats, table(spark, sf, "labels")))
+    return quality_rules.judge(stats, cutoffs).select("doc_id", *quality_rules.STATS, "base_failed", "kept")
