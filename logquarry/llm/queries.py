@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import lexicon_bpe, pii, quality_rules, token_store
+from logquarry.llm import lexicon_bpe, ngram_join, pii, quality_rules, token_store
 from logquarry.llm.common import table
 from logquarry.session import scratch_path, stage
 
@@ -69,3 +69,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     stats = stage(quality_rules.with_stats(docs).drop("text"))
     cutoffs = stage(quality_rules.select_cutoffs(stats, table(spark, sf, "labels")))
     return quality_rules.judge(stats, cutoffs).select("doc_id", *quality_rules.STATS, "base_failed", "kept")
+
+
+@query("op4_ngram_join")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents linked by 3-word shingles at Jaccard 0.9."""
+    return ngram_join.ngram_join(table(spark, sf, "documents"), n=3, num=90, den=100)
