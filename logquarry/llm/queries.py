@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import lexicon_bpe, ngram_join, pii, quality_rules, token_store
+from logquarry.llm import fingerprints, lexicon_bpe, ngram_join, pii, quality_rules, token_store
 from logquarry.llm.common import table
 from logquarry.session import scratch_path, stage
 
@@ -75,3 +75,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     """Documents linked by 3-word shingles at Jaccard 0.9."""
     return ngram_join.ngram_join(table(spark, sf, "documents"), n=3, num=90, den=100)
+
+
+@query("op5_fingerprints")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.edited_fingerprints(table(spark, sf, "documents"))

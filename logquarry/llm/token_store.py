@@ -35,6 +35,7 @@ BLOCKS = ("shard int, block int, first_doc long, last_doc long, null_ids int, n_
           "payload binary")
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
 NO_DICTIONARY = "none"
+SPACE_LETTER = "Ġ"  # stands for a space in the tokens of byte-level tokenizers
 
 
 class Encoder:
@@ -46,35 +47,50 @@ class Encoder:
     cut only where that holds.
     """
 
-    def __init__(self, path: str, cache_units: int = 600_000, long_unit: int = 64):
+    def __init__(self, path: str, width: int = 4, cache_units: int = 800_000, long_unit: int = 64):
         from tokenizers import Tokenizer
 
-        store = process_store(f"tokenizer {path}")
+        store = process_store(f"tokenizer {path} {width}")
         if "tokenizer" not in store:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            store.update(tokenizer=tokenizer, units={})
-        self.tokenizer, self.units = store["tokenizer"], store["units"]
+            begins = np.zeros(tokenizer.get_vocab_size(), bool)  # tokens that begin with a space
+            begins[[i for t, i in tokenizer.get_vocab().items() if t.startswith(SPACE_LETTER)]] = True
+            store.update(tokenizer=tokenizer, units={}, begins=begins)
+        self.tokenizer, self.units, self.begins = store["tokenizer"], store["units"], store["begins"]
+        self.width, self.kind = width, f"<u{width}"
         self.cache_units, self.long_unit = cache_units, long_unit
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        return [np.asarray(e.ids, self.kind).tobytes() for e in found]
+
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """Units that start with a space, in one call: each one's first token is one that begins with a space."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, self.kind)
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(units) or starts[0]:
+            return self._encode(units)
+        raw, cuts = ids.tobytes(), (starts * self.width).tolist()
+        return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
 
     def _learn(self, units: set[str]) -> None:
         if len(self.units) + len(units) > self.cache_units:
             self.units.clear()
         new = list(units)
         plain = [u for u in new if (body := u[1:] if u[:1] == " " else u) and not (body[0].isspace() or body[-1].isspace())]
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            self.units.update(zip(part, self._encode(part)))
+        spaced = [u for u in plain if u[0] == " "]
+        for at in range(0, len(spaced), 2_000):
+            part = spaced[at : at + 2_000]
+            self.units.update(zip(part, self._encode_units(part)))
+        others = [u for u in plain if u[0] != " "]
+        self.units.update(zip(others, self._encode(others)))
         for u in new:
             self.units.setdefault(u, None)  # unsafe to cut around
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian uint32."""
+        """The ids of each text, little-endian, ``width`` bytes each."""
         split = []
         for text in texts:
             first, *rest = text.split(" ")
@@ -153,14 +169,11 @@ def write_tokens(
                        F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     drawn = (rows.where(F.length("text") <= sample_chars)
              .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).select("text").collect())
-    encode = Encoder(tokenizer_path)
-    width = 2 if encode.tokenizer.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
-    ended = np.asarray([] if end_id is None else [end_id], "<u4").tobytes()
-
-    def packed(ids: bytes) -> bytes:
-        return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-
-    dictionary = _dictionary([packed(x + ended) for x in encode([r.text for r in drawn])], dictionary_bytes)
+    size = Encoder(tokenizer_path).tokenizer.get_vocab_size()
+    width = 2 if size <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
+    encode = Encoder(tokenizer_path, width)
+    ended = np.asarray([] if end_id is None else [end_id], encode.kind).tobytes()
+    dictionary = _dictionary([x + ended for x in encode([r.text for r in drawn])], dictionary_bytes)
     dict_hash = _hash(dictionary)
     shape = spark.createDataFrame([], BLOCKS).schema
 
@@ -168,7 +181,7 @@ def write_tokens(
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        encode, arrow = Encoder(tokenizer_path), to_arrow_schema(shape)
+        encode, arrow = Encoder(tokenizer_path, width), to_arrow_schema(shape)
         compress = zstandard.ZstdCompressor(level=level, write_content_size=True, **_loaded(dictionary)).compress
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         ids, counts, frames, held = [], [], [], 0
@@ -188,7 +201,7 @@ def write_tokens(
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc_id, coded in zip(names, encode(texts)):
-                coded = packed(coded + ended)
+                coded += ended
                 ids.append(doc_id)
                 counts.append(len(coded) // width)
                 frames.append(compress(coded))
