@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm.common import process_store, small_batches
-from logquarry.session import scratch_path
+from logquarry.session import scratch_path, stage
 
 END = "</w>"
 LAST = b"\xff"  # ends every word of the automaton
@@ -51,6 +51,7 @@ class Merger:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
+        self.known: set[str] = set()  # letters that Python's Unicode tables have
         self.path, self.library, self.byte_of = path, None, {c: b for b, c in enumerate(letters)}
         self.inner = [vocab.get(c) for c in letters]
         self.last = [vocab.get(c + END) for c in letters]
@@ -65,8 +66,10 @@ class Merger:
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
         if not text.isascii():
-            if any(unicodedata.category(c) == "Cn" for c in text):
-                return self._newer_words(text)
+            if not self.known.issuperset(text):
+                if any(unicodedata.category(c) == "Cn" for c in text):
+                    return self._newer_words(text)
+                self.known.update(text)
             text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # letter by letter: no final form
         return self.word.findall(text.lower())
@@ -137,7 +140,7 @@ def _matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
-    """The file: an int64 header (arcs, words, ids, root), arc keys, targets, skips, id offsets, ids.
+    """The file: an int64 header (arcs, words, ids, root), arc keys, targets, skips, id offsets; the ids as uint32.
 
     Built from the sorted words level by level, longest prefixes first: prefixes with the same
     continuations get one state, which makes the automaton minimal. Words end with a byte that no
@@ -146,7 +149,7 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     names = sorted(w + LAST for w in entries)
     ids = [entries[w[:-1]] for w in names]
     offsets = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-    flat = np.asarray([i for x in ids for i in x], np.int64)
+    flat = np.asarray([i for x in ids for i in x], "<u4")
     keys, targets, skips, root = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     if names:
         letters, lengths = _matrix(names)
@@ -192,13 +195,13 @@ class Lexicon:
     """A compiled lexicon in memory-mapped pages (or any buffer); ``find`` walks many words at once."""
 
     def __init__(self, buffer):
-        whole = np.frombuffer(buffer, np.int64)
-        arcs, self.size, ids, self.root = (int(x) for x in whole[:4])
-        at, parts = 4, []
-        for length in (arcs, arcs, arcs, self.size + 1, ids):
-            parts.append(whole[at : at + length])
-            at += length
-        self.key, self.target, self.skip, self.offsets, self.flat = parts
+        arcs, self.size, _, self.root = np.frombuffer(buffer, np.int64, 4).tolist()
+        at, parts = 32, []
+        for length in (arcs, arcs, arcs, self.size + 1):
+            parts.append(np.frombuffer(buffer, np.int64, length, at))
+            at += 8 * length
+        self.key, self.target, self.skip, self.offsets = parts
+        self.buffer, self.ids_at = buffer, at
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
@@ -227,8 +230,11 @@ class Lexicon:
                 break
         return ordinal
 
-    def ids(self, ordinal: int) -> list[int]:
-        return self.flat[self.offsets[ordinal] : self.offsets[ordinal + 1]].tolist()
+    def ids(self, ordinals: np.ndarray) -> list[bytes]:
+        """The ids of each ordinal as uint32, little-endian."""
+        starts = (self.offsets[ordinals] * 4 + self.ids_at).tolist()
+        ends = (self.offsets[ordinals + 1] * 4 + self.ids_at).tolist()
+        return [self.buffer[a:b] for a, b in zip(starts, ends)]
 
 
 # ---- on Spark --------------------------------------------------------------------------------
@@ -236,7 +242,7 @@ class Lexicon:
 
 def frequent_words(docs: DataFrame, tokenizer_path: str, size: int, text_column: str = "text",
                    longest: int = 40) -> list[bytes]:
-    """The ``size`` most frequent words of at most ``longest`` bytes over all documents, ties by word."""
+    """At most ``size`` words of up to ``longest`` bytes, the most frequent over all documents; equal counts stay together."""
     small_batches(docs.sparkSession)
 
     def counted(batches):
@@ -261,9 +267,17 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, size: int, text_column:
         yield rows()
 
     texts = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    top = (texts.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(size))
-    return [r.word.encode() for r in top.select("word").collect()]
+    counts = stage(texts.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # counts by steps of a sixteenth of a doubling, some hundred rows, tell which count leaves at most ``size`` words
+    step = F.floor(F.log2("n") * 16)
+    least, total = None, 0
+    for row in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        total += row["count"]
+        if total > size:
+            break
+        least = row.step
+    top = counts.where(step >= least if least is not None else F.lit(False)).select("word")
+    return sorted(r.word.encode() for r in top.collect())
 
 
 def publish_lexicon(spark: SparkSession, words: list[bytes], tokenizer_path: str) -> str:
@@ -288,7 +302,7 @@ def publish_lexicon(spark: SparkSession, words: list[bytes], tokenizer_path: str
 class WordEncoder:
     """Texts to ids: space-separated units are kept in a bounded cache, new words go through the lexicon."""
 
-    def __init__(self, tokenizer_path: str, lexicon: Lexicon, key: str, cache_units: int = 500_000):
+    def __init__(self, tokenizer_path: str, lexicon: Lexicon, key: str, cache_units: int = 400_000):
         store = process_store("lexicon units")
         if store.get("key") != key:
             store.clear()
@@ -305,11 +319,14 @@ class WordEncoder:
                     parts += [*rules.words(unit[at : m.start()]), rules.specials[m.group()]]
                     at = m.end()
             parsed.append(parts + rules.words(unit[at:]))
-        names = list({w for parts in parsed for w in parts if isinstance(w, str)})
-        ordinals = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in names]).tolist()
-        ids = {w: self.lexicon.ids(o) if o >= 0 else rules.word_ids(w) for w, o in zip(names, ordinals)}
-        return {unit: np.asarray([i for w in parts for i in (ids[w] if isinstance(w, str) else [w])], "<u4").tobytes()
-                for unit, parts in zip(units, parsed)}
+        names = list(set().union(*parsed))
+        words = [w for w in names if isinstance(w, str)]
+        ordinals = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in words])
+        listed = ordinals >= 0
+        ids = {w: np.asarray([w], "<u4").tobytes() for w in names if not isinstance(w, str)}
+        ids.update(zip((w for w, hit in zip(words, listed.tolist()) if hit), self.lexicon.ids(ordinals[listed])))
+        ids.update((w, np.asarray(rules.word_ids(w), "<u4").tobytes()) for w, hit in zip(words, listed.tolist()) if not hit)
+        return {unit: b"".join(map(ids.__getitem__, parts)) for unit, parts in zip(units, parsed)}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
@@ -319,15 +336,17 @@ class WordEncoder:
         if len(self.units) + len(unseen) > self.cache_units:
             self.units.clear()
             unseen = seen
-        unseen, once = list(unseen), {}
+        unseen = list(unseen)
         for at in range(0, len(unseen), 50_000):
-            for unit, ids in self._learn(unseen[at : at + 50_000]).items():
-                (self.units if len(unit) <= 64 else once)[unit] = ids
-        units = {**once, **{u: self.units[u] for u in seen if u in self.units}} if once else self.units
-        return [b"".join(map(units.__getitem__, parts)) for parts in split]
+            self.units.update(self._learn(unseen[at : at + 50_000]))
+        out = [b"".join(map(self.units.__getitem__, parts)) for parts in split]
+        for unit in unseen:
+            if len(unit) > 64:  # long ones aren't kept
+                del self.units[unit]
+        return out
 
 
-def encode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = 200_000, text_column: str = "text",
+def encode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = 300_000, text_column: str = "text",
            into: str = "ids") -> DataFrame:
     """``docs`` with column ``into``: the text's ids as uint32, little-endian (binary).
 
@@ -373,9 +392,15 @@ def decode(docs: DataFrame, tokenizer_path: str, ids_column: str = "ids", into:
 
     def decoded(batches):
         tokens = Merger(tokenizer_path).tokens
+        known = np.zeros(max(tokens) + 1, bool)
+        known[list(tokens)] = True
+        token = [tokens.get(i) for i in range(len(known))]
         for batch in batches:
-            found = (np.frombuffer(x or b"", "<u4").tolist() for x in batch.column(at).to_pylist())
-            texts = [" ".join([tokens[i] for i in ids if i in tokens]) for ids in found]
+            texts = []
+            for x in batch.column(at).to_pylist():
+                ids = np.frombuffer(x or b"", "<u4")
+                ids = ids[ids < len(known)]
+                texts.append(" ".join(map(token.__getitem__, ids[known[ids]].tolist())))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, into])
 
