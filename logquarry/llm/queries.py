@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import fingerprints, lexicon_bpe, ngram_join, pii, quality_rules, token_store
+from logquarry.llm import fingerprints, lexicon_bpe, mixing, ngram_join, pii, quality_rules, token_store
 from logquarry.llm.common import table
 from logquarry.session import scratch_path, stage
 
@@ -81,3 +81,15 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.edited_fingerprints(table(spark, sf, "documents"))
+
+
+#: Weights of the mix's sources in order, repeating; a document is taken at most MOST times.
+WEIGHTS, MOST = [1.0, 2.0, 3.0], 3.0
+
+
+@query("op2_mixing")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    keyed, by_size = mixing.plan(table(spark, sf, "documents"), WEIGHTS, MOST)
+    return keyed.join(by_size, ["_source", "_size"]).select(
+        "doc_id", F.col("_size").alias("size"), "source_size", "target", (mixing.COPIES * F.col("_size")).alias("taken"))
