@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import fingerprints, lexicon_bpe, mixing, ngram_join, pii, quality_rules, token_store
+from logquarry.llm import chat, fingerprints, lexicon_bpe, mixing, ngram_join, pii, quality_rules, token_store, warc
 from logquarry.llm.common import table
 from logquarry.session import scratch_path, stage
 
@@ -93,3 +93,76 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     keyed, by_size = mixing.plan(table(spark, sf, "documents"), WEIGHTS, MOST)
     return keyed.join(by_size, ["_source", "_size"]).select(
         "doc_id", F.col("_size").alias("size"), "source_size", "target", (mixing.COPIES * F.col("_size")).alias("taken"))
+
+
+def archive(pages: DataFrame) -> DataFrame:
+    """WARC records of the pages: a full response of each, and a later or earlier revisit under a variant of its URL."""
+    base = pages.select("page_id", "url", F.sha1("html").alias("digest"), F.substring(F.md5("html"), 1, 16).alias("tag"))
+    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    i = F.col("page_id")
+    etag = F.when(i % 3 != 0, F.concat(F.lit('"'), F.col("tag"), F.lit('"')))
+    changed = F.when(i % 7 == 0, F.lit("W/\"changed\"")).otherwise(F.concat(F.lit("W/"), etag))
+    modified = F.when(i % 4 != 0, F.concat(F.lit("day "), (i % 28).cast("string")))
+    present = lambda *h: F.filter(F.array(*h), lambda x: x["value"].isNotNull())
+    full = base.select(
+        (i * 2).alias("record_id"), F.lit("response").alias("kind"), "url", F.timestamp_seconds(i * 60).alias("time"), "digest",
+        present(pair("Content-Type", F.lit("text/html")), pair("ETag", etag), pair("Last-Modified", modified),
+                pair("Date", i.cast("string"))).alias("headers"))
+    later = base.select(
+        (i * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"),
+        F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#seen")).alias("url"),
+        F.timestamp_seconds(i * 60 + F.when(i % 11 == 0, -90).otherwise(3600)).alias("time"),
+        F.when(i % 5 != 0, F.col("digest")).alias("digest"),
+        present(pair("content-type", F.lit("message/http")), pair("etag", F.when(i % 3 != 0, changed)),
+                pair("last-modified", modified), pair("date", F.concat(F.lit("later "), i.cast("string")))).alias("headers"))
+    return full.union(later)
+
+
+OP6_SQL = r"""
+WITH base AS (
+  SELECT page_id AS i, url, sha1(html) AS digest, left(md5(html), 16) AS tag,
+    regexp_replace(trim(url), '#.*$', '') AS plain FROM pages),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(plain, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?]*)', 1)), '^www\.', ''), ':(?:80|443)$', '') AS host,
+    regexp_replace(plain, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?]*', '') AS rest FROM base),
+keyed AS (
+  SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)(?:=|$)'))) AS query,
+    regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') AS path FROM parts),
+full_ AS (
+  SELECT i * 2 AS id, i * 60 AS at, host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS url_key,
+    digest, CASE WHEN i % 3 <> 0 THEN '"' || tag || '"' END AS etag,
+    CASE WHEN i % 4 <> 0 THEN 'day ' || (i % 28) END AS modified FROM keyed),
+later AS (
+  SELECT i * 2 + 1 AS id, i, i * 60 + CASE WHEN i % 11 = 0 THEN -90 ELSE 3600 END AS at,
+    host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS url_key,
+    CASE WHEN i % 5 <> 0 THEN digest END AS digest,
+    CASE WHEN i % 3 <> 0 THEN CASE WHEN i % 7 = 0 THEN '"changed"' ELSE '"' || tag || '"' END END AS etag,
+    CASE WHEN i % 4 <> 0 THEN 'day ' || (i % 28) END AS modified FROM keyed),
+paired AS (
+  SELECT l.*, f.id AS stored, coalesce(f.etag = l.etag, f.modified = l.modified, f.digest = l.digest) AS agree,
+    f.etag AS stored_etag, f.modified AS stored_modified,
+    row_number() OVER (PARTITION BY l.id ORDER BY f.at DESC, f.id DESC) AS place
+  FROM later l LEFT JOIN full_ f ON f.url_key = l.url_key AND f.at <= l.at),
+judged AS (
+  SELECT *, CASE WHEN stored IS NULL THEN 'no_response' WHEN agree IS NULL THEN 'unchecked'
+    WHEN agree THEN 'resolved' ELSE 'mismatch' END AS status FROM paired WHERE place = 1)
+SELECT id AS record_id, url_key, CASE WHEN status IN ('resolved', 'unchecked') THEN stored END AS resolved_id, status,
+  CASE WHEN status IN ('resolved', 'unchecked') THEN concat_ws(chr(10), 'content-type: text/html', 'date: later ' || i,
+    'etag: ' || coalesce('W/' || etag, stored_etag), 'last-modified: ' || coalesce(modified, stored_modified)) END AS headers
+FROM judged"""
+
+
+@query("op6_warc_revisits", OP6_SQL)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """All revisit records of the pages' archive, resolved."""
+    found = warc.resolve_revisits(archive(table(spark, sf, "pages")))
+    lines = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.withColumn("headers", lines)
+
+
+@query("op9_chat_repair")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations repaired and formatted, one row per turn that was given."""
+    found = chat.repair(table(spark, sf, "conversations"))
+    return found.select("conv_id", "turn", "role", "new_role", "action", "cost", "piece")
