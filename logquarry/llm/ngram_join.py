@@ -98,15 +98,18 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(hashes), np.concatenate(places)) if hashes else (none, none.astype(np.int64))
 
 
-def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text."""
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts end to end, and where each begins and the last one ends."""
     texts = texts.cast(pa.large_string())
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     body = texts.buffers()[2]
     data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
+    return data, offsets - offsets[0]
+
+
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """The sorted distinct n-gram hashes of each text."""
+    data, offsets = text_bytes(texts)
     words, places = word_hashes(data, offsets)
     borders = np.searchsorted(places, offsets)  # words of text i: borders[i] to borders[i + 1]
     grams = np.zeros(0, np.uint64)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import chat, fingerprints, lexicon_bpe, mixing, ngram_join, pii, quality_rules, token_store, warc
+from logquarry.llm import (
+    chat, cotraining, fingerprints, lexicon_bpe, mixing, ngram_join, pii, quality_rules, token_store, warc)
 from logquarry.llm.common import table
 from logquarry.session import scratch_path, stage
 
@@ -166,3 +167,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     """All conversations repaired and formatted, one row per turn that was given."""
     found = chat.repair(table(spark, sf, "conversations"))
     return found.select("conv_id", "turn", "role", "new_role", "action", "cost", "piece")
+
+
+@query("op3_cotraining")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all documents by the co-trained classifier."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return cotraining.score(docs, table(spark, sf, "labels"))
