@@ -101,20 +101,27 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
     """Fingerprint of every text and of its edited text, in which the next document's start replaces the second half.
 
     Of the next document only as much text moves as is needed. Where rows share an id, the next
-    document of others is the one of them with the smallest text.
+    document of others is the one of them with the smallest text. Rows with a null id have no next one.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    # ids of the right name and type stay bare columns: an alias that only one side of a join needs would keep the
+    # two sides' exchanges apart
+    plain = id_column == "doc_id" and dict(docs.dtypes)["doc_id"] == "bigint"
+    rows = docs.select(F.col("doc_id") if plain else F.col(id_column).cast("long").alias("doc_id"),
+                       F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     lengths = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"))
     need = lengths.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
     asked = next_ids(docs, id_column).join(need, "doc_id").select(
         F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), F.floor(F.col("n_chars") / 2).alias("half"))
-    marked = with_fingerprint(rows)
+    marked = with_fingerprint(rows.where("doc_id is not null"))
     given = marked.join(asked, "doc_id").select("for_id", F.struct(
         F.expr("left(text, cast(half as int))").alias("start"), F.col("fingerprint").alias("next_fingerprint")).alias("given"))
     given = given.groupBy("for_id").agg(F.min("given").alias("given")).select(F.col("for_id").alias("doc_id"), "given.*")
     half = F.expr("cast(floor(n_chars / 2) as int)")
     # both joins read the same columns of the same rows, so the texts are shingled and dealt out once
-    both = marked.join(given, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long")).withColumn(
+    both = marked.join(given, "doc_id", "left")
+    unnamed = with_fingerprint(rows.where("doc_id is null"))
+    both = both.union(unnamed.select(*marked.columns, F.lit(None).cast("string"), F.lit(None).cast("string")))
+    both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn(
         "edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"),
                            F.coalesce(F.substring("start", F.lit(1), half), F.lit(""))))
     done = with_fingerprint(both.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", "edited"), "edited",

@@ -157,11 +157,11 @@ def plan(docs: DataFrame, weights: list[float], most: float = 3.0, **columns) ->
     return keyed, stage(classes.join(last, ["_source", "_size"], "left").drop("n", "extra"))
 
 
-COPIES = F.expr("base + case when _draw <= last then 1 else 0 end")
+COPIES = "base + case when _draw <= last then 1 else 0 end"
 
 
 def mix(docs: DataFrame, weights: list[float], most: float = 3.0, **columns) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it."""
     _, by_size = plan(docs, weights, most, **columns)
     found = with_keys(docs, **columns).join(by_size.select("_source", "_size", "base", "last"), ["_source", "_size"])
-    return found.where(COPIES > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), COPIES.cast("int")))).select(*docs.columns)
+    return found.withColumn("_copies", F.expr(COPIES)).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

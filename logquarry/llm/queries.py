@@ -93,7 +93,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     """How many words the mix takes of every document."""
     keyed, by_size = mixing.plan(table(spark, sf, "documents"), WEIGHTS, MOST)
     return keyed.join(by_size, ["_source", "_size"]).select(
-        "doc_id", F.col("_size").alias("size"), "source_size", "target", (mixing.COPIES * F.col("_size")).alias("taken"))
+        "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.expr(mixing.COPIES) * F.col("_size")).alias("taken"))
 
 
 def archive(pages: DataFrame) -> DataFrame:
