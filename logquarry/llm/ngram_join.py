@@ -261,12 +261,13 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     kept = kept.select(
         F.when(F.col("kept.fan") == 0, F.col("kept.keys")).otherwise(F.xxhash64("kept.keys", part)).alias("block"),
         F.when(F.col("kept.fan") > 0, F.col("kept.keys")).alias("cut_key"), "node", "n", "pos")
-    in_block = W.partitionBy("block").orderBy("pos", "node")
-    blocks = kept.select(
-        "*", F.first(F.struct("node", "n", "pos")).over(in_block).alias("pivot"),
-        F.lead("node").over(in_block).alias("next"))
-    # a pivot is the row with the fewest rare columns: in a group of near copies, the one they copy
-    shared = stage(blocks.where("next is not null or pivot.node <> node or cut_key is not null").select(
+    # a pivot is the row with the fewest rare columns: in a group of near copies, the one they copy.
+    # a row stays if the next smaller or the next larger set of its block may reach the threshold with its own
+    by_size = W.partitionBy("block").orderBy("n", "node")
+    blocks = kept.select("*", F.min(F.struct("pos", "node", "n")).over(W.partitionBy("block")).alias("pivot"),
+                         F.lag("n").over(by_size).alias("smaller"), F.lead("n").over(by_size).alias("larger"))
+    fits = (den * F.col("smaller") >= num * F.col("n")) | (den * F.col("n") >= num * F.col("larger"))
+    shared = stage(blocks.where(fits | F.col("cut_key").isNotNull()).select(
         F.coalesce("cut_key", "block").alias("key"), "cut_key", "node", "n", "pos",
         F.col("pivot.node").alias("other"), F.col("pivot.n").alias("other_n"), F.col("pivot.pos").alias("other_pos")))
     possible = _possible(num, den)
@@ -276,9 +277,19 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
                                                    F.col("head.n").alias("other_n"), F.col("head.pos").alias("other_pos"))
     narrow = ["node", "n", "pos", "other", "other_n", "other_pos"]
     pairs = _pairs(shared.select(*narrow).union(heads.select(*narrow)).where(possible))
-    nodes = stage(shared.select("node").distinct())
-    whole = stage(_whole_sets(rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), n))
-    links = stage(_verified(pairs, whole, num, den))
+    whole = None  # the sets of all documents that were in a pair
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        nonlocal whole
+        pairs = stage(pairs)
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        if whole is not None:
+            wanted = wanted.join(whole.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+        new = stage(_whole_sets(rows.join(stage(wanted), "doc_id", "left_semi"), n))
+        whole = new if whole is None else whole.union(new)
+        return stage(_verified(pairs, whole, num, den))
+
+    links = verified(pairs)
     labels = components(links)
     # pivots of whole blocks have met every row of theirs; the rows that are left need the other pairs
     open_rows, pivots = shared.where("cut_key is not null or node <> other").select("key", "node", "n", "pos"), 4
@@ -295,7 +306,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
             F.col("label").alias("other_label"), F.col("rank").alias("other_rank"))
         pairs = _pairs(ranked.join(heads, "key").where((F.col("rank") > F.col("other_rank")) &
                                                        (F.col("label") != F.col("other_label")) & possible))
-        found = stage(_verified(pairs, whole, num, den))
+        found = verified(pairs)
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
