@@ -35,12 +35,13 @@ OWN = ("_source", "_size", "_draw")
 
 
 def with_keys(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """``docs`` with its source as a key that isn't null, its number of words, and a number in [0, 1) drawn from its id."""
-    return docs.drop(*OWN).withColumns({
-        "_source": F.coalesce(F.concat(F.lit("="), F.col(source_column).cast("string")), F.lit("~")),  # "~" sorts last
-        "_size": F.size(words(F.col(text_column))).cast("long"),
-        "_draw": F.xxhash64(F.col(id_column)) / F.lit(2.0**64) + F.lit(0.5),
-    })
+    """The rows of ``docs`` (``_row``), with the source as a key that isn't null, the number of words, and a number
+    in [0, 1) drawn from the id."""
+    return docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.coalesce(F.concat(F.lit("="), F.col(source_column).cast("string")), F.lit("~")).alias("_source"),  # "~" sorts last
+        F.size(words(F.col(text_column))).cast("long").alias("_size"),
+        (F.xxhash64(F.col(id_column)) / F.lit(2.0**64) + F.lit(0.5)).alias("_draw"))
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def copies_by_size(hist: DataFrame, state: DataFrame, most: float) -> DataFrame:
 
     A group is the distinct sizes of one source, at most as many as the words of its longest document.
     """
-    rate = F.when(F.col("full"), F.lit(float(most))).otherwise(
+    rate = F.when(F.col("_size") == 0, F.lit(1.0)).when(F.col("full"), F.lit(float(most))).otherwise(
         F.least(F.exp(F.least(F.col("lambda") * F.col("_size") / F.col("mean"), F.lit(700.0))), F.lit(float(most))))
     rated = hist.join(state, "_source").select("_source", "_size", "n", "source_size", "target", rate.alias("rate"))
 
@@ -149,7 +150,7 @@ def _last_drawn(keyed: DataFrame, classes: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, weights: list[float], most: float = 3.0, **columns) -> tuple[DataFrame, DataFrame]:
     """The keyed documents (id, keys) and the plan: per source and size base copies, last draw, source_size, target."""
-    keyed = stage(with_keys(docs, **columns).select(columns.get("id_column", "doc_id"), *OWN))
+    keyed = stage(with_keys(docs, **columns).select(f"_row.{columns.get('id_column', 'doc_id')}", *OWN))
     hist = stage(keyed.groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("n")))
     state = multipliers(hist, stage(targets(hist, weights, most)), most)
     classes = stage(copies_by_size(hist, state, most))
@@ -164,4 +165,4 @@ def mix(docs: DataFrame, weights: list[float], most: float = 3.0, **columns) ->
     """``docs`` with every row repeated as often as the mix takes it."""
     _, by_size = plan(docs, weights, most, **columns)
     found = with_keys(docs, **columns).join(by_size.select("_source", "_size", "base", "last"), ["_source", "_size"])
-    return found.withColumn("_copies", F.expr(COPIES)).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return found.withColumn("_copies", F.expr(COPIES)).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
