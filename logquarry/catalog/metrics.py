@@ -93,10 +93,13 @@ def rating_median(spark, sf):
     return metrics.rating_median(runs(spark, sf))
 
 
-@query("alert_silence", with_runs(f"""
-  SELECT window_start FROM (SELECT unnest(generate_series(min({sql_tumbling(10)}), max({sql_tumbling(10)}),
-    INTERVAL '10 minutes')) AS window_start FROM runs)
-  WHERE window_start NOT IN (SELECT {sql_tumbling(10)} FROM runs)"""))
+@query("alert_silence", with_runs("""
+  , minutes AS (SELECT DISTINCT date_trunc('minute', ts) AS m FROM runs WHERE ts IS NOT NULL),
+  ends AS (SELECT unnest(generate_series(min(m) + INTERVAL 1 MINUTE, max(m) + INTERVAL 21 MINUTES, INTERVAL 1 MINUTE)) AS w FROM minutes),
+  counted AS (SELECT w, (SELECT count(*) FROM runs r WHERE date_trunc('minute', r.ts) < w
+    AND date_trunc('minute', r.ts) >= w - INTERVAL 10 MINUTES) AS runs FROM ends)
+  SELECT w AS window_end, runs, runs = 0 AS breached,
+    sum(CAST(runs = 0 AS INT)) OVER (ORDER BY w ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) = 11 AS firing FROM counted"""))
 def alert_silence(spark, sf):
     return metrics.alert_silence(runs(spark, sf))
 

@@ -327,9 +327,9 @@ SQL_HISTORY = [
 
 
 @query("history_context", with_logs(f"""
-  SELECT issue_id, substring(string_agg('Historical Log ' || r || ' (Similarity: ' || printf('%.3f', round(similarity, 3)) || '):' || {NL} ||
+  SELECT issue_id, string_agg('Historical Log ' || r || ' (Similarity: ' || printf('%.3f', round(similarity, 3)) || '):' || {NL} ||
     '  ' || document || {NL} || '  Service: ' || service_type || {NL} || '  Level: ' || level || {NL} ||
-    '  Timestamp: ' || {SQL_STAMP} || {NL}, {NL} ORDER BY r), 1, 2000) AS history
+    '  Timestamp: ' || {SQL_STAMP} || {NL}, {NL} ORDER BY r) AS history
   FROM hits GROUP BY issue_id""", *SQL_HISTORY))
 def history_context(spark, sf):
     docs = to_documents(logs(spark, sf))

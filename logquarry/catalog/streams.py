@@ -26,12 +26,16 @@ def str_parse(spark, sf):
         "timestamp", "level", "message", "service_type", "instance_id", "request_id")
 
 
-@query("str_dedup", with_logs(" SELECT timestamp, level, message, service_type, instance_id FROM logs"))
+@query("str_dedup", with_logs("""
+  SELECT timestamp, level, concat(message, tail) AS message, service_type, instance_id
+  FROM logs, (VALUES (''), (concat(repeat('.', 120), 'x')), (concat(repeat('.', 120), 'y'))) AS v(tail)"""))
 def str_dedup(spark, sf):
-    """Every line arrives twice."""
+    """Every line arrives twice, and in two longer forms that differ in the last character only."""
     lines = jobs.read_stream(spark, written_files(spark, sf))
-    twice = lines.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    return drained(spark, jobs.dedup(twice), "str-dedup").select(
+    tails = ["", "", "." * 120 + "x", "." * 120 + "y"]
+    more = lines.withColumn("_tail", F.explode(F.array(*[F.lit(t) for t in tails]))).withColumns(
+        {c: F.concat(c, "_tail") for c in ("message", "raw_log")}).drop("_tail")
+    return drained(spark, jobs.dedup(more), "str-dedup").select(
         "timestamp", "level", "message", "service_type", "instance_id")
 
 

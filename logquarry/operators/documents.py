@@ -21,10 +21,13 @@ def log_key(df: DataFrame) -> Column:
 
 def to_documents(df: DataFrame, chunking: bool = False, size: int = dims.CHUNK_SIZE,
                  overlap: int = dims.CHUNK_OVERLAP) -> DataFrame:
-    """One document per line, or one per chunk for texts longer than the chunk size."""
-    body = text.truncate(
-        text.log_text(F.col("service_type"), F.col("level"), F.col("message"), F.col("instance_id"))
-    )
+    """One document per line, or one per chunk for texts longer than the chunk size.
+
+    Chunks cover the whole text; without chunking a document's text is cut (``text.truncate``).
+    """
+    body = text.log_text(F.col("service_type"), F.col("level"), F.col("message"), F.col("instance_id"))
+    if not chunking:
+        body = text.truncate(body)
     keyed = df.withColumn("log_hash", log_key(df)).withColumn("_text", body)
     optional = [c for c in ("request_id", "source_file") if c in df.columns]
     kept = ["log_id", "timestamp", "service_type", "level", "instance_id", *optional, "log_hash"]

@@ -29,8 +29,8 @@ def filter_logs(
 ) -> DataFrame:
     """Conjunction of the given filters; days are inclusive.
 
-    All are plain predicates on stored columns, so they reach the scan (and partitions, when
-    the table is laid out by date).
+    All are plain predicates on stored columns, so they reach the scan; a table laid out by
+    date (``save_logs(by_date=True)``) is also cut by that column's partitions.
     """
     if levels is not None:
         df = df.where(F.col("level").isin(list(levels)))
@@ -40,9 +40,13 @@ def filter_logs(
         df = df.where(F.col("instance_id").isNotNull() & F.col("instance_id").isin(list(instances)))
     if start is not None:
         df = df.where(F.col("timestamp") >= F.lit(str(start)).cast("timestamp_ntz"))
+        if "date" in df.columns:
+            df = df.where(F.col("date") >= F.lit(str(start)).cast("date"))
     if end is not None:
         next_day = F.date_add(F.lit(str(end)).cast("date"), 1).cast("timestamp_ntz")
         df = df.where(F.col("timestamp") < next_day)
+        if "date" in df.columns:
+            df = df.where(F.col("date") <= F.lit(str(end)).cast("date"))
     if text:
         df = df.where(contains_ignoring_case(F.col("message"), text))
     return df

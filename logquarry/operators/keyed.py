@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,18 +11,6 @@ from logquarry.functions.temporal import seconds_between
 from logquarry.operators.ordering import BLOCK_ROWS, with_global_index
 from logquarry.operators.sequence import is_error
 
-NULL_SPREAD = 1024
-
-
-def spread_null_key(key: str, *spread_by: str) -> Column:
-    """The key, or one of many stand-ins that match nothing, so null rows do not gather in
-    one task of a join."""
-    stand_in = F.concat(
-        F.lit("\u0001"), F.pmod(F.xxhash64(*spread_by), F.lit(NULL_SPREAD)).cast("string")
-    )
-    return F.coalesce(F.col(key), stand_in)
-
-
 def instance_stats(df: DataFrame) -> DataFrame:
     """Per instance: errors, rows, first and last time, life span in seconds, error rate."""
     stats = df.where(F.col("instance_id").isNotNull()).groupBy("instance_id").agg(
@@ -58,17 +48,19 @@ def request_stats(df: DataFrame) -> DataFrame:
 
 
 def add_request_stats(
-    df: DataFrame, row_key: tuple[str, ...] = ("log_id",), stats_from: DataFrame | None = None
+    df: DataFrame, stats_from: DataFrame | None = None, materialize: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """Left join of the request statistics; rows without a request get 0 / 1 / 0.
+    """Left join of the request statistics; rows without a request get 0 / 1 / 0 and stay out of the join.
 
-    ``row_key`` identifies a row; it only serves to spread the rows without a request.
+    With ``materialize`` the statistics are a table of their own, so both sides of the join are plain
+    shuffles and Spark splits a busy request's rows over tasks.
     """
-    stats = request_stats(df if stats_from is None else stats_from).withColumnRenamed("request_id", "_join_key")
-    joined = df.withColumn("_join_key", spread_null_key("request_id", *row_key)).join(
-        stats, "_join_key", "left"
-    )
-    return joined.drop("_join_key").withColumns({
+    stats = request_stats(df if stats_from is None else stats_from)
+    if materialize is not None:
+        stats = materialize(stats)
+    joined = df.where(F.col("request_id").isNotNull()).join(stats, "request_id", "left").unionByName(
+        df.where(F.col("request_id").isNull()), allowMissingColumns=True)
+    return joined.withColumns({
         "request_error_count": F.coalesce("request_error_count", F.lit(0)).cast("double"),
         "request_log_count": F.coalesce("request_log_count", F.lit(1)).cast("double"),
         "request_error_rate": F.coalesce("request_error_rate", F.lit(0.0)),
@@ -121,5 +113,5 @@ def add_instance_features(blocked: DataFrame, stats_from: DataFrame | None = Non
 
 def instance_positions(df: DataFrame, tiebreak=("log_id",), block_rows: int = BLOCK_ROWS) -> DataFrame:
     indexed = with_global_index(df, tiebreak=tiebreak)
-    blocked = indexed.withColumn("_block", F.floor(F.col("log_sequence_id") / F.lit(block_rows)))
+    blocked = indexed.withColumn("_block", F.call_function("div", F.col("log_sequence_id"), F.lit(block_rows)))
     return add_instance_features(number_in_block(blocked), stats_from=blocked)

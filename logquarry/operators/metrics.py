@@ -130,13 +130,15 @@ def rating_median(runs: DataFrame, minutes: int = 60) -> DataFrame:
     return exact_percentiles(rated, "rating", {"median": 0.5}, ["window_start"])
 
 
-def alert_silence(runs: DataFrame, minutes: int = 10) -> DataFrame:
-    """Intervals between the first and the last run in which nothing ran."""
-    busy = runs.select(tumbling(F.col("ts"), minutes).alias("window_start")).distinct()
-    step = F.make_dt_interval(mins=F.lit(minutes))
-    span = busy.agg(F.min("window_start").alias("a"), F.max("window_start").alias("b"))
-    every = span.where(F.col("a").isNotNull()).select(F.explode(F.sequence("a", "b", step)).alias("window_start"))
-    return every.join(busy, "window_start", "left_anti")
+def alert_silence(runs: DataFrame, width: int = 10, hold: int = 10) -> DataFrame:
+    """Every minute from the first run to ``width + hold`` minutes after the last: no run in the ``width``
+    minutes before it (``breached``), and that for the last ``hold`` minutes (``firing``)."""
+    busy = runs.where(F.col("ts").isNotNull()).groupBy(minute_of(F.col("ts")).alias("minute")).agg(F.count(F.lit(1)).alias("runs"))
+    span = busy.agg(F.min("minute").alias("a"), F.max("minute").alias("b")).where(F.col("a").isNotNull())
+    every = span.select(F.explode(F.sequence(
+        plus_minutes(F.col("a"), 1), plus_minutes(F.col("b"), width + hold + 1), F.make_dt_interval(mins=F.lit(1)))).alias("window_end"))
+    counts = every.join(sliding(busy, width, ["runs"]), "window_end", "left")
+    return held(counts.select("window_end", F.coalesce("runs", F.lit(0)).alias("runs"), F.col("runs").isNull().alias("breached")), hold)
 
 
 def alert_accuracy(training: DataFrame, limit: float = 0.8) -> DataFrame:

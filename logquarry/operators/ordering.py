@@ -1,11 +1,8 @@
 """One global order over all rows without sorting them in one task.
 
-``with_global_index`` numbers the rows by time. Rows are grouped by calendar minute; a small
-table of counts per group gives each group its first number, and the rank inside the group
-gives the rest. Minutes that hold far more rows than others (null timestamps count as one
-last minute) are cut into ranges of the sort key, so no group is unbounded. The cuts come
-from a hash sample of the rows, which depends on the data alone: a recomputed task sees the
-same groups.
+``numbered`` deals the rows out by ranges of the order, sorts each range in its task and writes the
+result once; every task's row count then gives the ranges their first numbers. Ranges follow the
+whole sort key, so neither a busy minute nor rows without a time gather in one task.
 
 ``over_blocks`` evaluates row frames on that order. Each row goes to its block of consecutive
 numbers and, near a block edge, also to the neighbour that needs it.
@@ -19,102 +16,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions.temporal import micros
+from logquarry.session import stage
 
 LAST = 9223372036854775807  # position of rows without a timestamp
 MINUTE = 60_000_000
-SAMPLES_PER_CUT = 20
-MAX_CUTS = 2_000
-HASH_SPAN = 1 << 30
 
-GROUP = ["_minute", "_part"]
 MINUTE_FACTS = ["_minute_start", "_hour_start", "_minute_rows"]
-BLOCK_ROWS = 20_000  # a block is one unit of work; the copied rows are about 0.1 % of it
+BLOCK_ROWS = 5_000  # a block is one unit of work; the copied rows are about 0.5 % of it
 WIDEST_BEFORE = 19
 WIDEST_AFTER = 4
 
 
-def keyed(df: DataFrame, ts: str, tiebreak: list[str]) -> DataFrame:
-    at = F.coalesce(micros(F.col(ts)), F.lit(LAST))
-    return (
-        df.withColumn("_at", at)
-        .withColumn("_minute", F.floor(F.col("_at") / F.lit(MINUTE)))
-    )
-
-
-def assign_groups(
-    df: DataFrame, ts: str, tiebreak: list[str], group_rows: int = 2_000_000
-) -> DataFrame:
-    """Adds ``_minute`` and ``_part``; a group holds about ``group_rows`` rows at most, or
-    1/MAX_CUTS of all rows where that is more.
+def numbered(df: DataFrame, order: list[Column], index: str) -> DataFrame:
+    """``df`` with column ``index``: each row's number from 0 in the given order.
 
-    One small job over the time column finds out whether any minute exceeds that. Only then
-    are its rows sampled and the plan gets the join that cuts it.
+    The order must identify a row. The sorted rows are written to the shared folder, so the counts and
+    the numbers come from the same ranges.
     """
-    rows = keyed(df, ts, tiebreak)
-    minutes = rows.groupBy("_minute").agg(F.count(F.lit(1)).alias("n"))
-    fullest, total = minutes.agg(F.max("n"), F.sum("n")).first()
-    limit = max(group_rows, (total or 0) // MAX_CUTS)
-    if (fullest or 0) <= limit:
-        return rows.withColumn("_part", F.lit(0))
-    key = F.struct("_at", *tiebreak)
-    inside = (
-        (F.col("_minute") == F.col("_hot_minute"))
-        & (F.col("_from").isNull() | (key >= F.col("_from")))
-        & (F.col("_to").isNull() | (key < F.col("_to")))
-    )
-    return (
-        rows.join(hot_ranges(rows, minutes, limit, tiebreak), inside, "left")
-        .withColumn("_part", F.coalesce("_range", F.lit(0)))
-        .drop("_hot_minute", "_from", "_to", "_range")
-    )
-
-
-def hot_ranges(rows: DataFrame, minutes: DataFrame, limit: int, tiebreak: list[str]) -> DataFrame:
-    """Ranges of the sort key that cut each overfull minute into parts of about ``limit`` rows.
-
-    At most MAX_CUTS ranges and SAMPLES_PER_CUT times as many sampled rows in all.
-    """
-    hot = minutes.where(F.col("n") > limit).select("_minute")
-    drawn = F.pmod(F.xxhash64("_at", *tiebreak), F.lit(HASH_SPAN)) < F.lit(
-        HASH_SPAN * SAMPLES_PER_CUT // limit
-    )
-    by_key = Window.partitionBy("_minute").orderBy("_key")
-    cuts = (
-        rows.select("_minute", "_at", *tiebreak, F.struct("_at", *tiebreak).alias("_key"))
-        .where(drawn)
-        .join(hot, "_minute", "left_semi")
-        .select("_minute", F.col("_key").alias("_from"), F.row_number().over(by_key).alias("r"))
-        .where(F.col("r") % SAMPLES_PER_CUT == 0)
-        .select("_minute", "_from")
-    )
-    first = hot.select("_minute", F.lit(None).cast(cuts.schema["_from"].dataType).alias("_from"))
-    by_from = Window.partitionBy("_minute").orderBy(F.col("_from").asc_nulls_first())
-    return cuts.unionByName(first).select(
-        F.col("_minute").alias("_hot_minute"),
-        "_from",
-        F.lead("_from").over(by_from).alias("_to"),
-        F.row_number().over(by_from).alias("_range"),
-    )
-
-
-def group_offsets(grouped: DataFrame) -> DataFrame:
-    """Number of rows before each group, and before its minute and hour.
-
-    One row per minute with data plus at most MAX_CUTS: the only table whose running sum
-    is taken in a single task.
-    """
-    counts = grouped.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*GROUP).rowsBetween(Window.unboundedPreceding, -1)
-    minute = Window.partitionBy("_minute")
-    hour = Window.partitionBy(F.floor(F.col("_minute") / 60))
-    running = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return running.select(
-        *GROUP,
-        "_before",
-        F.min("_before").over(minute).alias("_minute_start"),
-        F.min("_before").over(hour).alias("_hour_start"),
-        F.sum("_n").over(minute).alias("_minute_rows"),
-    )
+    dealt = stage(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                  .withColumn("_place", F.monotonically_increasing_id()))  # task number, then place in the task
+    task = F.shiftright("_place", 33)
+    counts = dealt.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")
+    firsts = counts.select("_task", before.alias("_before"))
+    # a row per task of one shuffle, whose number is a setting of the session: safe to send to all tasks
+    return dealt.withColumn("_task", task).join(F.broadcast(firsts), "_task").withColumn(
+        index, F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place", "_task", "_before")
 
 
 def with_global_index(
@@ -122,20 +49,22 @@ def with_global_index(
     ts: str = "timestamp",
     tiebreak: tuple[str, ...] = ("log_id",),
     index: str = "log_sequence_id",
-    group_rows: int = 2_000_000,
     keep_groups: bool = False,
 ) -> DataFrame:
     """Row number from 0 in (timestamp, tiebreak) order, null timestamps last.
 
     ``tiebreak`` must identify a row. With ``keep_groups`` the row's ``_minute_start``,
-    ``_hour_start`` (first number of its minute and hour) and ``_minute_rows`` stay.
+    ``_hour_start`` (first number of its minute and hour) and ``_minute_rows`` are added.
     """
-    grouped = assign_groups(df, ts, list(tiebreak), group_rows)
-    inside = Window.partitionBy(*GROUP).orderBy("_at", *tiebreak)
-    ranked = grouped.join(group_offsets(grouped), GROUP).withColumn(
-        index, F.col("_before") + F.row_number().over(inside) - 1
-    ).drop("_before", "_at", *GROUP)
-    return ranked if keep_groups else ranked.drop(*MINUTE_FACTS)
+    rows = df.withColumn("_at", F.coalesce(micros(F.col(ts)), F.lit(LAST)))
+    rows = numbered(rows, [F.col("_at"), *map(F.col, tiebreak)], index)
+    if not keep_groups:
+        return rows.drop("_at")
+    rows = rows.withColumn("_minute", F.expr(f"_at div {MINUTE}"))
+    minutes = rows.groupBy("_minute").agg(F.min(index).alias("_minute_start"), F.count(F.lit(1)).alias("_minute_rows"))
+    hour = Window.partitionBy(F.expr("_minute div 60"))
+    facts = stage(minutes.withColumn("_hour_start", F.min("_minute_start").over(hour)))
+    return rows.join(facts, "_minute").drop("_at", "_minute")
 
 
 def over_blocks(
@@ -156,7 +85,7 @@ def over_blocks(
         raise ValueError("block_rows must exceed the widest frame")
 
     def block_of(position: Column) -> Column:
-        return F.floor(position / F.lit(block_rows))
+        return F.call_function("div", position, F.lit(block_rows))
 
     number = F.col(index)
     seen_by = F.array_distinct(
@@ -174,20 +103,7 @@ def sort_logs(df: DataFrame, *tiebreak: str) -> DataFrame:
     return df.orderBy(F.col("timestamp").asc_nulls_last(), *[F.col(c) for c in tiebreak])
 
 
-def numbered_by_hash(df: DataFrame, key: str, seed: int, index: str, groups: int = 4096) -> DataFrame:
-    """Rows numbered from 0 in a random but repeatable order.
-
-    The order is that of a hash of the key; equal slices of the hash range are the groups whose
-    counts give the offsets, so the numbering is spread evenly whatever the keys are.
-    """
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn(
-        "_slice", F.pmod("_h", F.lit(groups)))
-    counts = hashed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_slice").orderBy("_h", key)
-    return (
-        hashed.join(offsets, "_slice")
-        .withColumn(index, F.col("_before") + F.row_number().over(inside) - 1)
-        .drop("_h", "_slice", "_before")
-    )
+def numbered_by_hash(df: DataFrame, key: str, seed: int, index: str) -> DataFrame:
+    """Rows numbered from 0 in a random but repeatable order, that of a hash of the key."""
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    return numbered(hashed, [F.col("_h"), F.col(key)], index).drop("_h")

@@ -131,8 +131,8 @@ def gathered_issues(relevant: DataFrame, issues: DataFrame) -> DataFrame:
     return categorize(issues).join(gather(relevant), "issue_id")
 
 
-def history_context(hits: DataFrame, k: int = dims.HISTORY_SIZE, max_chars: int = dims.HISTORY_CHARS) -> DataFrame:
-    """Per issue the numbered texts of its best distinct hits, cut at ``max_chars``.
+def history_context(hits: DataFrame, k: int = dims.HISTORY_SIZE, max_chars: int | None = None) -> DataFrame:
+    """Per issue the numbered texts of its best distinct hits, in full unless ``max_chars`` is given.
 
     ``hits`` has issue_id, log_id, document, service_type, level, timestamp, similarity.
     """
@@ -146,9 +146,10 @@ def history_context(hits: DataFrame, k: int = dims.HISTORY_SIZE, max_chars: int
         F.lit("\n  Level: "), _text(F.col("level"), "None"),
         F.lit("\n  Timestamp: "), _stamp(F.col("timestamp")), F.lit("\n"),
     )
-    return best.groupBy("issue_id").agg(
+    found = best.groupBy("issue_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("blocks")
     ).select(
         "issue_id",
-        F.substring(F.array_join(F.transform("blocks", lambda b: b["block"]), NEWLINE), 1, max_chars).alias("history"),
+        F.array_join(F.transform("blocks", lambda b: b["block"]), NEWLINE).alias("history"),
     )
+    return found if max_chars is None else found.withColumn("history", F.left("history", F.lit(max_chars)))

@@ -22,33 +22,34 @@ def exact_percentiles(
     quantiles: dict[str, float],
     keys: list[str] | None = None,
     accuracy: int = 100_000,
-    small: int = 100_000,
 ) -> DataFrame:
     """Interpolated percentiles per key, one column per entry of ``quantiles``.
 
     A bounded sketch brackets each quantile; only the distinct values inside a bracket are
     counted and put in order, so neither a hot key nor a long list of distinct values ends up
-    in the memory of one task. Keys with at most ``small`` rows take all values as bracket.
+    in the memory of one task. A bracket reaches a few errors of the sketch, and at least two
+    ranks, to either side; the sketch is asked for several widths at once and the rows' number
+    says which one serves.
     """
     keys = keys or []
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    margin = 4.0 / accuracy
+    margins = [4.0 / accuracy]
+    while margins[-1] < 1.0:
+        margins.append(min(4 * margins[-1], 1.0))
     names = list(quantiles)
-    low = F.percentile_approx("_v", [max(quantiles[n] - margin, 0.0) for n in names], accuracy)
-    high = F.percentile_approx("_v", [min(quantiles[n] + margin, 1.0) for n in names], accuracy)
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        low.alias("_low"), high.alias("_high"),
-    )
-    is_small = F.col("_n") <= small
+    low = F.percentile_approx("_v", [max(quantiles[n] - m, 0.0) for n in names for m in margins], accuracy)
+    high = F.percentile_approx("_v", [min(quantiles[n] + m, 1.0) for n in names for m in margins], accuracy)
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), low.alias("_low"), high.alias("_high"))
+    narrow = F.size(F.filter(F.array(*[F.lit(m) for m in margins]), lambda m: m < 2 / F.col("_n")))
+    width = F.least(narrow, F.lit(len(margins) - 1))
     brackets = sketch.select(
         *keys, "_n",
         F.explode(F.array(*[
             F.struct(
                 F.lit(n).alias("name"),
                 F.lit(float(quantiles[n])).alias("q"),
-                F.when(is_small, F.col("_min")).otherwise(F.col("_low")[i]).alias("low"),
-                F.when(is_small, F.col("_max")).otherwise(F.col("_high")[i]).alias("high"),
+                F.get("_low", width + i * len(margins)).alias("low"),
+                F.get("_high", width + i * len(margins)).alias("high"),
             )
             for i, n in enumerate(names)
         ])).alias("b"),

@@ -38,12 +38,13 @@ def engineer_all(
 ) -> DataFrame:
     """The 77 features.
 
-    Whole rows are shuffled by order group and by block; the tables per (instance, block) and
-    per request are pre-aggregated and joined back. Whole-table means and deviations are scalar
-    subqueries. ``materialize`` may write the ordered rows to a table and return its reader; the
-    statistics then read that table instead of repeating the order on the narrow columns.
+    Rows are shuffled once by order and once by block, with the one text feature that frames need;
+    the others are added at the end. The tables per (instance, block) and per request are
+    pre-aggregated and joined back. Whole-table means and deviations are scalar subqueries.
+    ``materialize`` may write the framed rows to a table and return its reader; the statistics then
+    read that table instead of repeating the frames.
     """
-    rows = text_features(temporal_features(df))
+    rows = df.withColumn("message_length", text.counts(F.col("message"))["message_length"])
     indexed = sequence.add_bucket_positions(
         with_global_index(rows, tiebreak=tiebreak, keep_groups=True)
     )
@@ -59,8 +60,8 @@ def engineer_all(
         framed = materialize(framed)
     with_instances = keyed.add_instance_features(framed)
     with_requests = keyed.add_request_stats(
-        with_instances, tiebreak, stats_from=framed if materialize else df)
+        with_instances, stats_from=framed if materialize else df, materialize=materialize)
     out = anomaly.message_length_anomaly(with_requests, stats_from=framed if materialize else rows)
     out = anomaly.time_gap_anomaly(out, stats_from=framed)
     out = anomaly.minute_frequency(out, stats_from=framed if materialize else df)
-    return out.drop(*MINUTE_FACTS)
+    return text_features(temporal_features(out.drop(*MINUTE_FACTS)))

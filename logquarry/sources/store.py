@@ -57,23 +57,6 @@ def export_documents(docs: DataFrame, path: str) -> None:
     ).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-SMALL_INPUT = 256 << 20
-
-
-def spread_small(df: DataFrame, limit: int = SMALL_INPUT) -> DataFrame:
-    """Spread a small input over all cores when its files give fewer splits than that.
-
-    A file with one row group is one task however many cores wait. Inputs above ``limit``
-    bytes are left as they are, so large tables never pay for a shuffle here. For scans and
-    projections of scans: counting the splits of a plan with a shuffle would run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > limit or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 class DocumentStore:
     """A parquet table of documents under one path."""
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logquarry.operators.documents import log_key
 from logquarry.operators.filters import is_severe
 from logquarry.operators.sequence import error_burst, is_error, sequence_features
 from logquarry.sources.files import FILE_GLOB, parse_lines
@@ -31,8 +30,8 @@ def with_event_time(logs: DataFrame, lateness: str = LATENESS, ts: str = "timest
 
 
 def dedup(logs: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Each line once. Keys are kept for as long as copies may still arrive."""
-    keyed = logs.withColumn("doc_id", log_key(logs.drop("source_file")))
+    """Each line once, compared as a whole. Keys are kept for as long as copies may still arrive."""
+    keyed = logs.withColumn("doc_id", F.md5(F.col("raw_log").cast("binary")))
     return with_event_time(keyed, lateness).dropDuplicatesWithinWatermark(["doc_id"])
 
 

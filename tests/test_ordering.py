@@ -6,7 +6,6 @@ from logquarry.catalog.views import logs
 from logquarry.operators import sequence
 from logquarry.operators.keyed import instance_positions
 from logquarry.operators.ordering import (
-    assign_groups,
     numbered_by_hash,
     over_blocks,
     with_global_index,
@@ -31,15 +30,17 @@ def skewed(spark):
 
 def test_index_of_skewed_times(skewed):
     want = skewed.select("log_id", (F.row_number().over(total_order()) - 1).alias("want"))
-    got = with_global_index(skewed, group_rows=100).select("log_id", "log_sequence_id")
+    got = with_global_index(skewed).select("log_id", "log_sequence_id")
     assert got.join(want, "log_id").where("want <> log_sequence_id").count() == 0
     assert got.count() == skewed.count()
 
 
-def test_full_minutes_are_cut(skewed):
-    groups = assign_groups(skewed, "timestamp", ["log_id"], group_rows=100)
-    largest = groups.groupBy("_minute", "_part").count().agg(F.max("count")).first()[0]
-    assert largest < 400
+def test_minute_facts(skewed):
+    got = with_global_index(skewed, keep_groups=True)
+    minute = Window.partitionBy(F.date_trunc("minute", "timestamp"))
+    want = skewed.select("log_id", "timestamp", (F.row_number().over(total_order()) - 1).alias("n")).select(
+        "log_id", F.min("n").over(minute).alias("first"), F.count("*").over(minute).alias("rows"))
+    assert got.join(want, "log_id").where("_minute_start <> first or _minute_rows <> rows").count() == 0
 
 
 @pytest.mark.parametrize("block_rows", [24, 61, 997])

@@ -7,21 +7,18 @@ from logquarry.operators.ann import CellIndex
 from logquarry.operators.topk import at_least_percentile, exact_percentiles
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
+@pytest.mark.parametrize("accuracy", [1_000, 100_000])
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 2001])
-def test_percentiles(spark, n, small):
-    if small == 0 and n < 2001:
-        pytest.skip("the bracket needs more rows than its margin")
+def test_percentiles(spark, n, accuracy):
     rng = np.random.default_rng(n)
     values = np.concatenate([rng.normal(size=n - n // 3), np.full(n // 3, 0.25)])
     rows = [(int(i % 2), float(v)) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "k int, v double")
     wanted = {"a": 0.3, "b": 0.5, "c": 0.95}
-    accuracy = 1000 if small == 0 else 100_000
-    got = exact_percentiles(df, "v", wanted, accuracy=accuracy, small=small).first()
+    got = exact_percentiles(df, "v", wanted, accuracy=accuracy).first()
     for name, q in wanted.items():
         assert got[name] == pytest.approx(np.quantile(values, q), abs=1e-12)
-    for row in exact_percentiles(df, "v", wanted, ["k"], accuracy=accuracy, small=small).collect():
+    for row in exact_percentiles(df, "v", wanted, ["k"], accuracy=accuracy).collect():
         part = np.array([v for k, v in rows if k == row.k])
         for name, q in wanted.items():
             assert row[name] == pytest.approx(np.quantile(part, q), abs=1e-12)
