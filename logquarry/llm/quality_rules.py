@@ -81,10 +81,10 @@ def with_stats(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "_again", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")),
         lambda a, at: F.struct((a["n"] + at + WINDOW - F.greatest(at, a["upto"])).alias("n"), (at + WINDOW).alias("upto")),
         lambda a: a["n"])
-    share = lambda n, of: F.coalesce(F.col(n) / F.col(of), F.lit(0.0))
+    share = lambda n, of: F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0))
     measured = again.withColumn("n_repeat_words", covered).withColumns({
         "symbol_share": share("n_symbols", "word_chars"),
-        "dup_line_share": F.coalesce(F.col("n_dup_lines") / F.size("_lines"), F.lit(0.0)),
+        "dup_line_share": F.coalesce(F.try_divide(F.col("n_dup_lines"), F.size("_lines")), F.lit(0.0)),
         "repeat_share": share("n_repeat_words", "n_words"),
         "capital_share": share("_capitals", "word_chars"),
         "shout_share": share("_shouts", "word_chars"),
