@@ -40,7 +40,7 @@ def main():
     spark = build_session("bench", f"local[{CPUS}]", spark__sql__shuffle__partitions=CPUS,
                           spark__driver__memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
-    lines = stage(logs(spark, SF))
+    lines = stage(logs(spark, SF).repartition(int(CPUS)))  # the given file is one row group
     rows = lines.count()
     scored = stage(ops.with_importance(lines).select(*LINE_COLUMNS))
     kept = ops.importance_filter(scored)
