@@ -47,7 +47,10 @@ def score_importance(spark, sf):
     return model.score(docs, "text").select("doc_id", "importance", "prediction")
 
 
-@query("stratified_split")
+@query("stratified_split", """
+  SELECT quality, count(*) AS rows, count(*) FILTER (WHERE
+    CAST('0x' || substr(md5('42 ' || quality || ' ' || doc_id), 1, 8) AS BIGINT) % 1000000 < 200000) AS test_rows
+  FROM documents JOIN labels USING (doc_id) GROUP BY quality""")
 def stratified(spark, sf):
     return split(spark, sf).groupBy("quality").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("test_rows"))

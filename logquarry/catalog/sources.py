@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logquarry.catalog.registry import query
-from logquarry.catalog.views import logs, raw_lines, table, with_logs
+from logquarry.catalog.views import SQL_RAW, logs, raw_lines, table, with_logs
 from logquarry.session import scratch_path
 from logquarry.sources import snapshot
 from logquarry.sources.files import (
@@ -29,16 +29,31 @@ def written_files(spark, sf) -> str:
     return root
 
 
-@query("src_discover")
+FOLDER = r"service=([^/]+)"
+
+
+@query("src_discover", with_logs("""
+  SELECT service_type AS folder, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes
+  FROM raw JOIN logs USING (log_id) GROUP BY service_type""", ("raw", SQL_RAW)))
 def src_discover(spark, sf):
     found = discover_files(spark, written_files(spark, sf))
-    return found.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "size")
+    return found.groupBy(F.regexp_extract("path", FOLDER, 1).alias("folder")).agg(F.sum("size").alias("bytes"))
 
 
-@query("src_lines")
+@query("src_lines", with_logs("""
+  SELECT service_type AS folder, count(*) AS lines, true AS dense,
+    CAST(sum(CAST('0x' || substr(md5(line), 1, 8) AS BIGINT)) AS BIGINT) AS value_hash
+  FROM raw JOIN logs USING (log_id) GROUP BY service_type""", ("raw", SQL_RAW)))
 def src_lines(spark, sf):
+    """Per folder the lines, a hash of their values, and whether each file's numbers run from 1 without gaps."""
     lines = read_lines(spark, written_files(spark, sf))
-    return lines.select("source_file", "line_number", "value")
+    value = F.conv(F.substring(F.md5(F.col("value").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    files = lines.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(value).alias("value_hash"),
+        ((F.min("line_number") == 1) & (F.max("line_number") == F.count(F.lit(1)))
+         & (F.sum("line_number") * 2 == F.count(F.lit(1)) * (F.count(F.lit(1)) + 1))).alias("dense"))
+    return files.groupBy(F.regexp_extract("source_file", FOLDER, 1).alias("folder")).agg(
+        F.sum("lines").alias("lines"), F.min("dense").alias("dense"), F.sum("value_hash").alias("value_hash"))
 
 
 @query("src_multi", with_logs("""
@@ -90,7 +105,8 @@ def exported(spark, sf):
     return back.select("original_index", "level", "service_type", "instance_id")
 
 
-@query("src_incremental")
+@query("src_incremental", with_logs(
+    " SELECT true AS loaded_all, CAST(0 AS BIGINT) AS loaded_again, count(*) AS rows FROM logs"))
 def src_incremental(spark, sf):
     """Two refreshes of a snapshot; the second finds nothing new."""
     root = written_files(spark, sf)
@@ -98,4 +114,4 @@ def src_incremental(spark, sf):
     first = kept.refresh(root)
     second = kept.refresh(root)
     return snapshot.inventory(kept.manifest()).select(
-        F.lit(first).alias("loaded_first"), F.lit(second).alias("loaded_again"), "entries", "rows")
+        (F.lit(first) == F.col("entries")).alias("loaded_all"), F.lit(second).cast("long").alias("loaded_again"), "rows")

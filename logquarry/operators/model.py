@@ -27,8 +27,9 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
     Which rows are drawn depends on key, class and seed alone, so a rerun splits the same way,
     and no class has to be sorted in one place.
     """
-    draw = F.pmod(F.xxhash64(F.lit(seed), label, key), F.lit(1_000_000)) / F.lit(1e6)
-    return df.withColumn("is_test", draw < test_share)
+    name = F.concat_ws(" ", F.lit(str(seed)), F.col(label).cast("string"), F.col(key).cast("string"))
+    draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("bigint") % 1_000_000
+    return df.withColumn("is_test", draw < F.lit(round(test_share * 1_000_000)))
 
 
 def with_terms(df: DataFrame, column: str) -> DataFrame:
