@@ -10,7 +10,9 @@ are formed:
    one of them whatever the order is. Common passages come last and drop out.
 2. *Blocks.* Rows that share a kept column form a block. A block's product is taken between its
    pivots and its other rows; an entry is dropped if the sizes of the two sets, or their places in
-   the column order, bound the overlap below what t asks for.
+   the column order, bound the overlap below what t asks for. So do the sizes of the rows' parts in
+   PARTS column ranges: the overlap is at most the sum of the smaller ones. The blocks that stay
+   open apply that bound with fewer, wider ranges before a pair is formed.
 3. *Overlap counts* of the remaining entries are accumulated over the whole rows, exactly.
 4. Entries that reach t link their documents. Blocks whose rows have all become linked are finished;
    the others go on with more pivots, until every two rows of a block are linked or were compared.
@@ -37,7 +39,9 @@ from pyspark.sql import functions as F
 from logquarry.llm.common import small_batches
 from logquarry.session import stage
 
-COUNTERS, SLICES = 1 << 20, 16
+COUNTERS, SLICES, PARTS = 1 << 20, 16, 256
+MEMBER_BITS = 1 << 23
+WIDE = "wide"  # the sizes of a row's parts in 8 column ranges, a byte each; -1: no bound
 WINDOW_BYTES = 1 << 20  # text bytes hashed at once
 HOT = 20_000  # rows of a column beyond which its block is cut into parts
 FIRST = np.uint64(0x9E3779B97F4A7C15)
@@ -177,33 +181,67 @@ def _row_sets(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def kept(batches):
         counts = sent.value
         for batch in batches:
-            sizes, one, two, keys, fans = [], [], [], [], []
+            sizes, one, two, keys, fans, parts, wide = [], [], [], [], [], [], []
             for grams in shingle_sets(batch.column(1), n):
                 size = len(grams)
                 often = counts[(grams >> np.uint64(44)).astype(np.int64)]
                 keep = size - -(-num * size // den) + 1 if size else 0
                 order = np.lexsort((grams, often))[:keep]
+                few = np.bincount((grams & np.uint64(7)).astype(np.int64), minlength=8)
+                wide.append(int(few.astype(np.uint8).view(np.int64)[0]) if few.max() < 255 else -1)
                 sizes.append(size)
+                part = np.bincount((grams & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+                parts.append(part.astype(np.uint8).tobytes() if part.max() < 256 else b"")  # b"": no bound
                 one.append(int(mix(grams ^ FIRST).sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(mix(grams ^ SECOND).sum(dtype=np.uint64).view(np.int64)))
                 keys.append(grams[order].view(np.int64))
                 fans.append(np.maximum(0, (often[order].astype(np.int64) - usual) // HOT).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(fans, pa.list_(pa.int32()))],
-                names=["doc_id", "n", "h1", "h2", "keys", "fan"])
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(fans, pa.list_(pa.int32())), pa.array(parts, pa.binary()),
+                 pa.array(wide, pa.int64())], names=["doc_id", "n", "h1", "h2", "keys", "fan", "parts", WIDE])
 
-    return rows.mapInArrow(kept, "doc_id long, n long, h1 long, h2 long, keys array<long>, fan array<int>")
+    return rows.mapInArrow(kept, "doc_id long, n long, h1 long, h2 long, keys array<long>, fan array<int>, parts binary, wide long")
 
 
-def _whole_sets(rows: DataFrame, n: int) -> DataFrame:
+def _whole_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The sets of the documents in ``wanted``; texts don't move, only the sets of what a filter of MEMBER_BITS bits lets pass."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MEMBER_BITS))
+    words = wanted.select(place.alias("h")).groupBy(F.call_function("div", F.col("h"), F.lit(64)).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 64).cast("int"))).alias("bits"))
+    member = np.zeros(MEMBER_BITS // 64, np.int64)
+    for w in words.collect():  # at most MEMBER_BITS / 64 rows
+        member[w.word] = w.bits
+    sent = rows.sparkSession.sparkContext.broadcast(member)  # 1 MB
+
     def sets(batches):
+        member = sent.value
+        for batch in batches:
+            h = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((member[h >> 6] >> (h & 63)) & 1 == 1))
+            if batch.num_rows:
+                found = [g.view(np.int64) for g in shingle_sets(batch.column(1), n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "grams"])
+
+    named = rows.where("doc_id is not null").select("doc_id", "text", place.alias("h"))
+    return named.mapInArrow(sets, "node long, grams array<long>").join(wanted.select(F.col("doc_id").alias("node")), "node", "left_semi")
+
+
+def _within_bounds(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose parts' sizes leave room for the threshold."""
+    of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("parts").alias(f"{side}_parts"))
+
+    def bounded(batches):
         for batch in batches:
-            found = [g.view(np.int64) for g in shingle_sets(batch.column(1), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))],
-                                             names=["node", "grams"])
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = []
+            for x, y in zip(a, b):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                keep.append(not len(x) or not len(y) or int(np.minimum(x, y).sum()) * (num + den) >= num * (int(x.sum()) + int(y.sum())))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(sets, "node long, grams array<long>")
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_parts", "b_parts")
+    return joined.mapInArrow(bounded, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,6 +268,16 @@ def _possible(num: int, den: int):
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & (most * (num + den) >= num * (n + m))
 
 
+def _wide_enough(num: int, den: int):
+    """Whether the sizes of the parts in WIDE leave room for the threshold."""
+    room = F.lit(0).cast("long")
+    for byte in range(0, 64, 8):
+        a, b = (F.shiftrightunsigned(c, byte).bitwiseAND(F.lit(255).cast("long")) for c in (WIDE, f"other_{WIDE}"))
+        room = room + F.least(a, b)
+    unknown = (F.col(WIDE) == -1) | (F.col(f"other_{WIDE}") == -1)
+    return unknown | (room * (num + den) >= num * (F.col("n") + F.col("other_n")))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole rows reach the threshold."""
     a = sets.select(F.col("node").alias("a"), F.col("grams").alias("a_grams"))
@@ -270,7 +318,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     shared = stage(blocks.where(fits | F.col("cut_key").isNotNull()).select(
         F.coalesce("cut_key", "block").alias("key"), "cut_key", "node", "n", "pos",
         F.col("pivot.node").alias("other"), F.col("pivot.n").alias("other_n"), F.col("pivot.pos").alias("other_pos")))
-    possible = _possible(num, den)
+    possible, wide = _possible(num, den), _wide_enough(num, den)
     heads = shared.where("cut_key is not null and node = other").drop("other", "other_n", "other_pos")
     first = F.first(F.struct("node", "n", "pos")).over(W.partitionBy("cut_key").orderBy("pos", "node"))
     heads = heads.withColumn("head", first).select("node", "n", "pos", F.col("head.node").alias("other"),
@@ -281,36 +329,41 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
 
     def verified(pairs: DataFrame) -> DataFrame:
         nonlocal whole
-        pairs = stage(pairs)
+        pairs = stage(_within_bounds(pairs, full, num, den))
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         if whole is not None:
             wanted = wanted.join(whole.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
-        new = stage(_whole_sets(rows.join(stage(wanted), "doc_id", "left_semi"), n))
+        new = stage(_whole_sets(rows, stage(wanted), n))
         whole = new if whole is None else whole.union(new)
         return stage(_verified(pairs, whole, num, den))
 
     links = verified(pairs)
     labels = components(links)
     # pivots of whole blocks have met every row of theirs; the rows that are left need the other pairs
-    open_rows, pivots = shared.where("cut_key is not null or node <> other").select("key", "node", "n", "pos"), 4
+    open_rows, pivots = shared.where("cut_key is not null or node <> other").select("key", "node", "n", "pos"), 16
     while True:
         named = open_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        # blocks with the same rows are one block: the number of rows and two sums of hashes tell them apart
+        mixed = named.groupBy("key").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"),
+            *[F.sum(F.shiftright(F.xxhash64(F.lit(salt), "node"), 24)).alias(f"sum_{salt}") for salt in (1, 2)]).where("low <> high")
+        mixed = mixed.groupBy("rows", "sum_1", "sum_2").agg(F.min("key").alias("key"))
         open_rows = stage(named.join(stage(mixed.select("key")), "key"))
         if open_rows.isEmpty():
             break
-        ranked = open_rows.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("pos", "node")))
+        named = open_rows.join(full.select(F.col("doc_id").alias("node"), WIDE).dropDuplicates(["node"]), "node")
+        ranked = named.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("pos", "node")))
         ranked = stage(ranked)
         heads = ranked.where(F.col("rank") <= pivots).select(
             "key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"),
-            F.col("label").alias("other_label"), F.col("rank").alias("other_rank"))
+            F.col("label").alias("other_label"), F.col("rank").alias("other_rank"), F.col(WIDE).alias(f"other_{WIDE}"))
         pairs = _pairs(ranked.join(heads, "key").where((F.col("rank") > F.col("other_rank")) &
-                                                       (F.col("label") != F.col("other_label")) & possible))
+                                                       (F.col("label") != F.col("other_label")) & possible & wide))
         found = verified(pairs)
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
-        open_rows, pivots = ranked.where(F.col("rank") > pivots).select("key", "node", "n", "pos"), pivots * 8
+        open_rows, pivots = ranked.where(F.col("rank") > pivots).select("key", "node", "n", "pos"), pivots * 16
     member = sets.select("doc_id", "n", "h1", "h2").join(copies, ["h1", "h2"], "left").withColumn(
         "node", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")))
     out = member.join(labels, "node", "left").select(
