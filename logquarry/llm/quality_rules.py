@@ -91,7 +91,10 @@ def with_stats(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "word_length": share("word_chars", "n_words"),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     })
-    return measured.drop(*HELPERS)
+    # the numbers leave through a generator: a later filter on them then uses them instead of spelling out, and
+    # computing again for every element, how they were made
+    made = [*STATS, *GRID, "base_failed"]
+    return measured.select(*rest.columns, F.explode(F.array(F.struct(*made))).alias("_made")).select(*rest.columns, "_made.*")
 
 
 def tail_probability(n, k, p: float):
