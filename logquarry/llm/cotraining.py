@@ -9,8 +9,8 @@ two calibrated log-odds, fitted on the same rows, combines them. All documents a
 
 Fitting uses at most ``max_labelled`` labelled documents and a pool of ``max_pool`` others, those with the
 smallest hashes of their ids; every fifth labelled one is held out. These are the only rows the driver sees, as
-word numbers, a document's at most ``fit_words`` (those of longer ones are thinned evenly, for fitting only). A
-document is good if its quality is 1 and it isn't toxic. Rows without a label, or with a null one, are
+the distinct buckets of all their words with counts, at most BUCKETS a document: models are trained, calibrated and
+applied on the same features of whole texts. A document is good if its quality is 1 and it isn't toxic. Rows without a label, or with a null one, are
 unlabelled; of several labels of one id the smallest counts. Null texts count as empty. If the labelled rows
 lack one of the classes, nothing can be learnt: every score is the share of good ones, or null without any.
 """
@@ -30,7 +30,7 @@ from logquarry.session import stage
 
 BUCKETS, FACTS, SHAPES = 1 << 17, 1 << 12, 7
 CONFIDENT = 0.97
-ROW = "doc_id long, facts array<int>, words array<int>, shape array<double>"
+ROW = "doc_id long, facts array<int>, words array<int>, counts array<int>, shape array<double>"
 
 
 def _views(docs: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def _views(docs: DataFrame) -> DataFrame:
         text.alias("text"))
 
 
-def text_features(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of each text: the buckets of its words, and SHAPES numbers between 0 and about 1."""
+def text_features(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of each text: the distinct buckets of its words, how many words each has, and SHAPES numbers between 0 and about 1."""
     data, offsets = text_bytes(texts)
     hashes, places = word_hashes(data, offsets)
     borders = np.searchsorted(places, offsets)
@@ -54,41 +54,46 @@ def text_features(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     for k, letters in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?", b"#*$%&|<>", b"0123456789"), 1):
         kinds[list(letters)] = k
     found, shape = kinds[data], np.zeros((len(texts), SHAPES))
-    words = []
+    words, counts = [], []
     for i in range(len(texts)):
         a, b = offsets[i], offsets[i + 1]
         w = buckets[borders[i] : borders[i + 1]]
-        words.append(w)
+        distinct, times = np.unique(w, return_counts=True)
+        words.append(distinct)
+        counts.append(times.astype(np.int32))
         if len(w):
             shape[i, :4] = np.bincount(found[a:b], minlength=5)[1:] / (b - a)
-            shape[i, 4] = len(np.unique(w)) / len(w)
+            shape[i, 4] = len(distinct) / len(w)
             shape[i, 5] = min((b - a) / len(w) / 20, 2)
             shape[i, 6] = math.log1p(len(w)) / 10
-    return words, shape
+    return words, counts, shape
 
 
 class Rows:
-    """Sparse rows: row i has the value scale[i] at each of its indices, then dense columns."""
+    """Sparse rows: row i has at each of its indices that one's count (1 without counts) over the root of all its
+    counts, then dense columns."""
 
-    def __init__(self, indices: list[np.ndarray], dense: np.ndarray, columns: int):
+    def __init__(self, indices: list[np.ndarray], dense: np.ndarray, columns: int, counts: list[np.ndarray] | None = None):
         self.lengths = np.fromiter(map(len, indices), np.int64, len(indices))
         self.indices = np.concatenate([*indices, np.zeros(0, np.int32)]).astype(np.int64)
         self.row = np.repeat(np.arange(len(indices)), self.lengths)
-        self.scale = 1 / np.sqrt(np.maximum(self.lengths, 1))
+        self.counts = np.concatenate([*counts, np.zeros(0)]) if counts is not None else np.ones(len(self.row))
+        totals = np.bincount(self.row, self.counts, len(indices))
+        self.values = self.counts / np.sqrt(np.maximum(totals, 1))[self.row]
         self.dense = np.hstack([dense, np.ones((len(indices), 1))])
         self.columns = columns
 
     def margin(self, model: np.ndarray) -> np.ndarray:
-        sums = np.bincount(self.row, model[self.indices], len(self.scale)) if len(self.row) else 0.0
-        return sums * self.scale + self.dense @ model[self.columns :]
+        return np.bincount(self.row, model[self.indices] * self.values, len(self.lengths)) + self.dense @ model[self.columns :]
 
     def gradient(self, residual: np.ndarray) -> np.ndarray:
-        sparse = np.bincount(self.indices, (residual * self.scale)[self.row], self.columns)
+        sparse = np.bincount(self.indices, residual[self.row] * self.values, self.columns)
         return np.concatenate([sparse, self.dense.T @ residual])
 
     def take(self, rows: np.ndarray) -> Rows:
         ends = np.cumsum(self.lengths)
-        return Rows([self.indices[ends[i] - self.lengths[i] : ends[i]] for i in rows], self.dense[rows, :-1], self.columns)
+        parts = [slice(ends[i] - self.lengths[i], ends[i]) for i in rows]
+        return Rows([self.indices[p] for p in parts], self.dense[rows, :-1], self.columns, [self.counts[p] for p in parts])
 
 
 def _chance(x: np.ndarray) -> np.ndarray:
@@ -146,7 +151,7 @@ def cotrain(views: tuple[Rows, Rows], good: np.ndarray, held: np.ndarray, rounds
 
 
 def score(docs: DataFrame, labels: DataFrame, rounds: int = 2, max_labelled: int = 10_000, max_pool: int = 10_000,
-          added: int = 1_000, fit_words: int = 2_000) -> DataFrame:
+          added: int = 1_000) -> DataFrame:
     """doc_id, text_score, metadata_score, score and good (score >= 0.5) of every document.
 
     Each round a view hands at most ``added`` documents to the other one.
@@ -163,11 +168,10 @@ def score(docs: DataFrame, labels: DataFrame, rounds: int = 2, max_labelled: int
 
     def features(batches):
         for batch in batches:
-            words, shape = text_features(batch.column(2))
-            words = [w[np.linspace(0, len(w) - 1, fit_words).astype(int)] if len(w) > fit_words else w for w in words]
+            words, counts, shape = text_features(batch.column(2))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int32())),
-                 pa.array(list(shape), pa.list_(pa.float64()))], names=["doc_id", "facts", "words", "shape"])
+                [batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())),
+                 pa.array(list(shape), pa.list_(pa.float64()))], names=["doc_id", "facts", "words", "counts", "shape"])
 
     sample = (_views(docs.join(chosen.select("doc_id"), "doc_id", "left_semi")).mapInArrow(features, ROW)
               .join(chosen, "doc_id").toArrow().sort_by("doc_id"))
@@ -179,13 +183,13 @@ def score(docs: DataFrame, labels: DataFrame, rounds: int = 2, max_labelled: int
         return docs.select("doc_id", even.alias("text_score"), even.alias("metadata_score"), even.alias("score"), (even >= 0.5).alias("good"))
     listed = lambda name: [x.values.to_numpy() for x in sample.column(name)]
     facts = listed("facts")
-    views = (Rows(listed("words"), np.array(listed("shape")), BUCKETS), Rows(facts, np.zeros((len(facts), 0)), FACTS))
+    views = (Rows(listed("words"), np.array(listed("shape")), BUCKETS, listed("counts")), Rows(facts, np.zeros((len(facts), 0)), FACTS))
     models, curves, both = cotrain(views, y, held, rounds, added)
 
     def scored(batches):
         for batch in batches:
-            words, shape = text_features(batch.column(2))
-            t = curves[0][0] * Rows(words, shape, BUCKETS).margin(models[0]) + curves[0][1]
+            words, counts, shape = text_features(batch.column(2))
+            t = curves[0][0] * Rows(words, shape, BUCKETS, counts).margin(models[0]) + curves[0][1]
             facts = [x.values.to_numpy() for x in batch.column(1)]
             m = curves[1][0] * Rows(facts, np.zeros((len(facts), 0)), FACTS).margin(models[1]) + curves[1][1]
             yield pa.RecordBatch.from_arrays(

@@ -144,3 +144,16 @@ def test_pseudo_labels_reach_the_other_view():
     held = np.arange(n) % 5 == 0
     (model, _), _, _ = cotraining.cotrain((text, facts), good, held, rounds=2, added=500)
     assert ((text.margin(model) > 0) == truth)[100:].mean() > 0.95
+
+
+def test_long_texts_are_learnt_whole(spark):
+    """One passage in thousands of words decides: the fit must see every word of the documents it learns from."""
+    rows = []
+    for i in range(800):
+        filler = [f"w{(i * 31 + k) % 97}" for k in range(4000)]
+        filler[1 + 2 * (i % 1900)] = "poison" if i % 2 else "plain"
+        rows.append((i, " ".join(filler), "en", "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = docs.where("doc_id < 500").select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    found = cotraining.score(docs, labels).where("doc_id >= 500")
+    assert found.where(F.col("good") == (F.col("doc_id") % 2 == 0)).count() > 290
