@@ -157,3 +157,15 @@ def test_long_texts_are_learnt_whole(spark):
     labels = docs.where("doc_id < 500").select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
     found = cotraining.score(docs, labels).where("doc_id >= 500")
     assert found.where(F.col("good") == (F.col("doc_id") % 2 == 0)).count() > 290
+
+
+def test_all_unlabelled_documents_teach(spark):
+    """A source with few documents among many, all junk by their texts and none labelled, is known to the metadata view."""
+    word = F.concat(F.when(F.col("id") % 4 == 0, F.lit("junk")).otherwise(F.lit("fine")), F.lit(" w"), (F.col("id") % 50).cast("string"))
+    common = spark.range(31_000).select(F.col("id").alias("doc_id"), word.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    rare = spark.range(31_000, 31_030).select(F.col("id").alias("doc_id"), F.concat(F.lit("junk v"), F.col("id")).alias("text"),
+                                              F.lit("en").alias("lang"), F.lit("rare").alias("source"))
+    labels = common.where("doc_id < 1000").select("doc_id", F.col("text").startswith("fine").cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    views = cotraining.score(common.union(rare), labels).groupBy("doc_id").agg(F.avg("metadata_score").alias("m")).where("doc_id in (5000, 31000)")
+    seen = {r.doc_id: r.m for r in views.collect()}
+    assert seen[5000] > 0.5 > seen[31000]
