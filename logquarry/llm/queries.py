@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm import (
-    chat, cotraining, fingerprints, lexicon_bpe, mixing, ngram_join, pii, quality_rules, token_store, warc)
+    chat, cotraining, fingerprints, hard_negatives, lexicon_bpe, mixing, ngram_join, pii, quality_rules, resampling, secret_scan,
+    token_store, warc)
 from logquarry.llm.common import table
 from logquarry.session import scratch_path, stage
 
@@ -174,3 +175,90 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of all documents by the co-trained classifier."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     return cotraining.score(docs, table(spark, sf, "labels"))
+
+
+def secret_sql(rules: list[secret_scan.Rule]) -> str:
+    """Spans as sums over what lies between the matches of each rule; every rule reads every text."""
+    found = "\nUNION ALL ".join(
+        f"""SELECT rowid AS r, doc_id, {place} AS place, '{r.kind}' AS kind, {r.least} AS least,
+          [len(x) FOR x IN string_split_regex(t, '{p}')] AS gaps, [len(x) FOR x IN regexp_extract_all(t, '{p}')] AS widths,
+          [len(x) FOR x IN regexp_extract_all(t, '{p}', {r.group})] AS sizes FROM texts"""
+        for place, r in enumerate(rules) for p in [r.pattern.replace("'", "''")])
+    kinds = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE)
+    return f"""
+    WITH texts AS (SELECT row_number() OVER () AS rowid, doc_id, coalesce(text, '') AS t FROM documents),
+    found AS ({found}),
+    numbered AS (SELECT *, unnest(range(1, len(widths) + 1)) AS i FROM found),
+    placed AS (SELECT r, place, kind, sizes[i] AS size, least, widths[i] AS width,
+        CAST(list_sum(gaps[1:i]) + coalesce(list_sum(widths[1:i - 1]), 0) AS BIGINT) AS pos FROM numbered),
+    kept AS (SELECT r, pos, place, kind, concat(kind, ':', pos, ':', pos + width) AS span FROM placed WHERE size >= least),
+    by_row AS (SELECT r, string_agg(span, ',' ORDER BY pos, place) AS spans,
+        string_agg(span, ',' ORDER BY pos, place) FILTER (WHERE kind IN ({kinds})) AS base,
+        {", ".join(f"count(*) FILTER (WHERE kind = '{b.kind}') AS n_{b.kind}" for b in secret_scan.BASE)} FROM kept GROUP BY r)
+    SELECT doc_id, {", ".join(f"coalesce(n_{b.kind}, 0) AS n_{b.kind}" for b in secret_scan.BASE)},
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN by_row ON rowid = r"""
+
+
+@query("op11_secret_scan", secret_sql(secret_scan.RULES))
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of secrets in all documents."""
+    found = secret_scan.find(table(spark, sf, "documents"))
+    spans, base = F.col("spans"), [r.kind for r in secret_scan.BASE]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in base],
+                        F.sha2(secret_scan.digest(spans, base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.digest(spans).alias("spans"))
+
+
+OP12_SQL = r"""
+WITH rest AS (SELECT list(list_reduce(list_concat([i], [0 FOR z IN range(8)]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) t(i)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+goal AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+doc_features AS (SELECT r, unnest(list_concat(w, [concat(w[i], ' ', w[i + 1]) FOR i IN range(1, len(w))])) AS f FROM docs),
+goal_features AS (SELECT unnest(list_concat(w, [concat(w[i], ' ', w[i + 1]) FOR i IN range(1, len(w))])) AS f FROM goal),
+known AS (SELECT DISTINCT f FROM (SELECT f FROM doc_features UNION ALL SELECT f FROM goal_features)),
+bytes AS (SELECT f, list_concat([4294967295], [CAST('0x' || substring(hex(encode(f)), 2 * i - 1, 2) AS BIGINT)
+    FOR i IN range(1, octet_length(encode(f)) + 1)]) AS b FROM known),
+placed AS (SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, rest),
+s AS (SELECT bucket, count(*) AS s FROM doc_features JOIN placed USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM goal_features JOIN placed USING (f) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE)
+    / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+summed AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM doc_features JOIN placed USING (f) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+    FROM docs LEFT JOIN summed USING (r)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, weight + noise AS score,
+  CASE WHEN n_words >= 20 AND place <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS rank FROM ordered"""
+
+
+@query("op12_resampling", OP12_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents weighed towards the benchmark's texts, and the draw's ranks."""
+    found = resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = """
+WITH rows AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS other, b.vec_id, a.label = b.label AS same,
+    CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM scored WHERE same) WHERE place <= 5),
+negatives AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.r, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank
+  FROM positives p JOIN scored s ON p.r = s.r AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all vectors; every seventh label is shifted."""
+    i, label = F.col("vec_id"), F.col("label")
+    return hard_negatives.mine(table(spark, sf, "embeddings"), i % 100 == 0, F.when(i % 7 == 0, (label + 1) % 10).otherwise(label))
