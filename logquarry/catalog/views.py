@@ -32,7 +32,7 @@ MESSAGES = [
     "Update of instance state failed",
 ]
 
-# Issue descriptions; together they touch every category.
+# Issue descriptions; together they touch every category but the database one.
 ISSUES = [
     "New virtual machines stop during boot because the network does not answer.",
     "The scheduler reports too little memory for every larger flavor.",

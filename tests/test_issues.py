@@ -8,12 +8,26 @@ from logquarry.plans.analysis import analyze_issues, history_hits
 from logquarry.operators.reports import history_context
 
 CATEGORIES = [
-    "network_issues", "resource_shortage", "timeout_issues", "service_failure", "resource_shortage",
-    "network_issues", "service_failure", "resource_shortage", "timeout_issues", "authentication",
-    "authentication", "resource_shortage", "service_failure", "general", "service_failure",
-    "service_failure", "resource_shortage",
+    "network_issues", "resource_shortage", "timeout_issues", "instance_issues", "resource_shortage",
+    "general", "service_failure", "resource_shortage", "timeout_issues", "service_failure",
+    "authentication", "resource_shortage", "service_failure", "general", "instance_issues",
+    "storage", "network_issues",
 ]
 
+# One sentence per category.
+SENTENCES = {
+    "timeout_issues": "The call timed out after a minute.",
+    "resource_shortage": "The node has insufficient disk left.",
+    "network_issues": "The gateway is unreachable.",
+    "service_failure": "Glance raises an exception at start.",
+    "authentication": "The credential was refused.",
+    "instance_issues": "It never finishes the spawn.",
+    "database": "Every query of mysql is slow.",
+    "storage": "A volume stays in the wrong place.",
+    "general": "It was a quiet night.",
+}
+TROUBLE = "I'm having trouble: No valid host was found, there are insufficient resources."
+
 
 @pytest.fixture(scope="module")
 def five(spark):
@@ -33,6 +47,12 @@ def test_categories(spark):
     assert got == CATEGORIES and len(got) == len(ISSUES)
 
 
+def test_a_sentence_of_every_category(spark):
+    rows = [(i, text, name) for i, (name, text) in enumerate(SENTENCES.items())]
+    got = ops.categorize(spark.createDataFrame(rows, "issue_id long, description string, wanted string")).collect()
+    assert [r.category for r in got] == [r.wanted for r in got]
+
+
 def test_advice_by_category(spark):
     rows = ops.recommendations(issues(spark)).collect()
     assert len([r for r in rows if r.issue_id == 3]) == 7
@@ -42,9 +62,10 @@ def test_advice_by_category(spark):
 
 @pytest.mark.parametrize("mode", ["fast", "hybrid"])
 def test_five_lines(spark, five, mode):
-    out = analyze_issues(five, issues(spark), mode=mode, encoder=hashing_encoder(32)).collect()
-    assert len(out) == 17
-    row = {r.issue_id: r for r in out}[17]
+    asked = issues(spark).union(spark.createDataFrame([(18, TROUBLE)], "issue_id long, description string"))
+    out = analyze_issues(five, asked, mode=mode, encoder=hashing_encoder(32)).collect()
+    assert len(out) == 18
+    row = {r.issue_id: r for r in out}[18]
     assert row.issue_category == "resource_shortage" and row.analysis_mode == mode
     assert {x.level for x in row.lines} >= {"ERROR"}
     assert row.relevant_logs_count == len(row.lines) <= 5
