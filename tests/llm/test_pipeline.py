@@ -73,10 +73,9 @@ def test_mix_and_tokens(outputs, word_bpe):
 
 
 def test_odd_and_no_documents(spark, sf, odd_documents, no_documents, tmp_path):
-    for start in (odd_documents.select("doc_id", "text", "lang", "source", "n_chars", "label"), no_documents):
-        docs = start
+    for number, docs in enumerate((odd_documents.select("doc_id", "text", "lang", "source", "n_chars", "label"), no_documents)):
         for i, (_, apply) in enumerate(corpus_pipeline.STAGES):
-            path = str(tmp_path / f"{start.columns[-1]}{i}")
+            path = str(tmp_path / f"input{number}-stage{i}")
             apply(spark, docs, sf).write.parquet(path)
             docs = spark.read.parquet(path)
         assert docs.count() >= 0
