@@ -23,10 +23,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logquarry.llm.common import process_store, small_batches
 from logquarry.session import scratch_path, stage
@@ -262,7 +264,7 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, size: int, text_column:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 units.update(text.split(" "))
-            if len(units) > 400_000:
+            if len(units) > 200_000:
                 yield rows()
         yield rows()
 
@@ -299,16 +301,23 @@ def publish_lexicon(spark: SparkSession, words: list[bytes], tokenizer_path: str
     return name
 
 
+UNIT_BYTES = 160  # what a cached unit takes besides its letters and ids
+
+
 class WordEncoder:
-    """Texts to ids: space-separated units are kept in a bounded cache, new words go through the lexicon."""
+    """Texts to ids: space-separated units are kept in a cache of at most ``cache_bytes``, new words go through the lexicon.
 
-    def __init__(self, tokenizer_path: str, lexicon: Lexicon, key: str, cache_units: int = 400_000):
-        store = process_store("lexicon units")
+    The worker keeps the merge rules and the mapped lexicon for later tasks; the units go with the encoder.
+    """
+
+    def __init__(self, tokenizer_path: str, lexicon: Lexicon, key: str, cache_bytes: int = 64 << 20):
+        store = process_store("lexicon rules")
         if store.get("key") != key:
             store.clear()
-            store.update(key=key, units={}, rules=Merger(tokenizer_path), lexicon=lexicon)
-        self.units, self.rules, self.lexicon = store["units"], store["rules"], store["lexicon"]
-        self.cache_units = cache_units
+            store.update(key=key, rules=Merger(tokenizer_path), lexicon=lexicon)
+        self.rules, self.lexicon = store["rules"], store["lexicon"]
+        self.units: dict[str, bytes] = {}
+        self.cache_bytes, self.used = cache_bytes, 0
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
         rules, parsed = self.rules, []
@@ -333,12 +342,13 @@ class WordEncoder:
         split = [text.split(" ") for text in texts]
         seen = set().union(*split) if split else set()
         unseen = seen.difference(self.units)
-        if len(self.units) + len(unseen) > self.cache_units:
-            self.units.clear()
-            unseen = seen
+        if self.used > self.cache_bytes:
+            self.units, self.used, unseen = {}, 0, seen
         unseen = list(unseen)
-        for at in range(0, len(unseen), 50_000):
-            self.units.update(self._learn(unseen[at : at + 50_000]))
+        for at in range(0, len(unseen), 20_000):
+            new = self._learn(unseen[at : at + 20_000])
+            self.used += sum(map(len, new)) + sum(map(len, new.values())) + UNIT_BYTES * len(new)
+            self.units.update(new)
         out = [b"".join(map(self.units.__getitem__, parts)) for parts in split]
         for unit in unseen:
             if len(unit) > 64:  # long ones aren't kept
@@ -346,6 +356,34 @@ class WordEncoder:
         return out
 
 
+class TokenDecoder:
+    """Ids to the text of their tokens, with a space between them."""
+
+    def __init__(self, tokens: dict[int, str]):
+        self.known = np.zeros(max(tokens) + 1, bool)
+        self.known[list(tokens)] = True
+        self.token = [tokens.get(i) for i in range(len(self.known))]
+
+    def __call__(self, raw: bytes | None) -> str:
+        ids = np.frombuffer(raw or b"", "<u4")
+        ids = ids[ids < len(self.known)]
+        return " ".join(map(self.token.__getitem__, ids[self.known[ids]].tolist()))
+
+
+STEP_CHARS = 1 << 22  # characters of texts that are widened at a time
+
+
+def parts_of(batch: pa.RecordBatch, column: int):
+    """The batch in slices of at most STEP_CHARS bytes of text, or single rows beyond that."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        done = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP_CHARS, side="right"))
+        done = max(done, at + 1)
+        yield batch.slice(at, done - at)
+        at = done
+
+
 def encode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = 300_000, text_column: str = "text",
            into: str = "ids") -> DataFrame:
     """``docs`` with column ``into``: the text's ids as uint32, little-endian (binary).
@@ -358,50 +396,50 @@ def encode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = 300_000, t
     return encode_with(docs, tokenizer_path, name, text_column, into)
 
 
-def encode_with(docs: DataFrame, tokenizer_path: str, lexicon: str, text_column: str = "text",
-                into: str = "ids") -> DataFrame:
-    """The encoding pass alone, with a published lexicon."""
-    from pyspark.sql import types as T
-
+def encode_with(docs: DataFrame, tokenizer_path: str, lexicon: str, text_column: str = "text", into: str = "ids",
+                decoded: str | None = None) -> DataFrame:
+    """The encoding pass alone, with a published lexicon; ``decoded`` names a column for what the ids decode to."""
     small_batches(docs.sparkSession)
-    rest = docs.drop(into)
-    shape = T.StructType([*rest.schema.fields, T.StructField(into, T.BinaryType())])
+    added = [into, *([decoded] if decoded else [])]
+    rest = docs.drop(*added)
+    types = [T.StructField(into, T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    shape = T.StructType([*rest.schema.fields, *types])
     at = rest.columns.index(text_column)
 
     def encoded(batches):
         coder = WordEncoder(tokenizer_path, Lexicon.mapped(SparkFiles.get(lexicon)), lexicon)
+        back = TokenDecoder(coder.rules.tokens) if decoded else None
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coder(texts), pa.binary())],
-                                             names=[*batch.schema.names, into])
+            for part in parts_of(batch, at):
+                ids = coder([t or "" for t in part.column(at).to_pylist()])
+                new = [pa.array(ids, pa.binary()), *([pa.array(map(back, ids), pa.string())] if decoded else [])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *added])
 
     return rest.mapInArrow(encoded, shape)
 
 
+def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_words: int = 300_000, text_column: str = "text",
+                  into: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the text's ids and what they decode to, in one pass of one worker a task."""
+    name = publish_lexicon(docs.sparkSession, frequent_words(docs, tokenizer_path, lexicon_words, text_column), tokenizer_path)
+    return encode_with(docs, tokenizer_path, name, text_column, into, decoded)
+
+
 def decode(docs: DataFrame, tokenizer_path: str, ids_column: str = "ids", into: str = "decoded") -> DataFrame:
     """``docs`` with column ``into``: the ids' tokens with a space between them; special tokens stay.
 
     Ids without a token are left out. The words' end marks stay, as the tokenizer's file names no decoder.
     """
-    from pyspark.sql import types as T
-
     small_batches(docs.sparkSession)
     rest = docs.drop(into)
     shape = T.StructType([*rest.schema.fields, T.StructField(into, T.StringType())])
     at = rest.columns.index(ids_column)
 
     def decoded(batches):
-        tokens = Merger(tokenizer_path).tokens
-        known = np.zeros(max(tokens) + 1, bool)
-        known[list(tokens)] = True
-        token = [tokens.get(i) for i in range(len(known))]
+        back = TokenDecoder(Merger(tokenizer_path).tokens)
         for batch in batches:
-            texts = []
-            for x in batch.column(at).to_pylist():
-                ids = np.frombuffer(x or b"", "<u4")
-                ids = ids[ids < len(known)]
-                texts.append(" ".join(map(token.__getitem__, ids[known[ids]].tolist())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             names=[*batch.schema.names, into])
+            for part in parts_of(batch, at):
+                texts = pa.array(map(back, part.column(at).to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, into])
 
     return rest.mapInArrow(decoded, shape)

@@ -47,8 +47,7 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     """All documents encoded through the lexicon and decoded again."""
     path = vocabulary("word_bpe_49k.json")
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    coded = lexicon_bpe.encode(docs, path).select("doc_id", "ids")
-    return lexicon_bpe.decode(coded, path).select(
+    return lexicon_bpe.encode_decode(docs, path).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

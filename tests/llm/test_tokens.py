@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,7 +38,7 @@ def test_words_equal_the_library(word_bpe):
     ordinals = some.find(words)
     assert (ordinals[::2] >= 0).all() and (ordinals[1::2] < 0).all()
     for key, lexicon in (("half", some), ("none", lexicon_bpe.Lexicon(lexicon_bpe.compile_lexicon({})))):
-        encode = lexicon_bpe.WordEncoder(word_bpe, lexicon, key, cache_units=300)
+        encode = lexicon_bpe.WordEncoder(word_bpe, lexicon, key, cache_bytes=50_000)
         wanted = Tokenizer.from_file(word_bpe).encode_batch(texts, add_special_tokens=False)
         for text, ids, want in zip(texts, encode(texts), wanted):
             assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
@@ -77,7 +78,9 @@ def test_empty_store(spark, no_documents, byte_bpe, tmp_path):
 
 
 def test_encode_and_decode(odd_documents, no_documents, word_bpe):
-    coded = lexicon_bpe.decode(lexicon_bpe.encode(odd_documents.withColumn("ids", F.lit(1)), word_bpe), word_bpe)
+    given = odd_documents.withColumn("ids", F.lit(1))
+    coded = lexicon_bpe.decode(lexicon_bpe.encode(given, word_bpe), word_bpe)
+    assert coded.exceptAll(lexicon_bpe.encode_decode(given, word_bpe)).count() == 0
     library = Tokenizer.from_file(word_bpe)
     rows = coded.collect()
     assert len(rows) == odd_documents.count() and coded.columns[:4] == odd_documents.columns[:4]
@@ -92,3 +95,11 @@ def test_lexicon_does_not_change_ids(spark, sf, word_bpe):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     few, many = (lexicon_bpe.encode(docs, word_bpe, lexicon_words=n).select("doc_id", "ids") for n in (10, 100_000))
     assert few.exceptAll(many).count() == 0
+
+
+def test_parts_keep_every_row(monkeypatch):
+    monkeypatch.setattr(lexicon_bpe, "STEP_CHARS", 10)
+    texts = ["", "a" * 30, "b" * 10, None, "cc", "dd" * 4, "e", "f" * 11, ""]
+    parts = list(lexicon_bpe.parts_of(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), 0))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(map(len, filter(None, p.column(0).to_pylist()))) <= 10 for p in parts)
