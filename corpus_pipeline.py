@@ -49,8 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with what they decode to as a digest."""
     path = vocabulary("word_bpe_49k.json")
-    coded = lexicon_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    return lexicon_bpe.decode(coded, path).select(
+    return lexicon_bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), path).select(
         "doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
