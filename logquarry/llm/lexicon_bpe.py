@@ -305,19 +305,19 @@ UNIT_BYTES = 160  # what a cached unit takes besides its letters and ids
 
 
 class WordEncoder:
-    """Texts to ids: space-separated units are kept in a cache of at most ``cache_bytes``, new words go through the lexicon.
+    """Texts to ids: space-separated units are cached, new words go through the lexicon.
 
-    The worker keeps the merge rules and the mapped lexicon for later tasks; the units go with the encoder.
+    The cache holds at most ``cache_bytes`` in two generations: a full young one becomes the old one, and what is
+    asked for again moves back, so frequent units stay. The worker keeps it for later tasks.
     """
 
-    def __init__(self, tokenizer_path: str, lexicon: Lexicon, key: str, cache_bytes: int = 64 << 20):
-        store = process_store("lexicon rules")
-        if store.get("key") != key:
-            store.clear()
-            store.update(key=key, rules=Merger(tokenizer_path), lexicon=lexicon)
-        self.rules, self.lexicon = store["rules"], store["lexicon"]
-        self.units: dict[str, bytes] = {}
-        self.cache_bytes, self.used = cache_bytes, 0
+    def __init__(self, tokenizer_path: str, lexicon: Lexicon, key: str, cache_bytes: int = 128 << 20):
+        self.store = process_store("lexicon units")
+        if self.store.get("key") != key:
+            self.store.clear()
+            self.store.update(key=key, rules=Merger(tokenizer_path), lexicon=lexicon, young={}, old={}, used=0)
+        self.rules, self.lexicon = self.store["rules"], self.store["lexicon"]
+        self.cache_bytes = cache_bytes
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
         rules, parsed = self.rules, []
@@ -339,20 +339,28 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
+        store = self.store
+        if store["used"] > self.cache_bytes // 2:
+            store.update(old=store["young"], young={}, used=0)
+        young, old = store["young"], store["old"]
         split = [text.split(" ") for text in texts]
         seen = set().union(*split) if split else set()
-        unseen = seen.difference(self.units)
-        if self.used > self.cache_bytes:
-            self.units, self.used, unseen = {}, 0, seen
-        unseen = list(unseen)
+        unseen = []
+        for unit in seen.difference(young):
+            ids = old.get(unit)
+            if ids is None:
+                unseen.append(unit)
+            else:
+                young[unit] = ids
+                store["used"] += UNIT_BYTES + len(unit) + len(ids)
         for at in range(0, len(unseen), 20_000):
             new = self._learn(unseen[at : at + 20_000])
-            self.used += sum(map(len, new)) + sum(map(len, new.values())) + UNIT_BYTES * len(new)
-            self.units.update(new)
-        out = [b"".join(map(self.units.__getitem__, parts)) for parts in split]
+            store["used"] += sum(map(len, new)) + sum(map(len, new.values())) + UNIT_BYTES * len(new)
+            young.update(new)
+        out = [b"".join(map(young.__getitem__, parts)) for parts in split]
         for unit in unseen:
             if len(unit) > 64:  # long ones aren't kept
-                del self.units[unit]
+                store["used"] -= UNIT_BYTES + len(unit) + len(young.pop(unit))
         return out
 
 
