@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from logquarry.catalog.rca import sql_encoded
 from logquarry.catalog.registry import query
-from logquarry.catalog.views import logs, table, with_logs
-from logquarry.functions.vectors import cosine, similarity_from_distance
+from logquarry.catalog.views import SQL_ISSUES, issues, logs, table, with_logs
+from logquarry.functions.text import truncate
+from logquarry.functions.vectors import cosine, hashing_encoder, similarity_from_distance
 from logquarry.operators.aggregates import dimension_check
-from logquarry.operators.ann import CellIndex, recall
+from logquarry.operators.ann import VectorIndex, recall, recall_by_score
 from logquarry.operators.documents import logs_from_documents, new_documents, to_documents
 from logquarry.operators.search import top_by_similarity
+from logquarry.session import scratch_path, stage
 
 # Mean vector of each label, as (label, vector) rows: one query per label over all vectors.
 SQL_CENTRES = """
@@ -24,6 +28,14 @@ def sql_cos(a: str, b: str) -> str:
     return SQL_COS.format(a=f"CAST({a} AS DOUBLE[])", b=b)
 
 
+SQL_LOG_TEXT = """service_type || ' ' || level || ': ' || message ||
+  CASE WHEN instance_id IS NULL THEN '' ELSE ' [Instance: ' || instance_id || ']' END"""
+# What ``truncate`` leaves of a description repeated beyond the limit.
+SQL_TRUNCATED = ("(SELECT CASE WHEN b > 0 AND 1000 - b > 800 THEN left(h, 1000 - b) ELSE h END || '...' FROM (SELECT h, "
+                 "strpos(reverse(h), ' ') AS b FROM (SELECT left(repeat(description || ' ', 60), 1000) AS h)))")
+SEARCH_WIDTH = 64
+
+
 def vectors(spark, sf):
     return table(spark, sf, "embeddings")
 
@@ -77,24 +89,72 @@ def similarity_scores(spark, sf):
         "vec_id", F.round(cosine(F.col("embedding"), F.col("_q")), 6).alias("similarity"))
 
 
-@query("vector_topk_ann")
+@query("vector_topk_ann", "SELECT DISTINCT CAST(label AS BIGINT) AS query_id, true AS enough, 20 AS hits FROM embeddings")
 def vector_topk_ann(spark, sf):
-    """Approximate search with its recall against the exact one, per query."""
-    docs = vectors(spark, sf)
-    index = CellIndex.fit(docs)
-    asked = label_queries(spark, sf)
-    found = index.search(index.assign(docs), asked, 20, doc_id="vec_id", query_id="query_id")
+    """Search over the stored index: per query, whether it finds nine tenths of the exact hits."""
+    docs, asked = vectors(spark, sf), label_queries(spark, sf)
+    index = VectorIndex.build(docs, scratch_path(spark, "index"), "vec_id")
+    found = stage(index.search(asked, 20, query_id="query_id"))
     exact = top_by_similarity(docs, asked, 20, "vec_id", "query_id")
-    return recall(found, exact, "query_id", "vec_id")
+    hits = found.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("hits"))
+    return recall(found, exact, "query_id", "vec_id").join(hits, "query_id").select(
+        "query_id", (F.col("recall") >= 0.9).alias("enough"), "hits")
 
 
 @query("vector_topk_all_cells", SQL_TOPK)
 def vector_topk_all_cells(spark, sf):
-    """The approximate search with every cell probed finds what the exact one does."""
-    docs = vectors(spark, sf)
-    index = CellIndex.fit(docs, cells=8)
-    return index.search(index.assign(docs), label_queries(spark, sf), 20, probe=8, doc_id="vec_id", query_id="query_id").select(
-        "query_id", "vec_id", "similarity", "rank")
+    """The index with every cell probed and every row scored exactly finds what the exact search does."""
+    index = VectorIndex.build(vectors(spark, sf), scratch_path(spark, "index"), "vec_id", cells=8)
+    return index.search(label_queries(spark, sf), 20, probe=8, rerank=None, query_id="query_id")
+
+
+def log_index(spark, sf):
+    """Index over the documents of all log lines, with what searches filter by."""
+    docs = to_documents(logs(spark, sf), chunking=True).withColumn("embedding", hashing_encoder(SEARCH_WIDTH)(F.col("document")))
+    return VectorIndex.build(stage(docs), scratch_path(spark, "index"), "log_id", meta=("service_type", "level", "is_chunked"))
+
+
+def long_issues(spark):
+    """The issues, each repeated beyond the length at which queries are cut."""
+    cut = truncate(F.repeat(F.concat("description", F.lit(" ")), 60))
+    return issues(spark).select("issue_id", hashing_encoder(SEARCH_WIDTH)(cut).alias("embedding"))
+
+
+def wanted():
+    return (F.col("service_type") == "nova-scheduler") & (F.col("level") == "ERROR") & ~F.col("is_chunked")
+
+
+SQL_WANTED = "service_type = 'nova-scheduler' AND level = 'ERROR'"
+
+
+@query("search_filtered", with_logs(
+    " SELECT issue_id, log_id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY "
+    "similarity DESC, log_id) AS rank FROM (SELECT issue_id, log_id, coalesce(similarity, 0) AS similarity FROM issues CROSS JOIN wanted "
+    "LEFT JOIN sims USING (issue_id, log_id))) WHERE rank <= 10",
+    ("issues", "SELECT issue_id, " + SQL_TRUNCATED + " AS description FROM (" + SQL_ISSUES + ")"),
+    ("wanted", f"SELECT log_id, {SQL_LOG_TEXT} AS document FROM logs WHERE {SQL_WANTED}"),
+    *sql_encoded("wanted", "log_id", "document", "k"), *sql_encoded("issues", "issue_id", "description", "q"),
+    ("sims", "SELECT issue_id, log_id, round(sum(k_e.x * q_e.x), 6) AS similarity FROM k_e JOIN q_e USING (d) GROUP BY 1, 2")))
+def search_filtered(spark, sf):
+    """Unchunked documents of one service and level, every cell that holds one opened."""
+    index = log_index(spark, sf)
+    return index.search(long_issues(spark), 10, probe=index.about.cells, rerank=None, where=wanted())
+
+
+@query("search_filtered_ann", with_logs(
+    f" SELECT issue_id, true AS enough, (SELECT CAST(least(count(*), 10) AS INT) FROM logs WHERE {SQL_WANTED}) AS hits, true AS narrow "
+    f"FROM ({SQL_ISSUES})"))
+def search_filtered_ann(spark, sf):
+    """The same with as few cells as the counts allow: recall, number of hits, and whether cells stayed closed."""
+    index = log_index(spark, sf)
+    asked = long_issues(spark)
+    found = stage(index.search(asked, 10, where=wanted()))
+    exact = index.search(asked, 10, probe=index.about.cells, rerank=None, where=wanted())
+    hits = found.groupBy("issue_id").agg(F.count(F.lit(1)).cast("int").alias("hits"))
+    matrix = np.array([r.embedding for r in asked.orderBy("issue_id").collect()])
+    narrow = bool((index.opened(matrix, 100, index.about.probe, wanted()).sum(axis=1) < index.about.cells).all())
+    return recall_by_score(found, exact, "issue_id").join(hits, "issue_id").select(
+        "issue_id", (F.col("recall") >= 0.9).alias("enough"), "hits", F.lit(narrow).alias("narrow"))
 
 
 @query("dim_check", """
@@ -104,10 +164,6 @@ def dim_check(spark, sf):
     return dimension_check(vectors(spark, sf))
 
 
-SQL_LOG_TEXT = """service_type || ' ' || level || ': ' || message ||
-  CASE WHEN instance_id IS NULL THEN '' ELSE ' [Instance: ' || instance_id || ']' END"""
-
-
 @query("add_logs", with_logs(f"""
   SELECT 'log_' || h AS doc_id, document, level, chunk_index, total_chunks, is_chunked FROM (
     SELECT md5(concat(log_id, '_', strftime(timestamp, '%Y-%m-%d %H:%M:%S.'),

@@ -23,6 +23,7 @@ from logquarry.session import small_table
 
 BLOCK_BYTES = 32 << 20
 WIDEST = 4096
+SCORES = 1 << 22  # similarities a task holds at a time
 DIGITS = 6
 
 
@@ -64,11 +65,17 @@ class BatchScorer:
         self.best: pa.Table | None = None
 
     def add(self, batch: pa.Table, vectors: np.ndarray, chosen: np.ndarray | None = None) -> None:
-        """Score all rows against the chosen queries (all of them by default)."""
+        """Score all rows against the chosen queries (all of them by default), as many at a time as SCORES allows."""
         which = np.arange(len(self.queries)) if chosen is None else chosen
-        if not len(which) or not batch.num_rows:
+        if not batch.num_rows:
             return
-        scores = np.round(vectors @ self.queries[which].T, DIGITS) + 0.0
+        step = max(1, SCORES // batch.num_rows)
+        for at in range(0, len(which), step):
+            part = which[at: at + step]
+            self.keep(batch, part, np.round(vectors @ self.queries[part].T, DIGITS) + 0.0)
+
+    def keep(self, batch: pa.Table, which: np.ndarray, scores: np.ndarray) -> None:
+        """Take in the rows' scores (rows, queries) for the queries ``which``."""
         floor = self.floor[which]
         if batch.num_rows > self.k:
             kth = np.partition(scores, batch.num_rows - self.k, axis=0)[batch.num_rows - self.k]

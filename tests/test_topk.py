@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logquarry.operators import search
-from logquarry.operators.ann import CellIndex
+from logquarry.operators.ann import VectorIndex, recall
 from logquarry.operators.topk import at_least_percentile, exact_percentiles
 
 
@@ -65,8 +65,38 @@ def test_threshold_and_no_queries(spark, space):
     assert search.top_by_similarity(d, q.where(F.lit(False)), 30).count() == 0
 
 
-def test_all_cells_probed_is_exact(spark, space):
+def test_all_cells_probed_is_exact(spark, space, tmp_path):
     docs, queries, d, q = space
-    index = CellIndex.fit(d, cells=5)
-    rows = index.search(index.assign(d), q, 10, probe=5).collect()
+    index = VectorIndex.build(d, str(tmp_path / "index"), "log_id", cells=5)
+    rows = index.search(q, 10, probe=5, rerank=None).collect()
     assert {(r.issue_id, r.log_id): r.rank for r in rows} == brute(docs, queries, 10)
+
+
+def test_index_is_stored_and_reads_few_cells(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    hubs = rng.normal(size=(30, 24))
+    rows = [(i, [float(x) for x in hubs[i % 30] + rng.normal(0, 0.3, 24)], "a" if i % 50 else "rare", i) for i in range(6_000)]
+    rows += [(6_000 + i, [0.1] * 24, "copy", i) for i in range(3_000)] + [(9_000, None, "a", 1), (9_001, [0.0] * 24, "zero", 1)]
+    d = spark.createDataFrame(rows, "log_id long, embedding array<double>, kind string, code int").drop("code").repartition(4)
+    path = str(tmp_path / "index")
+    VectorIndex.build(d, path, "log_id", meta=("kind",), sample=4_000)
+    index = VectorIndex(spark, path)
+    assert index.about.rows == 9_001 and index.rows().count() == 9_001
+    q = spark.createDataFrame([(i, [float(x) for x in hubs[i]]) for i in range(12)] + [(99, [0.0] * 24)], "issue_id long, embedding array<double>")
+    exact = search.top_by_similarity(d, q, 15)
+    found = index.search(q, 15, carry=("kind",))
+    assert all(r.recall >= 0.9 for r in recall(found, exact, "issue_id", "log_id").where("issue_id < 99").collect())
+    plan = index.rows().where("cell in (1, 2)")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell" in plan
+    rare = index.search(q, 15, probe=1, where=F.col("kind") == "rare", carry=("kind",)).collect()
+    assert {r.kind for r in rare} == {"rare"} and len(rare) == 13 * 15
+    few = index.search(q, 15, where=F.col("kind") == "zero").collect()
+    assert [r.log_id for r in few] == [9_001] * 13
+    assert index.search(q, 15, where=F.col("kind") == "none").count() == 0
+    assert index.search(q.where("false"), 15).count() == 0
+
+
+def test_index_of_nothing(spark, space, tmp_path):
+    _, _, d, q = space
+    index = VectorIndex.build(d.where("false"), str(tmp_path / "index"), "log_id")
+    assert index.about.rows == 0 and index.rows().count() == 0
