@@ -11,7 +11,7 @@ from logquarry.catalog.views import SQL_ISSUES, issues, logs, table, with_logs
 from logquarry.functions.text import truncate
 from logquarry.functions.vectors import cosine, hashing_encoder, similarity_from_distance
 from logquarry.operators.aggregates import dimension_check
-from logquarry.operators.ann import VectorIndex, recall, recall_by_score
+from logquarry.operators.ann import LEAST_ROWS, VectorIndex, recall, recall_by_score
 from logquarry.operators.documents import logs_from_documents, new_documents, to_documents
 from logquarry.operators.search import top_by_similarity
 from logquarry.session import scratch_path, stage
@@ -111,7 +111,8 @@ def vector_topk_all_cells(spark, sf):
 def log_index(spark, sf):
     """Index over the documents of all log lines, with what searches filter by."""
     docs = to_documents(logs(spark, sf), chunking=True).withColumn("embedding", hashing_encoder(SEARCH_WIDTH)(F.col("document")))
-    return VectorIndex.build(stage(docs), scratch_path(spark, "index"), "log_id", meta=("service_type", "level", "is_chunked"))
+    return VectorIndex.build(stage(docs), scratch_path(spark, "index"), "log_id", meta=("service_type", "level", "is_chunked"),
+                             typical=long_issues(spark))
 
 
 def long_issues(spark):
@@ -152,7 +153,7 @@ def search_filtered_ann(spark, sf):
     exact = index.search(asked, 10, probe=index.about.cells, rerank=None, where=wanted())
     hits = found.groupBy("issue_id").agg(F.count(F.lit(1)).cast("int").alias("hits"))
     matrix = np.array([r.embedding for r in asked.orderBy("issue_id").collect()])
-    narrow = bool((index.opened(matrix, 100, index.about.probe, wanted()).sum(axis=1) < index.about.cells).all())
+    narrow = bool((index.opened(matrix, LEAST_ROWS, index.about.probe, wanted()).sum(axis=1) < index.about.cells).all())
     return recall_by_score(found, exact, "issue_id").join(hits, "issue_id").select(
         "issue_id", (F.col("recall") >= 0.9).alias("enough"), "hits", F.lit(narrow).alias("narrow"))
 

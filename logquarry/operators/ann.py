@@ -35,6 +35,7 @@ from logquarry.session import small_table, stage
 SAMPLE = 65_536  # rows, about, that cells and codebooks are fitted on
 MOST_CELLS = 4_096
 CODES = 256
+LEAST_ROWS = 2_048  # rows of a condition that a search has in reach before it stops at the probed cells
 QUERIES_AT_ONCE = 256  # whose code tables a task holds
 
 
@@ -86,10 +87,12 @@ def cell_order(matrix: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argsort(-(matrix @ centres.T - (centres**2).sum(axis=1) / 2), axis=1, kind="stable")
 
 
-def fit_probe(sample: DataFrame, centres: np.ndarray, seed: int, queries: int = 256, k: int = 20, share: float = 0.95) -> int:
-    """Cells to probe so that ``share`` of drawn queries find ``share`` of their ``k`` nearest rows of the sample.
+def fit_probe(sample: DataFrame, centres: np.ndarray, seed: int, typical: DataFrame | None = None, queries: int = 256, k: int = 20,
+              share: float = 0.95) -> int:
+    """Cells to probe so that ``share`` of the queries find ``share`` of their ``k`` nearest rows of the sample.
 
-    A sample is thinner than the table, so neighbours lie further off in it than they do there.
+    ``queries`` of the ``typical`` vectors ask, or else rows of the sample. A sample is thinner than the table, so
+    neighbours lie further off in it than they do there.
     """
     width = centres.shape[1]
 
@@ -99,7 +102,8 @@ def fit_probe(sample: DataFrame, centres: np.ndarray, seed: int, queries: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "cell"])
 
     rows = stage(sample.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(placed, "x array<double>, _row long, cell int"))
-    asked = rows.orderBy(F.xxhash64(F.lit(seed), "_row"), "_row").limit(queries).select(F.col("_row").alias("_asks"), "x")
+    source = rows if typical is None else typical.withColumn("_row", -1 - F.monotonically_increasing_id())
+    asked = source.orderBy(F.xxhash64(F.lit(seed), "_row"), "_row").limit(queries).select(F.col("_row").alias("_asks"), "x")
     asked = {r["_asks"]: r.x for r in asked.collect()}  # at most ``queries`` rows
     table = sample.sparkSession.createDataFrame(list(asked.items()), "_asks long, x array<double>")
     order = dict(zip(asked, cell_order(np.array(list(asked.values())), centres)))
@@ -124,18 +128,21 @@ class VectorIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, id_column: str = "doc_id", column: str = "embedding", meta: tuple[str, ...] = (),
-              carry: tuple[str, ...] = (), cells: int | None = None, parts: int = 16, sample: int = SAMPLE, seed: int = 42) -> "VectorIndex":
+              carry: tuple[str, ...] = (), cells: int | None = None, parts: int = 16, sample: int = SAMPLE, seed: int = 42,
+              typical: DataFrame | None = None) -> "VectorIndex":
         """Fit on about ``sample`` rows and store all rows that have a vector.
 
         By default there are as many cells as the root of the number of rows, at most MOST_CELLS. ``meta`` names the
-        columns that searches may filter by, ``carry`` others that results should have.
+        columns that searches may filter by, ``carry`` others that results should have. ``typical`` queries, in the same
+        column, should be given where queries are unlike the rows.
         """
         spark = docs.sparkSession
         kept = list(dict.fromkeys([id_column, *meta, *carry]))
         rows = docs.where(F.col(column).isNotNull()).select(*kept, column)
         n = rows.count()
-        unit = F.transform(column, lambda x: x.cast("double") / F.nullif(norm(F.col(column)), F.lit(0.0)))
-        drawn = stage(rows.sample(min(1.0, sample / max(n, 1)), seed).select(unit.alias("x")).where("x[0] is not null"))
+        unit = F.transform(column, lambda x: x.cast("double") / F.nullif(norm(F.col(column)), F.lit(0.0))).alias("x")
+        typical = None if typical is None else typical.select(unit).where("x[0] is not null")
+        drawn = stage(rows.sample(min(1.0, sample / max(n, 1)), seed).select(unit).where("x[0] is not null"))
         size = drawn.count()
         first = rows.select(F.size(column).alias("width")).first()
         width = first.width if first else 1
@@ -144,7 +151,7 @@ class VectorIndex:
         if size:
             model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="x").fit(drawn.select(array_to_vector("x").alias("x")))
             centres = np.stack(model.clusterCenters())
-            books, probe = fit_codebooks(drawn, centres, parts, seed), fit_probe(drawn, centres, seed)
+            books, probe = fit_codebooks(drawn, centres, parts, seed), fit_probe(drawn, centres, seed, typical)
         else:
             probe, centres, books = 1, np.zeros((1, width)), [np.zeros((1, len(c))) for c in np.array_split(np.arange(width), parts)]
         cuts = np.array_split(np.arange(width), parts)
@@ -209,7 +216,7 @@ class VectorIndex:
         probe = min(probe or about.probe, about.cells)
         passes = []
         for ids, matrix in query_blocks(queries, query_id, column, about.width):
-            allowed = self.opened(matrix, k * (rerank or 1), probe, where)
+            allowed = self.opened(matrix, max(k * (rerank or 1), LEAST_ROWS), probe, where)
             cells = [int(c) for c in np.nonzero(allowed.any(axis=0))[0]]
             rows = self.rows().where(F.col("cell").isin(cells) if cells else F.lit(False))
             rows = rows if where is None else rows.where(where)
