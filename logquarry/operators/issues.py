@@ -12,6 +12,7 @@ from logquarry.functions import importance as rules
 from logquarry.functions.text import mentions
 from logquarry.operators.filters import is_severe
 from logquarry.operators.search import top_by_similarity
+from logquarry.operators.term_index import TermIndex
 from logquarry.operators.tfidf import TfidfModel
 from logquarry.operators.topk import at_least_percentile, top_per_group
 from logquarry.session import small_table
@@ -102,19 +103,20 @@ def fast_filter(
     k: int = dims.TOP_RELEVANT,
     threshold: float = dims.TFIDF_THRESHOLD,
     survivors: DataFrame | None = None,
+    index: TermIndex | None = None,
 ) -> DataFrame:
     """Per issue the k important lines most similar to it by TF-IDF.
 
     Lines below the threshold do not count; an issue left without lines gets the most
-    important ones. Columns: issue_id, log_id, the line's fields, similarity, score, rank.
+    important ones. ``index`` is one of the surviving lines' messages; without it one is built.
+    ``log_id`` identifies a line. Columns: issue_id, log_id, the line's fields, similarity, score, rank.
     """
     kept = importance_filter(logs) if survivors is None else survivors
-    tfidf = model or TfidfModel.fit(kept, "message")
-    hits = top_by_similarity(
-        tfidf.counts(kept, "message"), tfidf.counts(issues, "description"), k,
-        vector=("indices", "counts"), width=len(tfidf.vocabulary) or 1, scale=tfidf.idf or [0.0],
-        threshold=threshold, carry=PAYLOAD,
-    ).drop("rank").withColumn("_hit", F.lit(1))
+    if index is None:
+        index = TermIndex.build(kept, model or TfidfModel.fit(kept, "message"))
+    found = index.search(issues, k, threshold).drop("rank")
+    known = logs if "importance" in logs.columns else kept  # the hits are survivors, so the filter needn't run again
+    hits = known.select("log_id", *PAYLOAD).join(found, "log_id").withColumn("_hit", F.lit(1))
     spare = spare_lines(issues, kept, k).withColumn("_hit", F.lit(0))
     has_hits = F.max("_hit").over(Window.partitionBy("issue_id"))
     chosen = hits.unionByName(spare).withColumn("_any", has_hits).where("_hit = _any")
