@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from logquarry.catalog.registry import query
 from logquarry.catalog.views import SQL_RAW, logs, raw_lines, table, with_logs
-from logquarry.session import scratch_path
+from logquarry.plans.feature_snapshot import FeatureSnapshot
+from logquarry.plans.features import engineer_all
+from logquarry.session import scratch_path, stage
 from logquarry.sources import snapshot
 from logquarry.sources.files import (
     discover_files,
@@ -115,3 +117,29 @@ def src_incremental(spark, sf):
     second = kept.refresh(root)
     return snapshot.inventory(kept.manifest()).select(
         (F.lit(first) == F.col("entries")).alias("loaded_all"), F.lit(second).cast("long").alias("loaded_again"), "rows")
+
+
+@query("src_incremental_features", with_logs("""
+  SELECT true AS same, true AS fewer, CAST(0 AS BIGINT) AS framed_again, count(*) AS rows FROM logs
+  WHERE CAST(timestamp AS DATE) > (SELECT min(CAST(timestamp AS DATE)) FROM logs)"""))
+def src_incremental_features(spark, sf):
+    """The feature snapshot after a day of files came and another went: equal to all features made anew, with fewer spans framed."""
+    root = scratch_path(spark, "daily-logs")
+    day = F.regexp_extract("line", " ([0-9]{4}-[0-9]{2}-[0-9]{2}) ", 1)
+    lines = raw_lines(spark, sf).select(F.col("line").alias("value"), day.alias("day"))
+    days = lines.agg(F.min("day"), F.max("day")).first()
+    lines.where(F.col("day") < days[1]).write.partitionBy("day").text(root)
+    kept = FeatureSnapshot(spark, scratch_path(spark, "features"))
+    first = kept.refresh(root)
+    lines.where(F.col("day") == days[1]).write.mode("append").partitionBy("day").text(root)
+    if days[0] != days[1]:
+        oldest = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/day={days[0]}")
+        oldest.getFileSystem(spark._jsc.hadoopConfiguration()).delete(oldest, True)
+    second, third = kept.refresh(root), kept.refresh(root)
+    full = engineer_all(read_logs(spark, root), tiebreak=("source_file", "line_number"), materialize=stage)
+    # means and deviations are sums of doubles, whose last digits depend on the order of addition
+    names = [F.round(n, 6).alias(n) if t == "double" else F.col(n) for n, t in full.dtypes if n != "ingestion_time"]
+    now, anew = stage(kept.features().select(names)), stage(full.select(names))
+    same = now.count() == anew.count() and now.exceptAll(anew).isEmpty()
+    return now.agg(F.lit(same).alias("same"), F.lit(second["framed"] < first["framed"]).alias("fewer"),
+                   F.lit(third["framed"]).cast("long").alias("framed_again"), F.count(F.lit(1)).alias("rows"))

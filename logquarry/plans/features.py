@@ -31,6 +31,18 @@ def text_features(df: DataFrame) -> DataFrame:
     return df.withColumns(text.counts(F.col("message"))).withColumns(text.flags(F.col("message")))
 
 
+def with_length(df: DataFrame) -> DataFrame:
+    return df.withColumn("message_length", text.counts(F.col("message"))["message_length"])
+
+
+def frames(w) -> dict:
+    """All columns that look at neighbouring rows."""
+    out = {}
+    for build in FRAMES:
+        out.update(build(w))
+    return out
+
+
 def engineer_all(
     df: DataFrame,
     tiebreak: tuple[str, ...] = ("log_id",),
@@ -44,24 +56,23 @@ def engineer_all(
     ``materialize`` may write the framed rows to a table and return its reader; the statistics then
     read that table instead of repeating the frames.
     """
-    rows = df.withColumn("message_length", text.counts(F.col("message"))["message_length"])
+    rows = with_length(df)
     indexed = sequence.add_bucket_positions(
         with_global_index(rows, tiebreak=tiebreak, keep_groups=True)
     )
+    framed = keyed.number_in_block(over_blocks(indexed, frames, keep_block=True))
+    if materialize is None:
+        return complete(framed, rows)
+    return complete(materialize(framed), materialize=materialize)
 
-    def frames(w):
-        out = {}
-        for build in FRAMES:
-            out.update(build(w))
-        return out
 
-    framed = keyed.number_in_block(over_blocks(indexed, frames, keep_block=True))
-    if materialize is not None:
-        framed = materialize(framed)
+def complete(framed: DataFrame, stats_from: DataFrame | None = None,
+             materialize: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The features beyond row frames. Statistics read ``stats_from``, by default the framed rows, which are then a table."""
+    rows = framed if stats_from is None else stats_from
     with_instances = keyed.add_instance_features(framed)
-    with_requests = keyed.add_request_stats(
-        with_instances, stats_from=framed if materialize else df, materialize=materialize)
-    out = anomaly.message_length_anomaly(with_requests, stats_from=framed if materialize else rows)
+    with_requests = keyed.add_request_stats(with_instances, stats_from=rows, materialize=materialize)
+    out = anomaly.message_length_anomaly(with_requests, stats_from=rows)
     out = anomaly.time_gap_anomaly(out, stats_from=framed)
-    out = anomaly.minute_frequency(out, stats_from=framed if materialize else df)
+    out = anomaly.minute_frequency(out, stats_from=rows)
     return text_features(temporal_features(out.drop(*MINUTE_FACTS)))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry import dims
@@ -41,11 +43,20 @@ def level_inventory(logs: DataFrame) -> DataFrame:
     return logs.groupBy("source_file", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+GONE = -1  # rows of a manifest entry whose file has been deleted
+
+
+def _plain(path: Column) -> Column:
+    """A path without scheme and host."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+
+
 class LogSnapshot:
     """Parsed lines under ``path/logs`` with their manifest under ``path/manifest``.
 
     ``refresh`` parses new and changed files only. Lines are stored by load; the manifest says
-    which load of a file counts, so a changed file replaces its earlier lines.
+    which load of a file counts, so a changed file replaces its earlier lines. A file below the given roots
+    that is no longer there gets a last entry without rows, and its lines count no more.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -56,12 +67,17 @@ class LogSnapshot:
         if entries is None:
             return self.spark.createDataFrame([], MANIFEST)
         latest = entries.groupBy("path").agg(F.max_by(F.struct("size", "mtime", "loaded_at", "rows"), "loaded_at").alias("e"))
-        return latest.select("path", "e.*")
+        return latest.select("path", "e.*").where(F.col("rows") != GONE)
 
     def refresh(self, roots: str | list[str], max_age_hours: int = dims.SNAPSHOT_MAX_AGE_HOURS,
                 force: bool = False) -> int:
-        """Load what is new; returns the number of files loaded."""
+        """Load what is new and drop what is gone; returns the number of files loaded."""
         listing = discover_files(self.spark, roots)
+        folders = [_plain(F.lit(r.rstrip("/"))) for r in ([roots] if isinstance(roots, str) else roots)]
+        below = reduce(or_, [F.startswith(_plain(F.col("path")), F.concat(f, F.lit("/"))) | (_plain(F.col("path")) == f) for f in folders])
+        gone = self.manifest().where(below).join(listing, "path", "left_anti")
+        gone.select("path", "size", "mtime", F.current_timestamp().alias("loaded_at"), F.lit(GONE).cast("long").alias("rows")).write.mode(
+            "append").parquet(f"{self.path}/manifest")
         todo = listing if force else changed_files(listing, self.manifest(), max_age_hours)
         paths = [r["path"] for r in todo.select("path").toLocalIterator()]
         if not paths:
@@ -82,15 +98,26 @@ class LogSnapshot:
         lines = self._read("logs")
         if lines is None:
             return None
-        current = self.manifest().select(F.col("path").alias("source_file"), "loaded_at")
-        return lines.join(current, ["source_file", "loaded_at"], "left_semi")
+        return lines.join(self.loads(), ["source_file", "loaded_at"], "left_semi")
+
+    def loads(self) -> DataFrame:
+        """The loads that count, as ``(source_file, loaded_at)``."""
+        return self.manifest().select(F.col("path").alias("source_file"), "loaded_at")
+
+    def all_lines(self) -> DataFrame | None:
+        """The lines of every load, also of those that count no more."""
+        return self._read("logs")
 
     def _read(self, name: str) -> DataFrame | None:
-        folder = f"{self.path}/{name}"
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
-            return None
-        return self.spark.read.parquet(folder)
+        return table_at(self.spark, f"{self.path}/{name}")
+
+
+def table_at(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The parquet table in a folder, or None where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(folder)
 
 
 def load_first_available(loaders: list[Callable[[], DataFrame | None]]) -> DataFrame | None:
