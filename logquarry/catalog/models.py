@@ -15,6 +15,7 @@ from logquarry.operators.model import (
     stratified_split,
     train_on_columns,
 )
+from logquarry.session import scratch_path
 
 
 def labelled(spark, sf):
@@ -63,3 +64,14 @@ def perm_importance(spark, sf):
     rows = labelled(spark, sf).select("doc_id", "quality", *[(counts[c] / 1000.0).alias(c) for c in names])
     weights, intercept = train_on_columns(rows, names, "quality")
     return permutation_importance(rows, "doc_id", names, linear_probability(weights, intercept))
+
+
+@query("model_round_trip", "SELECT true AS same, count(*) AS rows FROM documents JOIN labels USING (doc_id)")
+def model_round_trip(spark, sf):
+    """A model saved and loaded again scores every labelled document as before."""
+    rows = labelled(spark, sf)
+    model, path = ImportanceModel.train(rows, "text", "quality", max_iter=5), scratch_path(spark, "model")
+    model.save(path)
+    first = model.score(rows, "text").select("doc_id", F.round("importance", 9).alias("p"))
+    second = ImportanceModel.load(path).score(rows, "text").select("doc_id", F.round("importance", 9).alias("q"))
+    return first.join(second, "doc_id").agg(F.every(F.col("p") == F.col("q")).alias("same"), F.count(F.lit(1)).alias("rows"))

@@ -3,6 +3,9 @@ folder as several files and read back."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from logquarry.catalog.registry import query
@@ -18,7 +21,7 @@ from logquarry.sources.files import (
     read_lines,
     read_logs,
 )
-from logquarry.sources.store import export_documents, load_logs, save_logs
+from logquarry.sources.store import DocumentStore, export_documents, load_logs, save_logs
 from logquarry.operators.documents import to_documents
 
 
@@ -143,3 +146,70 @@ def src_incremental_features(spark, sf):
     same = now.count() == anew.count() and now.exceptAll(anew).isEmpty()
     return now.agg(F.lit(same).alias("same"), F.lit(second["framed"] < first["framed"]).alias("fewer"),
                    F.lit(third["framed"]).cast("long").alias("framed_again"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("src_named", with_logs("""
+  SELECT service_type AS folder, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS others
+  FROM raw JOIN logs USING (log_id) GROUP BY service_type""", ("raw", SQL_RAW)))
+def src_named(spark, sf):
+    """Two roots of which one lies in the other, files chosen by name: each file counts once."""
+    root = written_files(spark, sf)
+    roots = [root, f"{root}/service=nova-scheduler"]
+    others = discover_files(spark, roots, "no-such-name").count()
+    return discover_files(spark, roots, "PART-").groupBy(F.regexp_extract("path", FOLDER, 1).alias("folder")).agg(
+        F.sum("size").alias("bytes"), F.lit(others).cast("long").alias("others"))
+
+
+@query("src_metadata", with_logs("SELECT service_type AS folder, count(*) AS lines, true AS complete FROM logs GROUP BY service_type"))
+def src_metadata(spark, sf):
+    """What ingest adds to a line: file, its size and last change, line number, time of ingest, id."""
+    lines = read_logs(spark, written_files(spark, sf))
+    known = [F.col(c).isNotNull() for c in ("source_file", "line_number", "ingestion_time", "log_id")]
+    sane = reduce(and_, [*known, F.col("line_number") >= 1, F.col("ingestion_time") <= F.current_timestamp(),
+                         F.regexp_extract("source_file", FOLDER, 1) == F.col("service_type")])
+    return lines.groupBy(F.regexp_extract("source_file", FOLDER, 1).alias("folder")).agg(
+        F.count(F.lit(1)).alias("lines"), F.every(sane).alias("complete"))
+
+
+@query("snapshot_levels", with_logs("SELECT level, count(*) AS n, CAST(0 AS BIGINT) AS young FROM logs GROUP BY level"))
+def snapshot_levels(spark, sf):
+    """Levels of the lines a snapshot holds, and how many of its entries are younger than no hours."""
+    kept = snapshot.LogSnapshot(spark, scratch_path(spark, "snapshot"))
+    kept.refresh(written_files(spark, sf))
+    young = snapshot.expire(kept.manifest(), 0).count()
+    return snapshot.level_inventory(kept.read()).groupBy("level").agg(
+        F.sum("n").alias("n"), F.lit(young).cast("long").alias("young"))
+
+
+@query("src_priority", with_logs("""
+  SELECT step, source, (SELECT count(*) FROM logs) AS rows
+  FROM (VALUES (1, 'files'), (2, 'snapshot'), (3, 'documents')) AS v(step, source)"""))
+def src_priority(spark, sf):
+    """Which source serves: the files at first, the snapshot once there is one, then the stored documents."""
+    root, kept, stored = written_files(spark, sf), scratch_path(spark, "snapshot"), scratch_path(spark, "documents")
+
+    def served(step):
+        found = snapshot.load_first_available(snapshot.default_order(spark, stored, kept, [root]))
+        source = "documents" if "doc_id" in found.columns else "snapshot" if "loaded_at" in found.columns else "files"
+        return found.agg(F.lit(step).alias("step"), F.lit(source).alias("source"), F.count(F.lit(1)).alias("rows"))
+
+    first = served(1)
+    snapshot.LogSnapshot(spark, kept).refresh(root)
+    second = served(2)
+    DocumentStore(spark, stored).add(to_documents(read_logs(spark, root)))
+    return first.union(second).union(served(3))
+
+
+@query("clear_documents", with_logs("""
+  SELECT count(*) AS stored, CAST(0 AS BIGINT) AS cleared, count(*) FILTER (WHERE level = 'CRITICAL') AS stored_again FROM logs"""))
+def clear_documents(spark, sf):
+    """A document store filled twice with the same lines, cleared, and filled with a part of them."""
+    store, docs = DocumentStore(spark, scratch_path(spark, "documents")), stage(to_documents(logs(spark, sf)))
+    store.add(docs)
+    store.add(docs)
+    stored = store.read().count()
+    store.clear()
+    cleared = store.read().count()
+    store.add(docs.where("level = 'CRITICAL'"))
+    return store.read().agg(F.lit(stored).cast("long").alias("stored"), F.lit(cleared).cast("long").alias("cleared"),
+                            F.count(F.lit(1)).alias("stored_again"))
