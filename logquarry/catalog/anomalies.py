@@ -180,3 +180,15 @@ SQL_ALL = f"SELECT * EXCLUDE (gap) FROM ({SQL_ALL})"
 def engineered(spark, sf):
     out = engineer_all(logs(spark, sf), materialize=stage)
     return out.withColumns({c: F.round(c, 6) for c in ROUNDED})
+
+
+def _sql_scaled(name: str) -> str:
+    x = f"coalesce(CAST({name} AS DOUBLE), 0)"
+    return (f"CASE WHEN stddev_pop({x}) OVER () = 0 THEN 0 ELSE round(({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER (), 4) END AS {name}")
+
+
+@query("model_matrix", "SELECT log_id, " + ", ".join(map(_sql_scaled, dims.MODEL_COLUMNS)) + f" FROM ({SQL_ALL})")
+def model_matrix(spark, sf):
+    """The 26 columns of the model, scaled, for every line."""
+    features = stage(engineer_all(logs(spark, sf), materialize=stage))
+    return anomaly.model_matrix(features).select("log_id", *[F.round(c, 4).alias(c) for c in dims.MODEL_COLUMNS])

@@ -9,7 +9,7 @@ from logquarry.catalog.registry import query
 from logquarry.catalog.views import SQL_RAW, logs, raw_lines, table, with_logs
 from logquarry.functions import importance, parsing, temporal, text
 from logquarry.functions.chunking import chunk
-from logquarry.operators.labels import apply_labels, fit_labels, indexed_features
+from logquarry.operators.labels import apply_labels, classic_matrix, fit_labels, indexed_features
 from logquarry.sources.files import parse_lines, rejected_lines
 
 SQL_STOPS = "[" + ", ".join(f"'{w}'" for w in dims.STOP_WORDS) + "]"
@@ -297,3 +297,16 @@ def display_cols(spark, sf):
 def rec_urgency(spark, sf):
     return table(spark, sf, "conversations").select(
         "conv_id", "turn", importance.urgency(F.col("text")).alias("urgency"))
+
+
+@query("classic_matrix", with_logs(
+    "SELECT log_id, message_length, word_count, hour, day_of_week, minute, has_instance_id, has_request_id, "
+    + ", ".join(f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'unknown')) - 1 AS INT) AS {c}_encoded" for c in ("level", "service_type", "module"))
+    + ", " + ", ".join(f"has_{w}" for w in dims.IMPORTANT_WORDS[:10])
+    + f" FROM ({SQL_ML}) JOIN (SELECT log_id, level, service_type, CASE WHEN log_id % 7 <> 0 THEN concat('unit', log_id % 5) END AS module "
+      "FROM logs) USING (log_id)"))
+def classic_inputs(spark, sf):
+    """The 20 inputs of classic models; every seventh line has no module."""
+    i = F.col("log_id")
+    lines = logs(spark, sf).withColumn("module", F.when(i % 7 != 0, F.concat(F.lit("unit"), (i % 5).cast("string"))))
+    return classic_matrix(lines)

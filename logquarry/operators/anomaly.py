@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logquarry import dims
 from logquarry.functions.temporal import flag
 
 
@@ -98,3 +99,13 @@ def scale(df: DataFrame, columns: list[str], kind: str = "standard") -> DataFram
         )
         for name in columns
     })
+
+
+def model_matrix(features: DataFrame, key: str = "log_id", columns: list[str] | None = None, kind: str = "standard") -> DataFrame:
+    """The key with the columns a model is fed (``dims.MODEL_COLUMNS``), as scaled doubles; missing values count as 0.
+
+    ``features`` are read twice, so they should be a table.
+    """
+    names = dims.MODEL_COLUMNS if columns is None else columns
+    filled = features.select(key, *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])
+    return scale(filled, names, kind)

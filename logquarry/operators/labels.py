@@ -54,3 +54,14 @@ MODEL_INPUT = [
     "message_length", "word_count", "hour", "day_of_week", "minute",
     "level_encoded", "service_type_encoded", "module_encoded", "has_instance_id", "has_request_id",
 ]
+
+
+def classic_matrix(df: DataFrame, key: str = "log_id", labels: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The key and the 20 columns of classic models: sizes, time parts, codes of level, service and module, flags.
+
+    ``labels`` holds the codes of the training table by column; by default they are fitted on ``df``.
+    """
+    coded = df
+    for column in ("level", "service_type", "module"):
+        coded = apply_labels(coded, labels[column] if labels else fit_labels(df, column), column)
+    return indexed_features(coded).select(key, *MODEL_INPUT, *text.keyword_flags(F.col("message")))
