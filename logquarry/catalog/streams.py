@@ -60,3 +60,15 @@ def str_error_rates(spark, sf):
     return drained(spark, stream, "str-rates").select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "errors",
         F.round("error_percent", 6).alias("error_percent"))
+
+
+@query("str_instance_stats", with_logs("""
+  SELECT CAST(date_trunc('day', timestamp) AS TIMESTAMP) AS period_start, instance_id, count(*) FILTER (WHERE level = 'ERROR') AS errors,
+    count(*) AS n, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM logs WHERE instance_id IS NOT NULL
+    AND date_trunc('day', timestamp) + INTERVAL 1 DAY <= (SELECT max(timestamp) - INTERVAL 10 MINUTES FROM logs WHERE instance_id IS NOT NULL)
+  GROUP BY 1, 2"""))
+def str_instance_stats(spark, sf):
+    """Statistics per instance and closed day."""
+    stream = jobs.instance_statistics(jobs.read_stream(spark, written_files(spark, sf)))
+    return drained(spark, stream, "str-instances").select(
+        F.col("period_start").cast("timestamp_ntz").alias("period_start"), "instance_id", "errors", "n", "first_seen", "last_seen")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from logquarry.catalog.views import logs, table
 from logquarry.operators.documents import to_documents
-from logquarry.operators.labels import apply_labels, fit_labels
+from logquarry.operators.anomaly import model_matrix
+from logquarry.operators.labels import MODEL_INPUT, apply_labels, classic_matrix, fit_labels
 from logquarry.operators.model import ImportanceModel, stratified_split
 from logquarry.sources.snapshot import LogSnapshot, changed_files, expire, inventory, load_first_available
 from logquarry.sources.store import DocumentStore, load_logs, save_logs
@@ -82,3 +83,14 @@ def test_model_round_trip(spark, sf, tmp_path):
     second = again.score(rows, "text").select("doc_id", F.round("importance", 9).alias("p"))
     assert first.exceptAll(second).count() == 0
     assert first.where("p < 0 or p > 1").count() == 0
+
+
+def test_model_inputs(spark, sf):
+    rows = spark.createDataFrame([(1, 2.0, None, 7), (2, 4.0, 1, 7), (3, None, 1, 7)], "log_id long, a double, b int, c int")
+    got = {r.log_id: (round(r.a, 4), round(r.b, 4), r.c) for r in model_matrix(rows, columns=["a", "b", "c"]).collect()}
+    assert got == {1: (0.0, -1.4142, 0.0), 2: (1.2247, 0.7071, 0.0), 3: (-1.2247, 0.7071, 0.0)}
+    lines = logs(spark, sf).withColumn("module", F.lit(None).cast("string"))
+    train, rest = lines.where("log_id % 2 = 0"), lines.where("log_id % 2 = 1")
+    matrix = classic_matrix(rest, labels={c: fit_labels(train, c) for c in ("level", "service_type", "module")})
+    assert matrix.columns[1:11] == MODEL_INPUT and len(matrix.columns) == 21 and matrix.count() == rest.count()
+    assert matrix.where("module_encoded <> 0").count() == 0
