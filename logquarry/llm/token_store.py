@@ -20,6 +20,8 @@ Null texts count as empty. A null doc_id sorts first; rows with equal ids are ke
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +38,19 @@ BLOCKS = ("shard int, block int, first_doc long, last_doc long, null_ids int, n_
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
 NO_DICTIONARY = "none"
 SPACE_LETTER = "Ġ"  # stands for a space in the tokens of byte-level tokenizers
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: A run of Latin letters with the space before it, where the pre-tokenizer surely cuts on both sides: an ASCII
+#: character that is no letter (or the end) follows; without a space of its own, the text begins, or a digit, a sign other
+#: than the apostrophe, or a single line feed comes before.
+RUN = re.compile(rf"((?: |\A|(?<=[!-&(-@\[-`{{-~])|(?<=\S\n))[{LETTERS}]++(?=[\t-\r -@\[-`{{-~]|\Z))")
 
 
 class Encoder:
-    """``tokenizers`` encoding through a bounded cache of space-separated units.
+    """``tokenizers`` encoding through a bounded cache of units: runs of letters and what lies between them.
 
-    A byte-level tokenizer of this kind never joins what a single space between two other
-    characters separates, and each unit carries its leading space, so the ids of a text are those
-    of its units end to end. Texts with a unit that is empty or touches other white space are
-    cut only where that holds.
+    The usual byte-level pre-tokenizer cuts around every such run (RUN), and merges never cross its cuts, so the ids
+    of a text are those of its units end to end. Texts that hold an added token, and all texts of tokenizers
+    with another pre-tokenizer or a normalizer, are encoded whole.
     """
 
     def __init__(self, path: str, width: int = 4, cache_units: int = 800_000, long_unit: int = 64):
@@ -57,8 +63,14 @@ class Encoder:
             tokenizer.no_padding()
             begins = np.zeros(tokenizer.get_vocab_size(), bool)  # tokens that begin with a space
             begins[[i for t, i in tokenizer.get_vocab().items() if t.startswith(SPACE_LETTER)]] = True
-            store.update(tokenizer=tokenizer, units={}, begins=begins)
+            made = json.loads(tokenizer.to_str())
+            cut = made["pre_tokenizer"] or {}
+            plain = (made["normalizer"] is None and made["post_processor"] is None and cut.get("type") == "ByteLevel"
+                     and cut.get("use_regex", True) and not cut.get("add_prefix_space", True))
+            store.update(tokenizer=tokenizer, units={}, begins=begins, plain=plain,
+                         added=[t["content"] for t in made["added_tokens"]])
         self.tokenizer, self.units, self.begins = store["tokenizer"], store["units"], store["begins"]
+        self.plain, self.added = store["plain"], store["added"]
         self.width, self.kind = width, f"<u{width}"
         self.cache_units, self.long_unit = cache_units, long_unit
 
@@ -66,8 +78,8 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, self.kind).tobytes() for e in found]
 
-    def _encode_units(self, units: list[str]) -> list[bytes]:
-        """Units that start with a space, in one call: each one's first token is one that begins with a space."""
+    def _encode_runs(self, units: list[str]) -> list[bytes]:
+        """Runs that start with a space, in one call: each one's first token is one that begins with a space."""
         ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, self.kind)
         starts = np.flatnonzero(self.begins[ids])
         if len(starts) != len(units) or starts[0]:
@@ -78,62 +90,34 @@ class Encoder:
     def _learn(self, units: set[str]) -> None:
         if len(self.units) + len(units) > self.cache_units:
             self.units.clear()
-        new = list(units)
-        plain = [u for u in new if (body := u[1:] if u[:1] == " " else u) and not (body[0].isspace() or body[-1].isspace())]
-        spaced = [u for u in plain if u[0] == " "]
+        spaced, others = [], []
+        for u in units:
+            (spaced if RUN.fullmatch(u) and u[0] == " " else others).append(u)
         for at in range(0, len(spaced), 2_000):
             part = spaced[at : at + 2_000]
-            self.units.update(zip(part, self._encode_units(part)))
-        others = [u for u in plain if u[0] != " "]
-        self.units.update(zip(others, self._encode(others)))
-        for u in new:
-            self.units.setdefault(u, None)  # unsafe to cut around
+            self.units.update(zip(part, self._encode_runs(part)))
+        for at in range(0, len(others), 2_000):
+            part = others[at : at + 2_000]
+            self.units.update(zip(part, self._encode(part)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, ``width`` bytes each."""
-        split = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            split.append([first, *[" " + u for u in rest]] if rest else [first])
+        split = [RUN.split(t) if self.plain and not any(a in t for a in self.added) else [t] for t in texts]
         seen = set().union(*split)
         unseen = {u for u in seen.difference(self.units) if len(u) <= self.long_unit}
         if len(self.units) + len(unseen) > self.cache_units:
             unseen = {u for u in seen if len(u) <= self.long_unit}
         if unseen:
             self._learn(unseen)
-        get, out, whole = self.units.get, [], []
-        for i, parts in enumerate(split):
+        get, out = self.units.get, []
+        for parts in split:
             try:
                 out.append(b"".join(map(get, parts)))
-            except TypeError:  # a long or an unsafe unit
-                whole.append(i)
-                out.append(b"")
-        for i in whole:
-            out[i] = self._with_gaps(split[i])
+            except TypeError:  # a long unit is no part of the cache
+                found = iter(self._encode([u for u in parts if u not in self.units]))
+                out.append(b"".join(self.units[u] if u in self.units else next(found) for u in parts))
         return out
 
-    def _with_gaps(self, parts: list[str]) -> bytes:
-        """Joins units that must not be cut apart; the rest still comes from the cache."""
-        pieces: list[tuple[str, bytes | None]] = []
-        glued = ""
-        for u in parts:
-            ids = self.units.get(u)
-            if ids is None and not (len(u) > self.long_unit and not u[1].isspace() and not u[-1].isspace()):
-                glued += u
-                continue
-            if glued:  # white space before this unit's own leading space must stay with it
-                glued += u
-                pieces.append((glued, None))
-                glued = ""
-            else:
-                pieces.append((u, ids))
-        if glued:
-            pieces.append((glued, None))
-        # a unit before a run of white space is complete: nothing after it changes its ids
-        todo = [p for p, ids in pieces if ids is None]
-        found = iter(self._encode(todo)) if todo else iter(())
-        return b"".join(ids if ids is not None else next(found) for _, ids in pieces)
-
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     samples = [s for s in samples if s]
