@@ -100,8 +100,14 @@ class Encoder:
             part = others[at : at + 2_000]
             self.units.update(zip(part, self._encode(part)))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian, ``width`` bytes each."""
+    def __call__(self, texts: list[str], group: int = 16) -> list[bytes]:
+        """The ids of each text, little-endian, ``width`` bytes each.
+
+        A few texts at a time, so that their units are still in the processor's cache when the ids are looked up.
+        """
+        return [ids for at in range(0, len(texts), group) for ids in self._ids(texts[at : at + group])]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         split = [RUN.split(t) if self.plain and not any(a in t for a in self.added) else [t] for t in texts]
         seen = set().union(*split)
         unseen = {u for u in seen.difference(self.units) if len(u) <= self.long_unit}
