@@ -1,15 +1,19 @@
 """Quality rules whose cutoffs keep false rejections within a proven limit.
 
 Each rule rejects a document when one measure of its text exceeds a cutoff. The cutoffs come from
-labelled documents: in every stratum, the good ones (quality 1) that a cutoff would reject are counted,
-and an exact binomial test asks whether the true share of false rejections is at most the rule's part
-of ``alpha``. The strictest cutoff that passes is taken; a rule without one isn't used in that stratum.
-
-* The parts of alpha add up: with R rules each gets alpha / R, so all rules together reject at most a
-  share alpha of a stratum's good documents.
-* Multiple testing: the strata x R hypotheses share ``delta`` (Bonferroni). Within one of them cutoffs
-  are tested from the most lenient on and the first failure ends the sequence, which needs no further
-  correction. So with probability 1 - delta all limits hold at once.
+labelled documents: in every stratum, the good ones (quality 1) that the rules together would reject are
+counted, and an exact binomial test asks whether the true share of false rejections is at most ``alpha``.
+
+* One sequence per stratum: its steps each make one rule stricter by one cutoff, and a test is about all
+  rules as they stand after the step. Tests run in order and the first failure ends the sequence, which needs no
+  correction within the stratum; what the last passed step says holds for all rules jointly.
+* The order of the steps comes from other documents than those tested: the unlabelled ones and those labelled
+  bad. Steps that seem to reject the smallest share of good documents come first: the share of
+  the unlabelled they reject, less the part the bad ones explain.
+* Multiple testing: the strata share ``delta`` (Bonferroni). So with probability 1 - delta all limits hold at once.
+* A stratum needs n good labelled documents with (1 - alpha)^n <= delta / strata for any cutoff: 436 for four
+  strata, 528 for ten. Strata with fewer are tested as one pooled stratum, whose limit holds for their mixture. Where
+  even the pool is too small, or nothing is labelled good, no cutoff is used.
 
 Everything is DataFrame expressions. Null texts count as empty; a null stratum is one of its own.
 Columns of these names in the input are replaced. Rows stay as they are, repeated ones too.
@@ -18,9 +22,11 @@ Columns of these names in the input are replaced. Rows stay as they are, repeate
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logquarry.llm.common import SPACE, words
+from logquarry.session import stage
 
 WINDOW = 8
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -113,25 +119,59 @@ def tail_probability(n, k, p: float):
 
 def select_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01,
                    delta: float = 0.05, id_column: str = "doc_id") -> DataFrame:
-    """One row per stratum: ``stratum`` and a cutoff for each measure of GRID (infinite: rule not used).
+    """One row per stratum with a proven step: ``stratum`` and a cutoff for each measure of GRID (infinite: rule not used).
 
-    ``stats`` is with_stats' table of all documents, ``labels`` has the id and quality (1: good).
+    ``stats`` is with_stats' table of all documents, ``labels`` has the id and quality (1: good, other values: bad).
+    One table of counts by rejection pattern is written to the shared folder when this is called.
+    An id with several labels is bad if one of them says so. Null qualities and ids count as unlabelled.
     """
-    good = labels.where(F.col("quality") == 1).select(F.col(id_column).alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    held = stats.select(F.col(id_column).alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
-                        *GRID).join(good, "_id")
-    counts = held.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(F.when(F.col(m) > c, 1)).alias(f"{m}_{i}") for m, grid in GRID.items() for i, c in enumerate(grid)])
-    tests = counts.select("stratum", "n", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{m}_{i}").alias("k"))
-        for m, grid in GRID.items() for i, c in enumerate(grid)])).alias("t")).select("stratum", "n", "t.*")
-    strata = counts.agg((F.count(F.lit(1)) * len(GRID)).alias("hypotheses"))  # one row
-    passed = (tests.join(strata, F.lit(True)).where(
-        tail_probability(F.col("n"), F.col("k"), alpha / len(GRID)) <= F.lit(delta) / F.col("hypotheses")))
-    # k falls as the cutoff rises, so what passes is every cutoff from some point up
-    return passed.groupBy("stratum").agg(*[
+    marks = labels.where(F.col("quality").isNotNull() & F.col(id_column).isNotNull()).groupBy(
+        F.col(id_column).alias("_id")).agg(F.when(F.min(F.col("quality") == 1), "good").otherwise("bad").alias("mark"))
+    # per rule the first level, from the most lenient on, that rejects the document (one past the last: none does)
+    first = F.array(*[F.struct(F.lit(m).alias("rule"), (1 + sum(F.when(F.col(m) > c, 0).otherwise(1) for c in grid)).alias("level"))
+                      for m, grid in GRID.items()])
+    rows = (stats.select(F.col(id_column).alias("_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
+                         first.alias("at"))
+            .join(marks, "_id", "left").select("stratum", "at", F.coalesce("mark", F.lit("none")).alias("mark")))
+    # equal rejection patterns are one row from here on, written once as several sums read them
+    rows = stage(rows.groupBy("stratum", "at", "mark").agg(F.count(F.lit(1)).alias("times")))
+    each = rows.groupBy("stratum").agg(*[F.sum(F.when(F.col("mark") == m, F.col("times")).otherwise(0)).alias(m)
+                                         for m in ("good", "bad", "none")]).where("good > 0")
+    strata = each.agg(F.count(F.lit(1)).alias("strata"))  # one row
+    small = F.pow(F.lit(1 - alpha), F.col("good")) > F.lit(delta) / F.col("strata")
+    groups = each.join(strata, F.lit(True)).withColumn(
+        "part", F.struct(small.alias("pooled"), F.when(small, "").otherwise(F.col("stratum")).alias("name")))
+    sums = groups.groupBy("part", "strata").agg(*[F.sum(m).alias(m) for m in ("good", "bad", "none")])
+    rows = rows.join(groups.select("stratum", "part"), "stratum")
+
+    cutoffs = F.array(*[F.struct(F.lit(m).alias("rule"), F.lit(i).alias("level"), F.lit(float(c)).alias("cutoff"))
+                        for m, grid in GRID.items() for i, c in enumerate(grid, 1)])
+    hits = (rows.where("mark != 'good'").select("part", "mark", "times", F.inline("at"))
+            .groupBy("part", "mark", "rule", "level").agg(F.sum("times").alias("times")))
+    upto = W.partitionBy("part", "rule").orderBy("level")  # a rule's levels, as many rows as its grid
+    seen = (sums.select("*", F.inline(cutoffs)).join(
+        hits.groupBy("part", "rule", "level").agg(F.sum(F.when(F.col("mark") == "bad", F.col("times"))).alias("caught"),
+                                                  F.sum(F.when(F.col("mark") == "none", F.col("times"))).alias("others")),
+        ["part", "rule", "level"], "left")
+        .withColumns({c: F.sum(F.coalesce(c, F.lit(0))).over(upto) for c in ("caught", "others")}))
+    among = F.coalesce(F.try_divide("others", "none"), F.lit(0.0))
+    guess = (among - F.col("caught") / (F.col("good") + F.col("bad"))) / (F.col("good") / (F.col("good") + F.col("bad")))
+    order = [F.col("cost"), F.col("level"), F.col("rule")]
+    steps = seen.withColumn("cost", F.max(F.round(guess, 12)).over(upto)).withColumn(
+        "step", F.row_number().over(W.partitionBy("part").orderBy(*order)))  # a row per cutoff of GRID
+
+    places = steps.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat_ws(" ", "rule", "level"), "step"))).alias("places"))
+    place = F.array_min(F.transform("at", lambda x: F.try_element_at("places", F.concat_ws(" ", x["rule"], x["level"]))))
+    fallen = (rows.where("mark = 'good'").join(places, "part").groupBy("part", place.alias("step"))
+              .agg(F.sum("times").alias("rejected")))
+    tested = steps.join(fallen, ["part", "step"], "left").withColumn(
+        "k", F.sum(F.coalesce("rejected", F.lit(0))).over(W.partitionBy("part").orderBy("step")))
+    # k never falls from step to step, so what passes is the beginning of the sequence
+    passed = tested.where(tail_probability(F.col("good"), F.col("k"), alpha) <= F.lit(delta) / F.col("strata"))
+    found = passed.groupBy("part").agg(*[
         F.coalesce(F.min(F.when(F.col("rule") == m, F.col("cutoff"))), F.lit(float("inf"))).alias(f"{m}_cutoff") for m in GRID])
+    return groups.select("stratum", "part").join(found, "part").drop("part")
 
 
 def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:

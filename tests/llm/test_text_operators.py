@@ -115,6 +115,60 @@ def test_cutoffs_keep_false_rejections_low(spark):
     assert nothing.count() == 0 and quality_rules.judge(measured, nothing).where("not kept").count() == 0
 
 
+def by_hand(rows, labels, alpha=0.01, delta=0.05):
+    """Cutoffs per stratum in plain Python: order from the documents not tested, one exact test per step."""
+    from math import comb
+
+    grid = [(m, i, c) for m, cs in quality_rules.GRID.items() for i, c in enumerate(cs, 1)]
+    good = {s: [r for r in rows if r.lang == s and labels.get(r.doc_id) == 1] for s in {r.lang for r in rows}}
+    strata = [s for s in good if good[s]]
+    pool = [s for s in strata if (1 - alpha) ** len(good[s]) > delta / len(strata)]
+    out = {}
+    for part in [[s] for s in strata if s not in pool] + ([pool] if pool else []):
+        held = [r for s in part for r in good[s]]
+        bad = [r for r in rows if r.lang in part and labels.get(r.doc_id) == 0]
+        other = [r for r in rows if r.lang in part and r.doc_id not in labels]
+        n = len(held)
+
+        def cost(m, i):
+            at = [(sum(r[m] > c for r in other) / len(other) if other else 0.0) - sum(r[m] > c for r in bad) / (n + len(bad))
+                  for c in quality_rules.GRID[m][:i]]
+            return max(round(x / (n / (n + len(bad))), 12) for x in at)
+
+        now, fell = {}, set()
+        for m, _, c in sorted(grid, key=lambda g: (cost(g[0], g[1]), g[1], g[0])):
+            fell |= {r.doc_id for r in held if r[m] > c}
+            if sum(comb(n, k) * alpha ** k * (1 - alpha) ** (n - k) for k in range(len(fell) + 1)) > delta / len(strata):
+                break
+            now[m] = c
+        if now:
+            out.update({s: {m: now.get(m, float("inf")) for m in quality_rules.GRID} for s in part})
+    return out
+
+
+def test_cutoffs_against_plain_python(spark):
+    """A large stratum, one just large enough, two small ones that are pooled, one without labels."""
+    import random
+
+    draw, rows, labels = random.Random(5), [], {}
+    for lang, size in (("en", 1500), ("de", 700), ("fr", 420), ("es", 330), ("it", 60)):
+        for _ in range(size):
+            i, junk = len(rows), draw.random() < 0.2
+            text = " ".join(f"word{draw.randrange(10**6)}" for _ in range(30))
+            if junk or draw.random() < 0.004:
+                text = draw.choice([text.upper(), text + " $$$$ ####" * 9, text.replace(" ", "! "), (text[:60] + "\n") * 6])
+            rows.append((i, text, lang))
+            if lang != "it" and draw.random() < 0.8:
+                labels[i] = 0 if junk else 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    measured = quality_rules.with_stats(docs).drop("text").persist()
+    found = {r.stratum: {m: r[f"{m}_cutoff"] for m in quality_rules.GRID} for r in quality_rules.select_cutoffs(measured, marks).collect()}
+    assert found == by_hand(measured.collect(), labels) and set(found) == {"en", "de", "fr", "es"}
+    assert any(c < float("inf") for c in found["en"].values())
+    measured.unpersist()
+
+
 def test_rules_on_odd_and_no_documents(odd_documents, no_documents):
     labels = odd_documents.select("doc_id", F.lit(None).cast("int").alias("quality"))
     for docs in (odd_documents, no_documents):
