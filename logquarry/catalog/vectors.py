@@ -9,12 +9,13 @@ from logquarry.catalog.rca import sql_encoded
 from logquarry.catalog.registry import query
 from logquarry.catalog.views import SQL_ISSUES, issues, logs, table, with_logs
 from logquarry.functions.text import truncate
-from logquarry.functions.vectors import cosine, hashing_encoder, similarity_from_distance
+from logquarry.functions.vectors import cosine, hashed_words, hashing_encoder, similarity_from_distance
 from logquarry.operators.aggregates import dimension_check
 from logquarry.operators.ann import LEAST_ROWS, VectorIndex, recall, recall_by_score
 from logquarry.operators.documents import logs_from_documents, new_documents, to_documents
 from logquarry.operators.search import top_by_similarity
 from logquarry.session import scratch_path, stage
+from logquarry.sources.store import DocumentStore
 
 # Mean vector of each label, as (label, vector) rows: one query per label over all vectors.
 SQL_CENTRES = """
@@ -180,6 +181,24 @@ def add_logs(spark, sf):
         "doc_id", "document", "level", "chunk_index", "total_chunks", "is_chunked")
 
 
+@query("add_logs_embedded", with_logs(
+    f" SELECT log_id, 1 AS times, {SEARCH_WIDTH} AS dimensions, CAST(coalesce(n, 0) AS INT) AS places, "
+    "CAST(coalesce(f, -1) AS INT) AS first_place, coalesce(x, 0) AS largest "
+    "FROM texts LEFT JOIN (SELECT log_id, count(*) AS n, min(d) AS f, round(max(x), 4) AS x FROM k_e GROUP BY 1) USING (log_id)",
+    ("texts", f"SELECT log_id, {SQL_LOG_TEXT} AS document FROM logs"), *sql_encoded("texts", "log_id", "document", "k")))
+def add_logs_embedded(spark, sf):
+    """A store that got the critical lines, then all, then all again: every document once, with its embedding."""
+    store = DocumentStore(spark, scratch_path(spark, "documents"), lambda text: hashed_words(text, SEARCH_WIDTH))
+    docs = stage(to_documents(logs(spark, sf), chunking=True))
+    for part in (docs.where("level = 'CRITICAL'"), docs, docs):
+        store.add(part)
+    e = F.col("embedding")
+    return store.read().withColumn("_at", F.array_position(F.transform(e, lambda x: x > 0), True) - 1).groupBy("log_id").agg(
+        F.count(F.lit(1)).cast("int").alias("times"), F.max(F.size(e)).alias("dimensions"),
+        F.max(F.size(F.filter(e, lambda x: x > 0))).alias("places"), F.max("_at").cast("int").alias("first_place"),
+        F.max(F.round(F.array_max(e).cast("double"), 4)).alias("largest"))
+
+
 @query("src_from_docs", with_logs(f"""
   SELECT timestamp, service_type, level, {SQL_LOG_TEXT} AS message, instance_id FROM logs"""))
 def src_from_docs(spark, sf):

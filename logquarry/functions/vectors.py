@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logquarry import dims
-from logquarry.functions.text import TERM_PATTERN
+from logquarry.functions.text import TERM_PATTERN, drop_stop_words
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -60,3 +60,17 @@ def hashing_encoder(width: int = 64, stop_words: list[str] | None = None):
         return pd.Series([vectors[c] for c in codes], index=texts.index)
 
     return encode
+
+
+def hashed_words(text: Column, width: int = 64, stop_words: list[str] | None = None) -> Column:
+    """What ``hashing_encoder`` computes, as an expression without Python: array<double> of ``width`` places.
+
+    Null and wordless texts get the zero vector.
+    """
+    words = drop_stop_words(
+        F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM_PATTERN), F.lit(0)), stop_words)
+    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % width)
+    counts = F.transform(F.array(places), lambda found: F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(found, lambda x: x == i)).cast("double")))
+    return F.transform(counts, lambda c: F.transform(F.array(norm(c)), lambda length: F.transform(
+        c, lambda x: F.when(length > 0, x / length).otherwise(0.0)))[0])[0]

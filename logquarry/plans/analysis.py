@@ -28,16 +28,18 @@ def analyze_issues(
     k: int = dims.TOP_RELEVANT,
     history: DataFrame | None = None,
     materialize: Callable[[DataFrame], DataFrame] | None = None,
+    embedding: str | None = None,
 ) -> DataFrame:
     """One row per issue: category, counts, time range, timeline, advice, context and report.
 
     The lines are scored once for all issues. ``materialize`` may write the scored lines to a
     table, so that the percentile, the term fit and the search do not score them again.
-    Issues for which there is nothing to analyse get the fixed answer.
+    Issues for which there is nothing to analyse get the fixed answer. In hybrid mode ``embedding`` names a column of
+    ``logs`` that holds the lines' vectors, as a document store keeps them; then only issues are encoded.
     """
     if mode not in ("fast", "hybrid"):
         raise ValueError(f"unknown mode: {mode}")
-    scored = ops.with_importance(logs, score).select(*LINE_COLUMNS)
+    scored = ops.with_importance(logs, score).select(*LINE_COLUMNS, *([embedding] if embedding else []))
     if materialize is not None:
         scored = materialize(scored)
     survivors = ops.importance_filter(scored)
@@ -46,7 +48,7 @@ def analyze_issues(
     else:
         if encoder is None:
             raise ValueError("hybrid mode needs an encoder")
-        relevant = ops.hybrid_rank(scored, issues, encoder, k, survivors=survivors)
+        relevant = ops.hybrid_rank(scored, issues, encoder, k, survivors=survivors, embedding=embedding)
     return summarize(relevant, issues, mode, history)
 
 

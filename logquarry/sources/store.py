@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,10 +59,14 @@ def export_documents(docs: DataFrame, path: str) -> None:
 
 
 class DocumentStore:
-    """A parquet table of documents under one path."""
+    """A parquet table of documents under one path.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    With an ``encoder`` (text column to vector column) documents are stored with their embedding, each encoded
+    once, when it comes in; documents that already carry one keep it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, encoder: Callable[[Column], Column] | None = None):
+        self.spark, self.path, self.encoder = spark, path, encoder
 
     def read(self) -> DataFrame:
         if not self._exists():
@@ -71,6 +76,9 @@ class DocumentStore:
     def add(self, documents: DataFrame) -> None:
         """Append the documents whose id is not stored yet; only stored ids are read."""
         fresh = new_documents(documents, self.read())
+        if self.encoder is not None:
+            vector = self.encoder(F.col("document"))
+            fresh = fresh.withColumn("embedding", F.coalesce("embedding", vector) if "embedding" in fresh.columns else vector)
         columns = [
             (F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in DOCUMENT_STORE.fields

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logquarry.catalog.views import logs, table
+from logquarry.functions.vectors import hashed_words, hashing_encoder
 from logquarry.operators.documents import to_documents
 from logquarry.operators.anomaly import model_matrix
 from logquarry.operators.labels import MODEL_INPUT, apply_labels, classic_matrix, fit_labels
@@ -46,6 +47,34 @@ def test_document_store(spark, sf, tmp_path):
     assert store.read().count() == 0
 
 
+def test_embeddings_are_stored_once(spark, tmp_path):
+    """The expression gives what the Arrow encoder gives; ingest keeps vectors that came along and repeats none."""
+    texts = ["Disk full on node_7, disk failing", "", None, "the of and", "x", "Ünïcode wörds 42 42", "word " * 3000]
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, document string")
+    for r in df.select(hashed_words(F.col("document"), 16).alias("a"), hashing_encoder(16)(F.col("document")).alias("b")).collect():
+        assert r.a == pytest.approx(r.b, abs=1e-12) and len(r.a) == 16
+    store = DocumentStore(spark, str(tmp_path / "docs"), lambda text: hashed_words(text, 16))
+    given = df.where("doc_id = 'd0'").withColumn("embedding", F.array_repeat(F.lit(0.25).cast("float"), 16))
+    store.add(given)
+    store.add(df)
+    store.add(df)
+    rows = {r.doc_id: r.embedding for r in store.read().collect()}
+    assert store.read().count() == len(texts) == len(rows) and rows["d0"] == [0.25] * 16
+    assert sum(x * x for x in rows["d6"]) == pytest.approx(1) and not any(rows["d1"]) and not any(rows["d2"])
+
+
+def test_hybrid_analysis_with_stored_vectors(spark, sf):
+    """Vectors from a column give the answers that encoding at each call gives."""
+    from logquarry.catalog.views import issues
+    from logquarry.plans.analysis import analyze_issues
+
+    lines = logs(spark, sf)
+    again = analyze_issues(lines, issues(spark), "hybrid", hashing_encoder(16))
+    stored = analyze_issues(lines.withColumn("vec", hashed_words(F.col("message"), 16)), issues(spark), "hybrid",
+                            hashing_encoder(16), embedding="vec")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, again.collect()))
+
+
 def test_save_and_load(spark, sf, tmp_path):
     df = logs(spark, sf)
     for name in ("x.parquet", "x.csv"):
