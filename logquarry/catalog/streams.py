@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from logquarry.catalog.registry import query
 from logquarry.catalog.sources import written_files
-from logquarry.catalog.views import with_logs
-from logquarry.session import scratch_path
+from logquarry.catalog.views import SQL_RAW, raw_lines, with_logs
+from logquarry.functions.temporal import micros
+from logquarry.session import scratch_path, stage
+from logquarry.sources.files import parse_lines
 from logquarry.streaming import jobs
 
 
@@ -72,3 +74,23 @@ def str_instance_stats(spark, sf):
     stream = jobs.instance_statistics(jobs.read_stream(spark, written_files(spark, sf)))
     return drained(spark, stream, "str-instances").select(
         F.col("period_start").cast("timestamp_ntz").alias("period_start"), "instance_id", "errors", "n", "first_seen", "last_seen")
+
+
+@query("str_error_burst", with_logs("""
+  SELECT timestamp, level, message, CAST(sum(CAST(level = 'ERROR' AS INT)) OVER w AS DOUBLE) AS error_burst,
+    CAST(sum(CAST(level = 'ERROR' AS INT)) OVER w >= 5 AS INT) AS is_error_burst
+  FROM logs JOIN raw USING (log_id) WINDOW w AS (ORDER BY timestamp, line ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
+    ("raw", SQL_RAW)))
+def str_error_burst(spark, sf):
+    """Lines arrive up to ten minutes after their time, in four loads, with a restart of the stream before each."""
+    root = scratch_path(spark, "str-burst")
+    lines = parse_lines(raw_lines(spark, sf).select(F.col("line").alias("value")))
+    delay = F.pmod(F.xxhash64("raw_log"), F.lit(600_000_000))
+    lines = stage(lines.select("raw_log", (micros(F.col("timestamp")) + delay).alias("arrival")))
+    ends = lines.approxQuantile("arrival", [0.25, 0.5, 0.75], 0.01)
+    load = sum((F.col("arrival") > e).cast("int") for e in ends) if ends else F.lit(0)
+    detector = jobs.BurstDetector(f"{root}/bursts", tiebreak=("raw_log",))
+    for i in range(4):
+        lines.where(load == i).select("raw_log").write.text(f"{root}/in/{i}")
+        detector.start(jobs.read_stream(spark, f"{root}/in"), f"{root}/checkpoint", available_now=True).awaitTermination()
+    return detector.table(spark).select("timestamp", "level", "message", "error_burst", "is_error_burst")

@@ -5,15 +5,21 @@ Event time must be an instant, so the naive ``timestamp`` is cast (session zone
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
+from logquarry.functions.temporal import micros
 from logquarry.operators.filters import is_severe
 from logquarry.operators.sequence import error_burst, is_error, sequence_features
+from logquarry.session import small_table
 from logquarry.sources.files import FILE_GLOB, parse_lines
 
 LATENESS = "10 minutes"
+STATE = "id long, watermark long, columns string"
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -68,37 +74,104 @@ def instance_statistics(logs: DataFrame, period: str = "1 day", lateness: str =
 
 
 class BurstDetector:
-    """Error bursts over row frames: each micro-batch is joined to the last rows before it.
+    """Error bursts over row frames of a stream whose rows arrive out of order.
+
+    Rows wait until the watermark (the latest time seen less ``lateness``) has passed their time; then all
+    rows up to it are put in order, behind the last rows released before, and get the frames they would have
+    in one batch. Rows of equal time are released together. ``table`` gives the released rows and, with the
+    frames known so far, the waiting ones; rows without a time come last in it, as in the batch order.
 
-    Output and history are written per batch id and replaced when a batch is repeated, so a
-    restart neither loses nor doubles rows. Rows older than the history are placed in order
-    within their own batch only.
+    Rows that arrive after the watermark has passed their time can't change what is already written: they are
+    kept without frames (``late``). Everything is written per batch id and replaced when a batch is
+    repeated, so a restart neither loses nor doubles rows. What a later batch no longer needs is deleted, so
+    the folder holds the results and no more than ``lateness`` of rows twice.
     """
 
     HISTORY_ROWS = 19
 
-    def __init__(self, path: str, tiebreak: tuple[str, ...] = ("source_file", "raw_log")):
-        self.path, self.tiebreak = path.rstrip("/"), tiebreak
+    def __init__(self, path: str, tiebreak: tuple[str, ...] = ("source_file", "raw_log"), lateness: str = LATENESS):
+        self.path, self.tiebreak, self.lateness = path.rstrip("/"), tiebreak, lateness
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("_new", F.lit(True))
-        earlier = self._history(spark, batch_id - 1)
-        if earlier is not None:
-            rows = rows.unionByName(earlier.withColumn("_new", F.lit(False)))
-        out = sequence_features(rows, error_burst, tiebreak=self.tiebreak)
-        out.where("_new").drop("_new", "log_sequence_id").write.mode("overwrite").parquet(
-            f"{self.path}/rows/batch={batch_id}")
-        order = [F.col("timestamp").desc_nulls_last(), *[F.desc(c) for c in self.tiebreak]]
+        spark, at = batch.sparkSession, micros(F.col("timestamp"))
+        state = self._state(spark, batch_id - 1)
+        passed = F.lit(state["watermark"] if state else None).cast("long")
+        kind = F.when(at.isNull(), "untimed").when(at <= passed, "late").otherwise("waiting")
+        arrived = batch.withColumn("kind", kind)
+        if state:
+            arrived = arrived.unionByName(self._waiting(spark, state).withColumn("kind", F.lit("waiting")))
+        arrived.write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/arrived/batch={batch_id}")
+
+        now = {"batch": batch_id, "watermark": None, "columns": batch.schema.json()}
+        waiting = self._waiting(spark, now)
+        latest = waiting.agg(micros(F.max("timestamp") - F.expr(f"INTERVAL {self.lateness}")).alias("at"))
+        now["watermark"] = latest.select(F.greatest("at", passed)).first()[0]
+        released = waiting.where(at <= F.lit(now["watermark"]).cast("long"))
+        rows = self._behind(released, self._history(spark, state))
+        self._framed(rows).write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
+        order = [F.col("timestamp").desc(), *[F.desc(c) for c in self.tiebreak]]
         rows.drop("_new").orderBy(*order).limit(self.HISTORY_ROWS).write.mode("overwrite").parquet(
             f"{self.path}/history/batch={batch_id}")
+        small_table(spark, [tuple(now.values())], STATE).write.mode("overwrite").parquet(
+            f"{self.path}/state/batch={batch_id}")
+        for done in (f"arrived/batch={batch_id - 2}/kind=waiting", f"history/batch={batch_id - 2}",
+                     f"state/batch={batch_id - 2}"):
+            files, where = self._files(spark, done)
+            files.delete(where, True)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """All rows but the late ones, with their frames as of the last batch."""
+        state = self._state(spark)
+        if state is None:
+            raise ValueError("no batch has been written yet")
+        left = self._waiting(spark, state).unionByName(self._arrived(spark, state, "untimed"))
+        rest = self._framed(self._behind(left, self._history(spark, state)))
+        return spark.read.schema(rest.schema).parquet(f"{self.path}/rows").select(*rest.columns).unionByName(rest)
+
+    def late(self, spark: SparkSession) -> DataFrame:
+        """Rows that arrived after the watermark had passed their time."""
+        state = self._state(spark)
+        if state is None:
+            raise ValueError("no batch has been written yet")
+        return self._arrived(spark, state, "late")
+
+    def _framed(self, rows: DataFrame) -> DataFrame:
+        out = sequence_features(rows, error_burst, tiebreak=self.tiebreak)
+        return out.where("_new").drop("_new", "log_sequence_id")
+
+    @staticmethod
+    def _behind(rows: DataFrame, earlier: DataFrame | None) -> DataFrame:
+        rows = rows.withColumn("_new", F.lit(True))
+        return rows if earlier is None else rows.unionByName(earlier.withColumn("_new", F.lit(False)))
+
+    def _files(self, spark: SparkSession, name: str):
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+    def _state(self, spark: SparkSession, batch_id: int | None = None) -> dict | None:
+        """What a batch left behind, by default the last one."""
+        name = "state" if batch_id is None else f"state/batch={batch_id}"
+        files, where = self._files(spark, name)
+        if not files.exists(where):
+            return None
+        last = spark.read.schema(STATE).parquet(f"{self.path}/{name}").orderBy(F.desc("id")).first()
+        return None if last is None else {"batch": last["id"], "watermark": last["watermark"], "columns": last["columns"]}
+
+    def _arrived(self, spark: SparkSession, state: dict, kind: str, folder: str = "arrived") -> DataFrame:
+        columns = StructType.fromJson(json.loads(state["columns"]))
+        tagged = StructType([*columns.fields, StructField("kind", StringType())])
+        rows = spark.read.schema(tagged).parquet(f"{self.path}/{folder}")
+        return rows.where(F.col("kind") == kind).select(*columns.names)
+
+    def _waiting(self, spark: SparkSession, state: dict) -> DataFrame:
+        rows = self._arrived(spark, state, "waiting", f"arrived/batch={state['batch']}")
+        return rows if state["watermark"] is None else rows.where(micros(F.col("timestamp")) > state["watermark"])
 
-    def _history(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        folder = f"{self.path}/history/batch={batch_id}"
-        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if batch_id < 0 or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    def _history(self, spark: SparkSession, state: dict | None) -> DataFrame | None:
+        if state is None:
             return None
-        return spark.read.parquet(folder)
+        columns = StructType.fromJson(json.loads(state["columns"]))
+        return spark.read.schema(columns).parquet(f"{self.path}/history/batch={state['batch']}")
 
     def start(self, logs: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         writer = logs.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
