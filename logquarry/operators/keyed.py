@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from logquarry.functions.temporal import seconds_between
 from logquarry.operators.ordering import BLOCK_ROWS, with_global_index
 from logquarry.operators.sequence import is_error
+from logquarry.operators.skew import spread_join
+
+BLOCKS_PER_SPAN = 1_000
+
 
 def instance_stats(df: DataFrame) -> DataFrame:
     """Per instance: errors, rows, first and last time, life span in seconds, error rate."""
@@ -33,11 +37,12 @@ def with_instance_rates(stats: DataFrame) -> DataFrame:
     })
 
 
-def request_stats(df: DataFrame) -> DataFrame:
-    """Per request: errors, rows, error rate."""
+def request_stats(df: DataFrame, *more: Column) -> DataFrame:
+    """Per request: errors, rows, error rate, and further aggregates."""
     stats = df.where(F.col("request_id").isNotNull()).groupBy("request_id").agg(
         F.sum(is_error()).alias("request_error_count"),
         F.count("message").alias("request_log_count"),
+        *more,
     )
     return stats.withColumn(
         "request_error_rate",
@@ -52,14 +57,16 @@ def add_request_stats(
 ) -> DataFrame:
     """Left join of the request statistics; rows without a request get 0 / 1 / 0 and stay out of the join.
 
-    With ``materialize`` the statistics are a table of their own, so both sides of the join are plain
-    shuffles and Spark splits a busy request's rows over tasks.
+    A request that holds much of the table is cut into pieces (``spread_join``). With ``materialize``
+    the statistics are a table of their own, which the join and the list of such requests read.
     """
-    stats = request_stats(df if stats_from is None else stats_from)
+    rows = df if stats_from is None else stats_from
+    stats = request_stats(rows, F.count(F.lit(1)).alias("_rows"))
     if materialize is not None:
         stats = materialize(stats)
-    joined = df.where(F.col("request_id").isNotNull()).join(stats, "request_id", "left").unionByName(
-        df.where(F.col("request_id").isNull()), allowMissingColumns=True)
+    salt = next((F.col(c) for c in ("log_sequence_id", "log_id") if c in df.columns), F.struct(*df.columns))
+    joined = spread_join(df.where(F.col("request_id").isNotNull()), stats, "request_id", "_rows", salt).drop(
+        "_rows").unionByName(df.where(F.col("request_id").isNull()), allowMissingColumns=True)
     return joined.withColumns({
         "request_error_count": F.coalesce("request_error_count", F.lit(0)).cast("double"),
         "request_log_count": F.coalesce("request_log_count", F.lit(1)).cast("double"),
@@ -73,13 +80,17 @@ def number_in_block(blocked: DataFrame, index: str = "log_sequence_id") -> DataF
     return blocked.withColumn("_in_block", F.row_number().over(inside))
 
 
-def add_instance_features(blocked: DataFrame, stats_from: DataFrame | None = None) -> DataFrame:
+def add_instance_features(
+    blocked: DataFrame, stats_from: DataFrame | None = None, blocks_per_span: int = BLOCKS_PER_SPAN
+) -> DataFrame:
     """Statistics of the row's instance and the row's position in it.
 
     ``blocked`` has ``_block`` and ``_in_block``; ``stats_from`` (the same rows by default) has
-    ``_block``. Rows are counted per instance and block, and a running sum over those counts
-    gives each block its first position, so an instance that holds much of the table is spread
-    over all its blocks. Joining on both keys also spreads the rows without an instance.
+    ``_block``. Rows are counted per instance and block, and running sums over those counts
+    give each block its first position, so an instance that holds much of the table is spread
+    over all its blocks. Joining on both keys also spreads the rows without an instance. The
+    sums run in two levels, over spans of blocks and over the blocks of a span, so the blocks of one
+    instance are not one task's work either.
     """
     rows = blocked if stats_from is None else stats_from
     per_block = rows.where(F.col("instance_id").isNotNull()).groupBy("instance_id", "_block").agg(
@@ -88,19 +99,28 @@ def add_instance_features(blocked: DataFrame, stats_from: DataFrame | None = Non
         F.count("message").alias("_messages"),
         F.min("timestamp").alias("_first"),
         F.max("timestamp").alias("_last"),
-    )
+    ).withColumn("_span", F.call_function("div", F.col("_block"), F.lit(blocks_per_span)))
+    per_span = per_block.groupBy("instance_id", "_span").agg(
+        F.sum("_rows").alias("_rows"), F.sum("_errors").alias("_errors"), F.sum("_messages").alias("_messages"),
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"))
     whole = Window.partitionBy("instance_id")
-    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.unboundedPreceding, -1
+    spans = per_span.select(
+        "instance_id",
+        "_span",
+        F.coalesce(F.sum("_rows").over(whole.orderBy("_span").rowsBetween(*upto)), F.lit(0)).alias("_span_before"),
+        F.sum("_errors").over(whole).alias("instance_error_count"),
+        F.sum("_messages").over(whole).alias("instance_log_count"),
+        F.min("_first").over(whole).alias("instance_first_seen"),
+        F.max("_last").over(whole).alias("instance_last_seen"),
+    )
+    inside = Window.partitionBy("instance_id", "_span").orderBy("_block").rowsBetween(*upto)
+    blocks = per_block.select(
+        "instance_id", "_span", "_block", F.coalesce(F.sum("_rows").over(inside), F.lit(0)).alias("_block_before"))
     stats = with_instance_rates(
-        per_block.select(
-            "instance_id",
-            "_block",
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_instance_before"),
-            F.sum("_errors").over(whole).alias("instance_error_count"),
-            F.sum("_messages").over(whole).alias("instance_log_count"),
-            F.min("_first").over(whole).alias("instance_first_seen"),
-            F.max("_last").over(whole).alias("instance_last_seen"),
-        )
+        blocks.join(spans, ["instance_id", "_span"])
+        .withColumn("_instance_before", F.col("_span_before") + F.col("_block_before"))
+        .drop("_span", "_span_before", "_block_before")
     )
     position = F.when(F.col("instance_id").isNotNull(), F.col("_instance_before") + F.col("_in_block"))
     return (
@@ -111,7 +131,8 @@ def add_instance_features(blocked: DataFrame, stats_from: DataFrame | None = Non
     )
 
 
-def instance_positions(df: DataFrame, tiebreak=("log_id",), block_rows: int = BLOCK_ROWS) -> DataFrame:
+def instance_positions(df: DataFrame, tiebreak=("log_id",), block_rows: int = BLOCK_ROWS,
+                       blocks_per_span: int = BLOCKS_PER_SPAN) -> DataFrame:
     indexed = with_global_index(df, tiebreak=tiebreak)
     blocked = indexed.withColumn("_block", F.call_function("div", F.col("log_sequence_id"), F.lit(block_rows)))
-    return add_instance_features(number_in_block(blocked), stats_from=blocked)
+    return add_instance_features(number_in_block(blocked), blocked, blocks_per_span)

@@ -23,6 +23,7 @@ MINUTE = 60_000_000
 
 MINUTE_FACTS = ["_minute_start", "_hour_start", "_minute_rows"]
 BLOCK_ROWS = 5_000  # a block is one unit of work; the copied rows are about 0.5 % of it
+PIECE_ROWS = 200_000  # most rows of a minute that share a join key
 WIDEST_BEFORE = 19
 WIDEST_AFTER = 4
 
@@ -50,21 +51,27 @@ def with_global_index(
     tiebreak: tuple[str, ...] = ("log_id",),
     index: str = "log_sequence_id",
     keep_groups: bool = False,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Row number from 0 in (timestamp, tiebreak) order, null timestamps last.
 
     ``tiebreak`` must identify a row. With ``keep_groups`` the row's ``_minute_start``,
-    ``_hour_start`` (first number of its minute and hour) and ``_minute_rows`` are added.
+    ``_hour_start`` (first number of its minute and hour) and ``_minute_rows`` are added. Rows are counted
+    and joined per minute and ``piece_rows`` consecutive numbers, so neither a busy minute nor the rows
+    without a time meet in one task. Ranges, and with them minutes, are written to tables at call time.
     """
     rows = df.withColumn("_at", F.coalesce(micros(F.col(ts)), F.lit(LAST)))
     rows = numbered(rows, [F.col("_at"), *map(F.col, tiebreak)], index)
     if not keep_groups:
         return rows.drop("_at")
-    rows = rows.withColumn("_minute", F.expr(f"_at div {MINUTE}"))
-    minutes = rows.groupBy("_minute").agg(F.min(index).alias("_minute_start"), F.count(F.lit(1)).alias("_minute_rows"))
-    hour = Window.partitionBy(F.expr("_minute div 60"))
-    facts = stage(minutes.withColumn("_hour_start", F.min("_minute_start").over(hour)))
-    return rows.join(facts, "_minute").drop("_at", "_minute")
+    rows = rows.withColumns({
+        "_minute": F.expr(f"_at div {MINUTE}"), "_piece": F.call_function("div", F.col(index), F.lit(piece_rows))})
+    pieces = rows.groupBy("_minute", "_piece").agg(F.min(index).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    minute, hour = Window.partitionBy("_minute"), Window.partitionBy(F.expr("_minute div 60"))
+    facts = stage(pieces.select(
+        "_minute", "_piece", F.min("_first").over(minute).alias("_minute_start"),
+        F.sum("_n").over(minute).alias("_minute_rows"), F.min("_first").over(hour).alias("_hour_start")))
+    return rows.join(facts, ["_minute", "_piece"]).drop("_at", "_minute", "_piece")
 
 
 def over_blocks(
