@@ -9,7 +9,9 @@ from operator import and_
 from pyspark.sql import functions as F
 
 from logquarry.catalog.registry import query
-from logquarry.catalog.views import SQL_RAW, logs, raw_lines, table, with_logs
+from logquarry.catalog.views import SQL_RAW, logs, raw_lines, runs, table, with_logs, with_runs
+from logquarry.operators.filters import is_severe
+from logquarry.operators.metrics import run_log
 from logquarry.plans.feature_snapshot import FeatureSnapshot
 from logquarry.plans.features import engineer_all
 from logquarry.session import scratch_path, stage
@@ -21,7 +23,7 @@ from logquarry.sources.files import (
     read_lines,
     read_logs,
 )
-from logquarry.sources.store import DocumentStore, export_documents, load_logs, save_logs
+from logquarry.sources.store import DocumentStore, export_documents, export_rows, load_logs, read_rows, save_logs
 from logquarry.operators.documents import to_documents
 
 
@@ -110,6 +112,29 @@ def exported(spark, sf):
     return back.select("original_index", "level", "service_type", "instance_id")
 
 
+@query("export_logs", with_logs("""
+  SELECT timestamp, level, service_type, message, instance_id, log_id FROM logs
+  WHERE level IN ('ERROR', 'CRITICAL') AND service_type <> 'unknown'"""))
+def exported_logs(spark, sf):
+    """Severe lines of known services, through the files of their export."""
+    path = scratch_path(spark, "export-logs")
+    names = ["timestamp", "level", "service_type", "message", "instance_id", "log_id"]
+    kept = logs(spark, sf).where(is_severe() & (F.col("service_type") != "unknown")).select(*names)
+    export_rows(kept, path)
+    return read_rows(spark, path, kept.schema)
+
+
+@query("export_runs", with_runs("""
+  SELECT run_id, ts, issue[:100] AS issue_description, status, category, mode, CAST(relevant_logs AS INT) AS relevant_logs,
+    duration AS processing_time FROM runs"""))
+def exported_runs(spark, sf):
+    """The history of runs, through the files of its export."""
+    path = scratch_path(spark, "export-runs")
+    history = run_log(runs(spark, sf))
+    export_rows(history, path)
+    return read_rows(spark, path, history.schema)
+
+
 @query("src_incremental", with_logs(
     " SELECT true AS loaded_all, CAST(0 AS BIGINT) AS loaded_again, count(*) AS rows FROM logs"))
 def src_incremental(spark, sf):

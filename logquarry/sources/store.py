@@ -58,6 +58,31 @@ def export_documents(docs: DataFrame, path: str) -> None:
     ).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+CSV_OPTIONS = {"header": True, "escape": '"', "multiLine": True, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def export_rows(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """Rows of any table, such as filtered logs or the history of runs, as CSV files with a header, written in parallel.
+
+    Columns are those given, in their order, or all. Lists, maps and structs become JSON; nulls are
+    nothing between two commas, empty texts a pair of quotes, and quotes and line ends inside texts are kept.
+    """
+    names = df.columns if columns is None else columns
+    nested = {f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))}
+    df.select(*[F.to_json(n).alias(n) if n in nested else F.col(n) for n in names]).write.mode("overwrite").options(
+        **CSV_OPTIONS).csv(path)
+
+
+def read_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """An exported table with the types given, nested columns as the JSON they were written as.
+
+    A record may span lines, so a file is read by one task. Spark reads a field that is nothing as its mark for
+    nulls; with a mark of its own, an empty text stays one.
+    """
+    return spark.read.schema(schema).options(**CSV_OPTIONS, nullValue="\0null").csv(path)
+
+
 class DocumentStore:
     """A parquet table of documents under one path.
 

@@ -10,7 +10,7 @@ from logquarry.operators.anomaly import model_matrix
 from logquarry.operators.labels import MODEL_INPUT, apply_labels, classic_matrix, fit_labels
 from logquarry.operators.model import ImportanceModel, stratified_split
 from logquarry.sources.snapshot import LogSnapshot, changed_files, expire, inventory, load_first_available
-from logquarry.sources.store import DocumentStore, load_logs, save_logs
+from logquarry.sources.store import DocumentStore, export_rows, load_logs, read_rows, save_logs
 from test_parsing import API, COMPUTE
 
 
@@ -123,3 +123,20 @@ def test_model_inputs(spark, sf):
     matrix = classic_matrix(rest, labels={c: fit_labels(train, c) for c in ("level", "service_type", "module")})
     assert matrix.columns[1:11] == MODEL_INPUT and len(matrix.columns) == 21 and matrix.count() == rest.count()
     assert matrix.where("module_encoded <> 0").count() == 0
+
+
+def test_export_keeps_odd_values(spark, tmp_path):
+    """Line ends, quotes, separators, spaces at the ends, empty texts, nulls, nested columns, no rows."""
+    texts = ["a\nb", "a\r\nb", '"quoted", "more"', "  wide  ", "", None, "back\\slash", "x" * 200_000, "a\nb"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").withColumns({
+        "at": F.lit("2024-01-05 00:00:01.000007").cast("timestamp_ntz"), "seen": F.array("id", F.lit(None).cast("long"))})
+    path = str(tmp_path / "rows")
+    export_rows(rows, path)
+    schema = "id long, text string, at timestamp_ntz, seen string"
+    got = read_rows(spark, path, schema).orderBy("id").collect()
+    assert [r.text for r in got] == texts
+    assert got[3].seen == "[3,null]" and got[0]["at"] == rows.first()["at"]
+    export_rows(rows.where("id > 2"), path, ["text", "id"])
+    assert read_rows(spark, path, "text string, id long").count() == 6
+    export_rows(rows.limit(0), path)
+    assert read_rows(spark, path, schema).count() == 0
