@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import functions as F
 
 from logquarry.catalog.registry import query
+from logquarry.catalog.vectors import SQL_LOG_TEXT
 from logquarry.catalog.views import SQL_RAW, logs, raw_lines, runs, table, with_logs, with_runs
 from logquarry.operators.filters import is_severe
 from logquarry.operators.metrics import run_log
@@ -78,6 +79,18 @@ def src_file_stats(spark, sf):
     ).agg(F.sum("lines").alias("lines"))
 
 
+@query("src_file_sizes", with_logs("""
+  SELECT service_type AS service, count(*) AS lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, true AS just_written
+  FROM raw JOIN logs USING (log_id) GROUP BY service_type""", ("raw", SQL_RAW)))
+def src_file_sizes(spark, sf):
+    """All columns of the file statistics; the files' last change lies between their writing and now."""
+    start = spark.sql("SELECT current_timestamp() - INTERVAL 5 SECONDS AS t").first().t
+    stats = file_stats(spark, written_files(spark, sf))
+    return stats.groupBy(F.regexp_extract("source_file", FOLDER, 1).alias("service")).agg(
+        F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"),
+        F.bool_and(F.col("last_change").between(F.lit(start), F.current_timestamp() + F.expr("INTERVAL 5 SECONDS"))).alias("just_written"))
+
+
 @query("src_blob", r"""
   SELECT doc_id, line_number, line FROM (
     SELECT doc_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS line_number,
@@ -112,6 +125,19 @@ def exported(spark, sf):
     return back.select("original_index", "level", "service_type", "instance_id")
 
 
+@query("export_documents_whole", with_logs(f"""
+  SELECT {SQL_LOG_TEXT} AS document, 'log_' || md5(concat(log_id, '_', strftime(timestamp, '%Y-%m-%d %H:%M:%S.'),
+      rtrim(strftime(timestamp, '%f'), '0'), '_', service_type, '_', level, '_', substring(message, 1, 100), '_',
+      coalesce(instance_id, ''))) AS id,
+    timestamp, service_type, level, instance_id, log_id AS original_index FROM logs"""))
+def exported_whole(spark, sf):
+    """All seven columns of the export, as read from its files."""
+    path = scratch_path(spark, "export-whole")
+    export_documents(to_documents(logs(spark, sf)), path)
+    return read_rows(spark, path, "document string, id string, timestamp timestamp_ntz, service_type string, level string, "
+                     "instance_id string, original_index long")
+
+
 @query("export_logs", with_logs("""
   SELECT timestamp, level, service_type, message, instance_id, log_id FROM logs
   WHERE level IN ('ERROR', 'CRITICAL') AND service_type <> 'unknown'"""))
