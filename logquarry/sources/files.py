@@ -42,7 +42,8 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Non-blank stripped lines with their number in the file, blank lines counted.
 
     Ids of rows grow along a split, so a line's number is its distance from the split's first
-    id plus the lines of the earlier splits. Only one row per split is shuffled.
+    id plus the lines of the earlier splits. Files are read twice, once to count. The counts, a row per
+    split, are sent to the tasks while Spark finds them small enough; beyond that the lines are shuffled by split.
     """
     lines = read_text(spark, paths).withColumn("_id", F.monotonically_increasing_id())
     splits = lines.groupBy("source_file", "_split").agg(
