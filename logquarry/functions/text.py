@@ -13,6 +13,7 @@ from logquarry.functions.temporal import flag
 URL_PATTERN = r"(?i)https?://"
 IP_PATTERN = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 TERM_PATTERN = r"[0-9a-z_]{2,}"
+LETTER_PATTERN = r"[a-z]{2,}"  # finds in a text the words that TERM_PATTERN finds in it once cleaned
 
 
 def any_of(phrases: list[str]) -> str:
@@ -69,14 +70,23 @@ def tokens(text: Column, stop_words: list[str] | None = None, min_length: int =
     return drop_stop_words(words, stop_words, min_length)
 
 
-def terms(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Single words of at least two characters followed by pairs of neighbouring words."""
-    words = drop_stop_words(
-        F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM_PATTERN), F.lit(0)),
+def words(text: Column, stop_words: list[str] | None = None, pattern: str = TERM_PATTERN) -> Column:
+    """Single words of at least two characters."""
+    return drop_stop_words(
+        F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0)),
         stop_words,
     )
+
+
+def terms(text: Column, stop_words: list[str] | None = None, among: list[str] | None = None,
+          pattern: str = TERM_PATTERN) -> Column:
+    """Words followed by pairs of neighbouring words; with ``among`` only those made of its words."""
+    found = words(text, stop_words, pattern)
     # Bound once as a lambda variable, so that the words are not found again for every use.
-    return F.transform(F.array(words), lambda w: F.concat(w, neighbour_pairs(w)))[0]
+    if among is None:
+        return F.transform(F.array(found), lambda w: F.concat(w, neighbour_pairs(w)))[0]
+    known = F.transform(found, lambda w: F.when(w.isin(among), w))  # other words keep their place as nulls
+    return F.transform(F.array(known), lambda w: F.filter(F.concat(w, neighbour_pairs(w)), lambda t: t.isNotNull()))[0]
 
 
 def neighbour_pairs(words: Column) -> Column:

@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry import dims
@@ -14,12 +14,32 @@ from logquarry.functions import text
 from logquarry.session import small_table
 
 
-def term_counts(df: DataFrame, column: str, stop_words: list[str] | None = None) -> DataFrame:
-    """``(term, total, documents)``; the null term counts the rows themselves.
+def frequent_words(df: DataFrame, column: str, most: int, stop_words: list[str] | None = None,
+                   pattern: str = text.TERM_PATTERN) -> list[str] | None:
+    """The words that the ``most`` most frequent terms can be made of, at most twice as many; None for all words.
+
+    A pair occurs at most as often as either of its words. The ``most`` most frequent words are terms themselves, so no
+    term with a rarer word can be among the most frequent ones. Where too many words are as frequent as
+    the last of them, or there are too few, nothing is ruled out.
+    """
+    if most < 1:
+        return None
+    totals = df.select(F.explode(text.words(F.col(column), stop_words, pattern)).alias("word")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("total"))
+    first = totals.orderBy(F.desc("total"), "word").limit(2 * most + 1).collect()
+    if len(first) < most:
+        return None
+    kept = [r["word"] for r in first if r["total"] >= first[most - 1]["total"]]
+    return kept if len(kept) <= 2 * most else None
+
+
+def term_counts(df: DataFrame, column: str, stop_words: list[str] | None = None, among: list[str] | None = None,
+                pattern: str = text.TERM_PATTERN) -> DataFrame:
+    """``(term, total, documents)``; the null term counts the rows themselves. With ``among``, of terms made of its words.
 
     Occurrences and documents are counted in one pass with partial sums per task.
     """
-    words = df.select(text.terms(F.col(column), stop_words).alias("words"))
+    words = df.select(text.terms(F.col(column), stop_words, among, pattern).alias("words"))
     each = F.transform("words", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
     once = F.transform(
         F.array_distinct("words"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))
@@ -32,6 +52,15 @@ def term_counts(df: DataFrame, column: str, stop_words: list[str] | None = None)
     )
 
 
+def unit_length(raw: Column) -> Column:
+    """The array scaled to unit length. Array and length are lambda variables, so each is computed once a row, not once a place."""
+    def scaled(values: Column) -> Column:
+        length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
+        return F.transform(F.array(length), lambda n: F.transform(values, lambda x: x / n))[0]
+
+    return F.transform(F.array(raw), scaled)[0]
+
+
 @dataclass
 class TfidfModel:
     """Most frequent terms of a corpus with their weights; at most ``max_features`` of them."""
@@ -39,26 +68,28 @@ class TfidfModel:
     vocabulary: list[str]
     idf: list[float]
     stop_words: list[str] | None = None
+    pattern: str = text.TERM_PATTERN
 
     @classmethod
     def fit(cls, df: DataFrame, column: str, max_features: int = dims.VOCABULARY_SIZE,
-            stop_words: list[str] | None = None) -> "TfidfModel":
-        best = term_counts(df, column, stop_words).orderBy(
+            stop_words: list[str] | None = None, pattern: str = text.TERM_PATTERN) -> "TfidfModel":
+        among = frequent_words(df, column, max_features, stop_words, pattern)
+        best = term_counts(df, column, stop_words, among, pattern).orderBy(
             F.col("term").isNotNull(), F.desc("total"), "term"
         ).limit(max_features + 1).collect()
         if not best or best[0]["term"] is not None:
-            return cls([], [], stop_words)
+            return cls([], [], stop_words, pattern)
         rows = best[0]["documents"]
         kept = sorted((r["term"], r["documents"]) for r in best[1:])
         idf = [math.log((1 + rows) / (1 + documents)) + 1 for _, documents in kept]
-        return cls([term for term, _ in kept], idf, stop_words)
+        return cls([term for term, _ in kept], idf, stop_words, pattern)
 
     def counts(self, df: DataFrame, column: str, indices: str = "indices", values: str = "counts") -> DataFrame:
         """Adds the numbers of the vocabulary terms in the text and how often each occurs."""
         if not self.vocabulary:
             empty = F.array()
             return df.withColumn(indices, empty.cast("array<int>")).withColumn(values, empty.cast("array<double>"))
-        worded = df.withColumn("_words", text.terms(F.col(column), self.stop_words))
+        worded = df.withColumn("_words", text.terms(F.col(column), self.stop_words, pattern=self.pattern))
         counter = CountVectorizerModel.from_vocabulary(self.vocabulary, "_words", "_counts")
         return (
             counter.transform(worded)
@@ -76,10 +107,8 @@ class TfidfModel:
         )
         return (
             self.counts(df, column, indices, "_values")
-            .withColumn("_raw", weighted)
-            .withColumn("_length", F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x)))
-            .withColumn(weights, F.transform("_raw", lambda x: x / F.col("_length")))
-            .drop("_values", "_raw", "_length")
+            .withColumn(weights, unit_length(weighted))
+            .drop("_values")
         )
 
     def term_table(self, spark: SparkSession) -> DataFrame:
@@ -97,8 +126,6 @@ class TfidfModel:
 
 def tfidf_terms(df: DataFrame, key: str, column: str, model: TfidfModel) -> DataFrame:
     """``(key, term, weight)`` of every vocabulary term in every text."""
-    spark = df.sparkSession
-    weighted = model.transform(df.select(key, column), column).select(
-        key, F.inline(F.arrays_zip("indices", "weights")).alias("index", "weight")
-    )
-    return weighted.join(model.term_table(spark).select("index", "term"), "index").select(key, "term", "weight")
+    terms = F.array(*[F.lit(t) for t in model.vocabulary or [""]])
+    return model.transform(df.select(key, column), column).select(
+        key, F.inline(F.arrays_zip(F.transform("indices", lambda i: F.get(terms, i)), "weights")).alias("term", "weight"))
