@@ -15,7 +15,7 @@ from logquarry.operators.model import (
     stratified_split,
     train_on_columns,
 )
-from logquarry.session import scratch_path
+from logquarry.session import scratch_path, stage
 
 
 def labelled(spark, sf):
@@ -30,11 +30,10 @@ def split(spark, sf):
 @query("train_importance")
 def train_importance(spark, sf):
     """Scores of both models on the held-out documents."""
-    rows = split(spark, sf)
+    rows = stage(split(spark, sf))
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")
-    out = None
-    for kind in ("logistic", "layers"):
-        model = ImportanceModel.train(train, "text", "quality", kind, max_iter=30)
+    out, kinds = None, ["logistic", "layers"]
+    for kind, model in zip(kinds, ImportanceModel.train_kinds(train, "text", "quality", kinds, max_iter=30)):
         scored = model.evaluate(test, "text", "quality").withColumn("model", F.lit(kind))
         out = scored if out is None else out.unionByName(scored)
     return out

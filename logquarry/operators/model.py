@@ -16,6 +16,7 @@ from logquarry.functions import text
 from logquarry.operators import evaluation
 from logquarry.operators.ordering import numbered_by_hash
 from logquarry.operators.tfidf import TfidfModel
+from logquarry.session import stage
 
 FEATURES = 100
 HIDDEN = [128, 128, 64, 32]
@@ -33,7 +34,8 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
 
 
 def with_terms(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn("_terms", text.terms(text.clean(F.col(column))))
+    """The terms of the cleaned text, found without cleaning it first."""
+    return df.withColumn("_terms", text.terms(F.col(column), pattern=text.LETTER_PATTERN))
 
 
 @dataclass
@@ -46,8 +48,20 @@ class ImportanceModel:
     def train(cls, df: DataFrame, column: str, label: str, kind: str = "logistic",
               features: int = FEATURES, seed: int = 42, max_iter: int = 50) -> "ImportanceModel":
         """``kind`` is ``logistic`` or ``layers`` (dense 128-128-64-32-2)."""
-        cleaned = df.withColumn("_clean", text.clean(F.col(column)))
-        terms = TfidfModel.fit(cleaned, "_clean", features)
+        return cls.train_kinds(df, column, label, [kind], features, seed, max_iter)[0]
+
+    @classmethod
+    def train_kinds(cls, df: DataFrame, column: str, label: str, kinds: list[str],
+                    features: int = FEATURES, seed: int = 42, max_iter: int = 50) -> list["ImportanceModel"]:
+        """One model of each kind on the same vocabulary and features.
+
+        Texts are read twice for the vocabulary and once for the features, which are written to a table: at most
+        ``features`` numbers a row, which the classifiers then pass over as often as they need.
+        """
+        for kind in kinds:
+            if kind not in ("logistic", "layers"):
+                raise ValueError(f"unknown model: {kind}")
+        terms = TfidfModel.fit(df, column, features, pattern=text.LETTER_PATTERN)
         if not terms.vocabulary:
             raise ValueError("no terms to train on")
         counter = CountVectorizerModel.from_vocabulary(terms.vocabulary, "_terms", "_counts")
@@ -56,15 +70,16 @@ class ImportanceModel:
             scalingVec=Vectors.dense(terms.idf), inputCol="_counts", outputCol="_weighted")
         unit = Normalizer(inputCol="_weighted", outputCol="features")
         weighted = unit.transform(weigh.transform(counted))
-        rows = weighted.select("features", F.col(label).cast("double").alias("label"))
-        if kind == "logistic":
-            classifier = LogisticRegression(maxIter=max_iter, regParam=0.01)
-        elif kind == "layers":
-            classifier = MultilayerPerceptronClassifier(
-                layers=[len(terms.vocabulary), *HIDDEN, 2], maxIter=max_iter, seed=seed)
-        else:
-            raise ValueError(f"unknown model: {kind}")
-        return cls(PipelineModel([counter, weigh, unit, classifier.fit(rows)]))
+        rows = stage(weighted.select("features", F.col(label).cast("double").alias("label")))
+        made = []
+        for kind in kinds:
+            if kind == "logistic":
+                classifier = LogisticRegression(maxIter=max_iter, regParam=0.01)
+            else:
+                classifier = MultilayerPerceptronClassifier(
+                    layers=[len(terms.vocabulary), *HIDDEN, 2], maxIter=max_iter, seed=seed)
+            made.append(cls(PipelineModel([counter, weigh, unit, classifier.fit(rows)])))
+        return made
 
     def score(self, df: DataFrame, column: str) -> DataFrame:
         """Adds ``importance`` (probability of the positive class) and ``prediction`` at 0.5."""
