@@ -42,7 +42,7 @@ def train_importance(spark, sf):
 @query("score_importance")
 def score_importance(spark, sf):
     """All documents scored by a model trained on the labelled ones."""
-    model = ImportanceModel.train(labelled(spark, sf), "text", "quality", max_iter=30)
+    model = ImportanceModel.train(stage(labelled(spark, sf)), "text", "quality", max_iter=30)
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return model.score(docs, "text").select("doc_id", "importance", "prediction")
 
@@ -69,7 +69,7 @@ def perm_importance(spark, sf):
 @query("model_round_trip", "SELECT true AS same, count(*) AS rows FROM documents JOIN labels USING (doc_id)")
 def model_round_trip(spark, sf):
     """A model saved and loaded again scores every labelled document as before."""
-    rows = labelled(spark, sf)
+    rows = stage(labelled(spark, sf))
     model, path = ImportanceModel.train(rows, "text", "quality", max_iter=5), scratch_path(spark, "model")
     model.save(path)
     first = model.score(rows, "text").select("doc_id", F.round("importance", 9).alias("p"))
