@@ -7,7 +7,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +42,8 @@ def hashing_encoder(width: int = 64, stop_words: list[str] | None = None):
     """
     stops = frozenset(dims.STOP_WORDS if stop_words is None else stop_words)
 
-    @F.pandas_udf("array<double>")
-    def encode(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def encode(texts: pa.Array) -> pa.Array:
         words = re.compile(TERM_PATTERN)
         place = lru_cache(maxsize=200_000)(
             lambda word: int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % width
@@ -55,9 +55,12 @@ def hashing_encoder(width: int = 64, stop_words: list[str] | None = None):
             length = np.sqrt(counts @ counts)
             return counts / length if length else counts
 
-        codes, unique = pd.factorize(texts.fillna(""))
-        vectors = [one(t) for t in unique]
-        return pd.Series([vectors[c] for c in codes], index=texts.index)
+        coded = texts.fill_null("").dictionary_encode()
+        unique = np.empty((len(coded.dictionary), width))
+        for i, text in enumerate(coded.dictionary):
+            unique[i] = one(text.as_py())
+        flat = unique[coded.indices.to_numpy()].ravel()
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * width, flat)
 
     return encode
 

@@ -76,11 +76,16 @@ class BatchScorer:
 
     def keep(self, batch: pa.Table, which: np.ndarray, scores: np.ndarray) -> None:
         """Take in the rows' scores (rows, queries) for the queries ``which``."""
-        floor = self.floor[which]
+        wanted = scores >= self.floor[which]
         if batch.num_rows > self.k:
+            # of the rows as good as the k-th only those with the first ids, or a common score would take in the whole batch
+            order = pc.sort_indices(batch.column(self.id_column)).to_numpy()
+            batch, scores, wanted = batch.take(pa.array(order)), scores[order], wanted[order]
             kth = np.partition(scores, batch.num_rows - self.k, axis=0)[batch.num_rows - self.k]
-            floor = np.maximum(floor, kth)
-        row, col = np.nonzero(scores >= floor)
+            above, tied = scores > kth, scores == kth
+            room = self.k - above.sum(axis=0)
+            wanted &= above | (tied & (np.cumsum(tied, axis=0, dtype=np.int32) <= room))
+        row, col = np.nonzero(wanted)
         if not len(row):
             return
         found = batch.take(pa.array(row)).append_column("_query", pa.array(which[col].astype(np.int64)))
