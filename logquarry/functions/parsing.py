@@ -54,9 +54,9 @@ def line_parts(line: Column) -> Column:
     marked = F.regexp_replace(line, LINE_PATTERN, MARK.join(f"${i + 1}" for i in range(len(LINE_FIELDS))))
     fields = F.split(marked, MARK, len(LINE_FIELDS))
     one_by_one = F.when(line_matches(line), F.array(*line_fields(line)))
-    return F.when(F.contains(line, F.lit(MARK)), one_by_one).when(
-        F.size(fields) == len(LINE_FIELDS), fields
-    )
+    # bound as a lambda variable, so that the line is cut once
+    whole = F.transform(F.array(fields), lambda f: F.when(F.size(f) == len(LINE_FIELDS), f))[0]
+    return F.when(F.contains(line, F.lit(MARK)), one_by_one).otherwise(whole)
 
 
 def line_timestamp(text: Column) -> Column:

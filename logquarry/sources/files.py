@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions import parsing
@@ -38,6 +38,15 @@ def read_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with the column last, as the output of a generator.
+
+    A condition on it is tested after it was computed; one on a plain column would be pushed down with a copy of the
+    column's expression for each of its uses.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode_outer(F.array(value)).alias(name))
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Non-blank stripped lines with their number in the file, blank lines counted.
 
@@ -55,10 +64,10 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     offsets = splits.select(
         "source_file", "_split", "_first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before")
     )
+    numbered = lines.join(offsets, ["source_file", "_split"]).withColumn(
+        "line_number", F.col("_before") + F.col("_id") - F.col("_first") + 1)
     return (
-        lines.join(offsets, ["source_file", "_split"])
-        .withColumn("line_number", F.col("_before") + F.col("_id") - F.col("_first") + 1)
-        .withColumn("value", parsing.stripped(F.col("value")))
+        computed_once(numbered, "value", parsing.stripped(F.col("value")))
         .where(F.col("value") != "")
         .select("value", "source_file", "file_size", "mtime", "line_number")
     )
@@ -79,7 +88,7 @@ def explode_blobs(blobs: DataFrame, text: str = "text") -> DataFrame:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Typed columns of the lines that match the layout; other columns pass through."""
     others = [c for c in lines.columns if c != "value"]
-    parts = lines.withColumn("_parts", parsing.line_parts(F.col("value"))).where(
+    parts = computed_once(lines, "_parts", parsing.line_parts(F.col("value"))).where(
         F.col("_parts").isNotNull()
     )
     parsed = parts.select(

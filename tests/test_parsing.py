@@ -77,3 +77,14 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
 def test_undecodable_bytes_are_dropped(spark, tmp_path):
     (tmp_path / "x.log").write_bytes(b"good \xff\xfe line\n")
     assert read_lines(spark, str(tmp_path)).first().value == "good  line"
+
+
+def test_lines_are_stripped_and_cut_once(spark, tmp_path):
+    from logquarry.sources.files import read_logs
+
+    (tmp_path / "a.log").write_text("\n  \nnova.log 2024-01-01 00:00:00.123456 1 INFO m.n [req-1] text \nno line\n")
+    got = read_logs(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    conditions = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert conditions and not any("regexp" in c.lower() or "rlike" in c.lower() for c in conditions)
+    assert [(r.line_number, r.raw_log[-4:]) for r in got.collect()] == [(3, "text")]
