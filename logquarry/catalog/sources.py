@@ -6,6 +6,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.catalog.registry import query
@@ -37,6 +38,16 @@ def written_files(spark, sf) -> str:
     return root
 
 
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 over all columns of a row, in their order; nulls differ from empty texts, and -0.0 equals 0.0."""
+    def written(name, kind):
+        if kind == "double":
+            return (F.col(name) + 0.0).cast("string")
+        return F.to_json(name) if kind.startswith(("array", "map", "struct")) else F.col(name).cast("string")
+
+    return F.sha2(F.to_json(F.array(*[written(n, t) for n, t in df.dtypes])), 256)
+
+
 FOLDER = r"service=([^/]+)"
 
 
@@ -193,7 +204,7 @@ def src_incremental_features(spark, sf):
     full = engineer_all(read_logs(spark, root), tiebreak=("source_file", "line_number"), materialize=stage)
     # means and deviations are sums of doubles, whose last digits depend on the order of addition
     names = [F.round(n, 6).alias(n) if t == "double" else F.col(n) for n, t in full.dtypes if n != "ingestion_time"]
-    now, anew = stage(kept.features().select(names)), stage(full.select(names))
+    now, anew = (stage(rows.select(names).select(row_digest(rows.select(names)).alias("row"))) for rows in (kept.features(), full))
     same = now.count() == anew.count() and now.exceptAll(anew).isEmpty()
     return now.agg(F.lit(same).alias("same"), F.lit(second["framed"] < first["framed"]).alias("fewer"),
                    F.lit(third["framed"]).cast("long").alias("framed_again"), F.count(F.lit(1)).alias("rows"))

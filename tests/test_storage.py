@@ -140,3 +140,14 @@ def test_export_keeps_odd_values(spark, tmp_path):
     assert read_rows(spark, path, "text string, id long").count() == 6
     export_rows(rows.limit(0), path)
     assert read_rows(spark, path, schema).count() == 0
+
+
+def test_row_digest_tells_rows_apart(spark):
+    from logquarry.catalog.sources import row_digest
+
+    shape = "a string, b string, x double, y array<string>"
+    rows = spark.createDataFrame([
+        ("", None, 0.0, ["p", "q"]), (None, "", 0.0, ["p", "q"]), ("", None, 1.0, ["p", "q"]), ("", None, 0.0, ["p, q"]),
+        ('a","b', "c", None, None), ("a", 'b","c', None, None), ("", None, -0.0, ["p", "q"])], shape)
+    got = [r[0] for r in rows.select(row_digest(rows)).collect()]
+    assert len(set(got)) == 6 and got[0] == got[6]
