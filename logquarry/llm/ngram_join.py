@@ -17,6 +17,10 @@ are formed:
 4. Entries that reach t link their documents. Blocks whose rows have all become linked are finished;
    the others go on with more pivots, until every two rows of a block are linked or were compared.
    So a group of thousands of near copies costs a few pivots, not all its pairs, and no link is lost.
+5. A block with many rows left is split by how they differ from its first row: two rows are as far apart as
+   their two differences are, and differences of near copies are short and rare where the rows are long and
+   common. Rows within the threshold share one of the first columns of their differences, or both differences
+   are so short that the rows are near that first row. The parts go on like blocks.
 
 Documents with the same set are one row of the matrix. Blocks of very frequent columns are cut into
 parts, joined again through their pivots. Each round's tables are written to the shared folder.
@@ -43,6 +47,7 @@ COUNTERS, SLICES, PARTS = 1 << 20, 16, 256
 MEMBER_BITS = 1 << 23
 WIDE = "wide"  # the sizes of a row's parts in 8 column ranges, a byte each; -1: no bound
 WINDOW_BYTES = 1 << 20  # text bytes hashed at once
+FEW = 64  # rows left in a block up to which it is not split by differences
 HOT = 20_000  # rows of a column beyond which its block is cut into parts
 FIRST = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -265,6 +270,7 @@ def _possible(num: int, den: int):
     """Whether sizes and places leave room for Jaccard num/den between (n, pos) and (other_n, other_pos)."""
     n, m = F.col("n"), F.col("other_n")
     most = 1 + F.least("pos", "other_pos") + F.least(n - F.col("pos") - 1, m - F.col("other_pos") - 1)
+    most = F.least(most, F.least(n, m) - (n == m).cast("int"))  # copies are one row, so equally large sets differ
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & (most * (num + den) >= num * (n + m))
 
 
@@ -278,6 +284,50 @@ def _wide_enough(num: int, den: int):
     return unknown | (room * (num + den) >= num * (F.col("n") + F.col("other_n")))
 
 
+def _farthest(num: int, den: int):
+    """How many columns a row of size n and any other one that reaches the threshold differ in at most."""
+    return F.call_function("div", (den - num) * F.col("n"), F.lit(num))
+
+
+def _close_enough(num: int, den: int):
+    """Whether rows whose differences from one row share their column at pos, and none before, may reach the threshold.
+
+    What comes before pos isn't shared, and what follows differs by the difference of its lengths at least.
+    """
+    n, m = F.col("n"), F.col("other_n")
+    apart = F.col("pos") + F.col("other_pos") + F.abs(F.col("after") - F.col("other_after"))
+    return apart <= n + m - 2 * F.call_function("div", num * (n + m) + (num + den - 1), F.lit(num + den))
+
+
+def _by_difference(rows: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Parts in place of the blocks of ``rows`` (key, node, n, pos, ref, ref_n), and the rows too far from ref for them.
+
+    Any two rows of a block that reach the threshold are both in one of the parts or both too far. A part holds the
+    rows that have a column among the first of their difference from ref, rarest first, or the rows near ref.
+    """
+    asked = rows.select("ref", "ref_n", "node", "n").distinct()
+    row_sets = sets.select("node", "grams", F.size("grams").cast("long").alias("n"))
+    ref_sets = row_sets.select(F.col("node").alias("ref"), F.col("n").alias("ref_n"), F.col("grams").alias("ref_grams"))
+    both = asked.join(row_sets, ["node", "n"]).join(ref_sets, ["ref", "ref_n"])
+    reach = 4 * F.call_function("div", (den - num) * F.col("ref_n"), F.lit(num))
+    diff = F.array_union(F.array_except("grams", "ref_grams"), F.array_except("ref_grams", "grams"))
+    apart = both.select("ref", "ref_n", "node", "n", F.xxhash64("ref", "ref_grams").alias("group"), diff.alias("diff")) \
+        .withColumn("apart", F.size("diff").cast("long"))
+    # those a little beyond reach take part on both sides, as they may be near rows of both
+    apart = stage(apart.withColumn("diff", F.when(F.col("apart") <= reach + _farthest(num, den), F.col("diff")))
+                  .withColumn("row", F.monotonically_increasing_id()))
+    far = rows.join(apart.where(F.col("apart") > reach).select("ref", "ref_n", "node", "n").distinct(), ["ref", "ref_n", "node", "n"])
+    close = apart.where("diff is not null").withColumn("most", _farthest(num, den))
+    columns = close.select("group", "row", "node", "n", "apart", "most", F.explode("diff").alias("gram"))
+    times = columns.groupBy("group", "gram").agg(F.count(F.lit(1)).alias("times"))
+    place = F.row_number().over(W.partitionBy("row").orderBy("times", "gram")).cast("long") - 1
+    placed = columns.join(times, ["group", "gram"]).withColumn("pos", place).where("times > 1 and pos <= most").select(
+        F.xxhash64("group", "gram").alias("key"), "node", "n", "pos", (F.col("apart") - F.col("pos") - 1).alias("after"))
+    near = close.where("apart <= most").select(
+        F.xxhash64("group").alias("key"), "node", "n", F.col("apart").alias("pos"), F.lit(0).cast("long").alias("after"))
+    return placed.union(near), far.select("key", "node", "n", "pos", F.lit(None).cast("long").alias("after"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole rows reach the threshold."""
     a = sets.select(F.col("node").alias("a"), F.col("grams").alias("a_grams"))
@@ -304,7 +354,8 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     copies = stage(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times"))
                    .where("times > 1").drop("times"))
     single = full.join(copies, ["h1", "h2"], "left").where("rep is null or rep = doc_id")
-    kept = single.select(F.col("doc_id").alias("node"), "n", F.posexplode(F.arrays_zip("keys", "fan")).alias("pos", "kept"))
+    # smaller sets than that reach the threshold with no other one
+    kept = single.where((den - num) * F.col("n") >= num).select(F.col("doc_id").alias("node"), "n", F.posexplode(F.arrays_zip("keys", "fan")).alias("pos", "kept"))
     part = F.pmod(F.xxhash64("node"), F.col("kept.fan") + 1)
     kept = kept.select(
         F.when(F.col("kept.fan") == 0, F.col("kept.keys")).otherwise(F.xxhash64("kept.keys", part)).alias("block"),
@@ -327,28 +378,35 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     pairs = _pairs(shared.select(*narrow).union(heads.select(*narrow)).where(possible))
     whole = None  # the sets of all documents that were in a pair
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def with_sets(wanted: DataFrame) -> DataFrame:
         nonlocal whole
-        pairs = stage(_within_bounds(pairs, full, num, den))
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         if whole is not None:
             wanted = wanted.join(whole.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
         new = stage(_whole_sets(rows, stage(wanted), n))
         whole = new if whole is None else whole.union(new)
-        return stage(_verified(pairs, whole, num, den))
+        return whole
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stage(_within_bounds(pairs, full, num, den))
+        return stage(_verified(pairs, with_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), num, den))
 
     links = verified(pairs)
     labels = components(links)
     # pivots of whole blocks have met every row of theirs; the rows that are left need the other pairs
-    open_rows, pivots = shared.where("cut_key is not null or node <> other").select("key", "node", "n", "pos"), 16
+    open_rows, pivots = shared.where("cut_key is not null or node <> other").select(
+        "key", "node", "n", F.col("pos").cast("long").alias("pos"), F.lit(None).cast("long").alias("after")), 16
+    possible = F.when(F.col("after").isNull(), possible).otherwise(_close_enough(num, den))
     while True:
         named = open_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         # blocks with the same rows are one block: the number of rows and two sums of hashes tell them apart
         mixed = named.groupBy("key").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"),
+            F.min("pos").alias("least"), F.when(F.count("after") > 0, F.col("key")).alias("part"),
             *[F.sum(F.shiftright(F.xxhash64(F.lit(salt), "node"), 24)).alias(f"sum_{salt}") for salt in (1, 2)]).where("low <> high")
-        mixed = mixed.groupBy("rows", "sum_1", "sum_2").agg(F.min("key").alias("key"))
-        open_rows = stage(named.join(stage(mixed.select("key")), "key"))
+        mixed = mixed.groupBy("rows", "sum_1", "sum_2", "part").agg(F.min("key").alias("key"), F.min("least").alias("least"))
+        # in a part, a row as far along as this meets no other one in time
+        open_rows = stage(named.join(stage(mixed.select("key", "least")), "key").where(
+            F.col("after").isNull() | (F.col("pos") + F.col("least") <= _farthest(num, den))).drop("least"))
         if open_rows.isEmpty():
             break
         named = open_rows.join(full.select(F.col("doc_id").alias("node"), WIDE).dropDuplicates(["node"]), "node")
@@ -356,14 +414,23 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
         ranked = stage(ranked)
         heads = ranked.where(F.col("rank") <= pivots).select(
             "key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"),
-            F.col("label").alias("other_label"), F.col("rank").alias("other_rank"), F.col(WIDE).alias(f"other_{WIDE}"))
+            F.col("after").alias("other_after"), F.col("label").alias("other_label"), F.col("rank").alias("other_rank"),
+            F.col(WIDE).alias(f"other_{WIDE}"))
         pairs = _pairs(ranked.join(heads, "key").where((F.col("rank") > F.col("other_rank")) &
                                                        (F.col("label") != F.col("other_label")) & possible & wide))
         found = verified(pairs)
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
-        open_rows, pivots = ranked.where(F.col("rank") > pivots).select("key", "node", "n", "pos"), pivots * 16
+        left = ranked.where(F.col("rank") > pivots).select("key", "node", "n", "pos", "after")
+        sizes = ranked.groupBy("key").agg(F.max("rank").alias("rows"), F.max("after").alias("part"))
+        large = stage(sizes.where((F.col("rows") > pivots + FEW) & F.col("part").isNull()).select("key"))
+        if not large.isEmpty():
+            refs = ranked.where("rank = 1").join(large, "key").select("key", F.col("node").alias("ref"), F.col("n").alias("ref_n"))
+            split = stage(left.drop("after").join(refs, "key"))
+            parts, far = _by_difference(split, with_sets(split.select(F.col("node").alias("doc_id")).union(split.select("ref")).distinct()), num, den)
+            left = left.join(large, "key", "left_anti").unionByName(parts).unionByName(far)
+        open_rows, pivots = left, pivots * 16
     member = sets.select("doc_id", "n", "h1", "h2").join(copies, ["h1", "h2"], "left").withColumn(
         "node", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")))
     out = member.join(labels, "node", "left").select(

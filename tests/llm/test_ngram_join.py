@@ -76,6 +76,37 @@ def test_groups_of_near_copies_and_shared_passages(spark, monkeypatch, hot):
         assert joined(df, n, num) == brute(docs, n, num, 100)
 
 
+def near_copies(count, words=150):
+    """Copies of one text with two or three words changed, most of them below 90 %, some of them linked, a few short ones."""
+    random.seed(2)
+    word = lambda: f"w{random.randint(0, 100_000)}"
+    base, texts = [word() for _ in range(words)], []
+    for i in range(count):
+        copy = list(base[: words - i % 3])
+        for _ in range(random.choice((2, 2, 3))):
+            copy[random.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join(base), " ".join(base[: words // 2]), " ".join(base[: words // 2 - 1]), *texts[:9]]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_blocks_are_split_by_differences(spark, monkeypatch, few):
+    """Links stay whole where many rows share rare columns and few of them reach the threshold."""
+    monkeypatch.setattr(nj, "FEW", few)
+    formed, bounded = [], nj._within_bounds
+    monkeypatch.setattr(nj, "_within_bounds", lambda pairs, *rest: formed.append(pairs.count()) or bounded(pairs, *rest))
+    docs = near_copies(400)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    found = joined(df, 3, 90)
+    assert found == brute(docs, 3, 90, 100)
+    assert len({c for _, c in found.values()}) > 100  # many are linked with nothing
+    assert sum(formed[2:]) < 3_000, formed  # of 80,000 pairs
+    if not few:
+        for n, num in ((1, 85), (2, 100)):
+            assert joined(df, n, num) == brute(docs, n, num, 100)
+
+
 def test_odd_documents(odd_documents, no_documents):
     rows = nj.ngram_join(odd_documents, n=3, num=90).collect()
     assert len(rows) == odd_documents.count()
