@@ -190,5 +190,5 @@ def _sql_scaled(name: str) -> str:
 @query("model_matrix", "SELECT log_id, " + ", ".join(map(_sql_scaled, dims.MODEL_COLUMNS)) + f" FROM ({SQL_ALL})")
 def model_matrix(spark, sf):
     """The 26 columns of the model, scaled, for every line."""
-    features = stage(engineer_all(logs(spark, sf), materialize=stage))
-    return anomaly.model_matrix(features).select("log_id", *[F.round(c, 4).alias(c) for c in dims.MODEL_COLUMNS])
+    features = engineer_all(logs(spark, sf), materialize=stage, only=dims.MODEL_COLUMNS).select("log_id", *dims.MODEL_COLUMNS)
+    return anomaly.model_matrix(stage(features)).select("log_id", *[F.round(c, 4).alias(c) for c in dims.MODEL_COLUMNS])

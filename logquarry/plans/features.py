@@ -47,6 +47,7 @@ def engineer_all(
     df: DataFrame,
     tiebreak: tuple[str, ...] = ("log_id",),
     materialize: Callable[[DataFrame], DataFrame] | None = None,
+    only: list[str] | None = None,
 ) -> DataFrame:
     """The 77 features.
 
@@ -54,13 +55,17 @@ def engineer_all(
     the others are added at the end. The tables per (instance, block) and per request are
     pre-aggregated and joined back. Whole-table means and deviations are scalar subqueries.
     ``materialize`` may write the framed rows to a table and return its reader; the statistics then
-    read that table instead of repeating the frames.
+    read that table instead of repeating the frames. With ``only``, frames that are neither asked for nor built
+    upon are left out of it and of the result.
     """
     rows = with_length(df)
     indexed = sequence.add_bucket_positions(
         with_global_index(rows, tiebreak=tiebreak, keep_groups=True)
     )
-    framed = keyed.number_in_block(over_blocks(indexed, frames, keep_block=True))
+    blocked = over_blocks(indexed, frames, keep_block=True)
+    if only is not None:
+        blocked = blocked.drop(*set(blocked.columns).difference(indexed.columns, ["_block", "time_since_prev"], only))
+    framed = keyed.number_in_block(blocked)
     if materialize is None:
         return complete(framed, rows)
     return complete(materialize(framed), materialize=materialize)

@@ -2,6 +2,7 @@ import os
 import random
 from datetime import datetime, timedelta
 
+from logquarry import dims
 from logquarry.plans.feature_snapshot import FeatureSnapshot, around
 from logquarry.plans.features import engineer_all
 from logquarry.session import stage
@@ -63,3 +64,17 @@ def test_neighbours_of_a_touched_span():
     assert context == {1, 9, 10}
     assert around({4}, counts)[0] == {2, 3, 5}  # a span that lost all its lines
     assert around(set(), {}) == (set(), set())
+
+
+def test_tables_in_between_hold_what_is_asked_for(spark):
+    """With ``only``, frames nobody needs are not written; the asked columns stay the same."""
+    lines = spark.createDataFrame(
+        [(i, datetime(2024, 1, 1, 0, 0, 7 * i % 60), ("INFO", "ERROR", None)[i % 3], f"svc{i % 2}", None if i % 5 == 0 else f"vm{i % 4}", f"req{i % 6}",
+          f"failed {i}") for i in range(40)],
+        "log_id long, timestamp timestamp_ntz, level string, service_type string, instance_id string, request_id string, message string")
+    written = []
+    only = engineer_all(lines, materialize=lambda df: written.append(df.columns) or stage(df), only=dims.MODEL_COLUMNS)
+    assert "prev_level" not in written[0] and "instances_in_context_10" not in written[0] and "error_rate_last_5" in written[0]
+    names = ["log_id", *dims.MODEL_COLUMNS]
+    full = engineer_all(lines, materialize=stage)
+    assert sorted(map(tuple, only.select(names).collect())) == sorted(map(tuple, full.select(names).collect()))
