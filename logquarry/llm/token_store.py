@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,17 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: character that is no letter (or the end) follows; without a space of its own, the text begins, or a digit, a sign other
 #: than the apostrophe, or a single line feed comes before.
 RUN = re.compile(rf"((?: |\A|(?<=[!-&(-@\[-`{{-~])|(?<=\S\n))[{LETTERS}]++(?=[\t-\r -@\[-`{{-~]|\Z))")
+LETTER_RUN = re.compile(f" ?[{LETTERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """What byte-level tokenizers write for a space and the letters beyond ASCII: a character for each UTF-8 byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in [32, *range(0xC0, 0x250)]}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class Encoder:
@@ -61,41 +73,35 @@ class Encoder:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            begins = np.zeros(tokenizer.get_vocab_size(), bool)  # tokens that begin with a space
-            begins[[i for t, i in tokenizer.get_vocab().items() if t.startswith(SPACE_LETTER)]] = True
             made = json.loads(tokenizer.to_str())
             cut = made["pre_tokenizer"] or {}
             plain = (made["normalizer"] is None and made["post_processor"] is None and cut.get("type") == "ByteLevel"
                      and cut.get("use_regex", True) and not cut.get("add_prefix_space", True))
-            store.update(tokenizer=tokenizer, units={}, begins=begins, plain=plain,
+            store.update(tokenizer=tokenizer, units={}, plain=plain,
                          added=[t["content"] for t in made["added_tokens"]])
-        self.tokenizer, self.units, self.begins = store["tokenizer"], store["units"], store["begins"]
+        self.tokenizer, self.units = store["tokenizer"], store["units"]
         self.plain, self.added = store["plain"], store["added"]
-        self.width, self.kind = width, f"<u{width}"
+        self.width, self.kind, self.code = width, f"<u{width}", "H" if width == 2 else "I"
         self.cache_units, self.long_unit = cache_units, long_unit
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, self.kind).tobytes() for e in found]
 
-    def _encode_runs(self, units: list[str]) -> list[bytes]:
-        """Runs that start with a space, in one call: each one's first token is one that begins with a space."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, self.kind)
-        starts = np.flatnonzero(self.begins[ids])
-        if len(starts) != len(units) or starts[0]:
-            return self._encode(units)
-        raw, cuts = ids.tobytes(), (starts * self.width).tolist()
-        return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
-
     def _learn(self, units: set[str]) -> None:
+        """Take in units. A run of letters is one piece to the pre-tokenizer, so the model alone gives its ids."""
         if len(self.units) + len(units) > self.cache_units:
             self.units.clear()
-        spaced, others = [], []
+        model, others = self.tokenizer.model.tokenize, []
         for u in units:
-            (spaced if RUN.fullmatch(u) and u[0] == " " else others).append(u)
-        for at in range(0, len(spaced), 2_000):
-            part = spaced[at : at + 2_000]
-            self.units.update(zip(part, self._encode_runs(part)))
+            if self.plain and u.isascii() and u[1:].isalpha() and (u[0] == " " or u[0].isalpha()):
+                piece = SPACE_LETTER + u[1:] if u[0] == " " else u
+            elif self.plain and LETTER_RUN.fullmatch(u):
+                piece = u.translate(BYTE_LETTERS)
+            else:
+                others.append(u)
+                continue
+            self.units[u] = array(self.code, [t.id for t in model(piece)]).tobytes()
         for at in range(0, len(others), 2_000):
             part = others[at : at + 2_000]
             self.units.update(zip(part, self._encode(part)))

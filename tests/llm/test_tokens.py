@@ -30,6 +30,24 @@ def test_units_equal_whole_texts(byte_bpe, width):
             assert np.frombuffer(ids, f"<u{width}").tolist() == want.ids, repr(text)
 
 
+def test_runs_of_letters_go_to_the_model_alone(byte_bpe):
+    encode, sent = token_store.Encoder(byte_bpe, 2), []
+    library = encode.tokenizer
+    encode.units.clear()
+
+    class Watched:
+        model = library.model
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encode.tokenizer = Watched()
+    text = "Plain words, déjà vu; Ā ɏ unplainwordly 12 x"
+    assert np.frombuffer(encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sent and not any(c.isalpha() for t in sent for c in t)
+
+
 def test_words_equal_the_library(word_bpe):
     texts = odd_texts()
     rules = lexicon_bpe.Merger(word_bpe)
