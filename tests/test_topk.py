@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +102,18 @@ def test_index_of_nothing(spark, space, tmp_path):
     _, _, d, q = space
     index = VectorIndex.build(d.where("false"), str(tmp_path / "index"), "log_id")
     assert index.about.rows == 0 and index.rows().count() == 0
+
+
+def test_nearest_cells_are_found_in_bounded_memory():
+    from logquarry.operators.ann import nearest_cell
+
+    rng = np.random.default_rng(3)
+    vectors, centres = rng.normal(size=(20_000, 8)), rng.normal(size=(1_000, 8))
+    distances = [((v - centres) ** 2).sum(axis=1) for v in vectors[:500]]
+    tracemalloc.start()
+    found = nearest_cell(vectors, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # not all 20 million scores at once
+    assert found.shape == (20_000,) and found[:500].tolist() == [int(d.argmin()) for d in distances]
+    assert nearest_cell(vectors[:0], centres).shape == (0,) and set(nearest_cell(vectors, centres[:1])) == {0}
