@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logquarry.llm import lexicon_bpe, mixing, ngram_join, pii, quality_rules
 from logquarry.llm.common import table
 from logquarry.llm.queries import MOST, WEIGHTS, vocabulary
-from logquarry.session import scratch_path, stage
+from logquarry.session import scratch_path, shuffles_dropped, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +28,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with a null id link with nothing and stay. Of rows with one id the smallest stays.
     """
     found = stage(ngram_join.ngram_join(docs, n=5, num=80, den=100))
-    heads = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
-    kept = docs.join(heads, "doc_id")
+    times = found.where("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.expr("component_id = doc_id")).alias("_times"))
+    with shuffles_dropped(spark):  # most texts stay as they are; only rows that a filter of the other ids lets pass are shuffled
+        others = stage(times.where("_times <> 1"))
+        words = stage(ngram_join.member_words(others, "doc_id"))
+    marked = ngram_join.marked(docs, words, "doc_id")
     rest = [c for c in docs.columns if c != "doc_id"]
-    repeated = kept.where("_times > 1").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "_row.*")
-    return (kept.where("_times = 1").select(*docs.columns).union(repeated.select(*docs.columns))
-            .union(docs.where("doc_id is null")))
+    repeated = (marked.where("_member").join(others.where("_times > 1"), "doc_id").groupBy("doc_id")
+                .agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "_row.*"))
+    return (marked.where("not _member or doc_id is null").select(*docs.columns)
+            .union(marked.where("_member").where("doc_id is not null").join(others, "doc_id", "left_anti").select(*docs.columns))
+            .union(repeated.select(*docs.columns)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

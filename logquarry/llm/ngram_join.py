@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logquarry.llm.common import small_batches
-from logquarry.session import stage
+from logquarry.session import shuffles_dropped, stage
 
 COUNTERS, SLICES, PARTS = 1 << 20, 16, 256
 MEMBER_BITS = 1 << 23
@@ -209,27 +209,32 @@ def _row_sets(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(kept, "doc_id long, n long, h1 long, h2 long, keys array<long>, fan array<int>, parts binary, wide long")
 
 
+def member_words(wanted: DataFrame, column: str) -> DataFrame:
+    """A filter of MEMBER_BITS bits of the numbers in ``column``, as (_word, _bits): at most MEMBER_BITS / 64 rows."""
+    place = wanted.select(F.pmod(F.xxhash64(column), F.lit(MEMBER_BITS)).alias("h"))
+    return place.groupBy(F.call_function("div", F.col("h"), F.lit(64)).alias("_word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 64).cast("int"))).alias("_bits"))
+
+
+def marked(rows: DataFrame, words: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the flag ``_member``: false where ``column`` is surely not among the filter's numbers. Rows don't move."""
+    h = F.pmod(F.xxhash64(column), F.lit(MEMBER_BITS))
+    bit = F.call_function("shiftright", F.col("_bits"), (h % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    flagged = rows.withColumn("_word", F.call_function("div", h, F.lit(64))).join(F.broadcast(words), "_word", "left")
+    return flagged.withColumn("_member", F.coalesce(bit == 1, F.lit(False))).drop("_word", "_bits")
+
+
 def _whole_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """The sets of the documents in ``wanted``; texts don't move, only the sets of what a filter of MEMBER_BITS bits lets pass."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(MEMBER_BITS))
-    words = wanted.select(place.alias("h")).groupBy(F.call_function("div", F.col("h"), F.lit(64)).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 64).cast("int"))).alias("bits"))
-    member = np.zeros(MEMBER_BITS // 64, np.int64)
-    for w in words.collect():  # at most MEMBER_BITS / 64 rows
-        member[w.word] = w.bits
-    sent = rows.sparkSession.sparkContext.broadcast(member)  # 1 MB
+    """The sets of the documents in ``wanted``; texts don't move, only the sets of what a filter lets pass."""
 
     def sets(batches):
-        member = sent.value
         for batch in batches:
-            h = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((member[h >> 6] >> (h & 63)) & 1 == 1))
-            if batch.num_rows:
-                found = [g.view(np.int64) for g in shingle_sets(batch.column(1), n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "grams"])
+            found = [g.view(np.int64) for g in shingle_sets(batch.column(1), n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    named = rows.where("doc_id is not null").select("doc_id", "text", place.alias("h"))
-    return named.mapInArrow(sets, "node long, grams array<long>").join(wanted.select(F.col("doc_id").alias("node")), "node", "left_semi")
+    named = marked(rows.where("doc_id is not null"), stage(member_words(wanted, "doc_id")), "doc_id")
+    asked = named.where("_member").select("doc_id", "text").mapInArrow(sets, "node long, grams array<long>")
+    return asked.join(wanted.select(F.col("doc_id").alias("node")), "node", "left_semi")
 
 
 def _within_bounds(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -345,6 +350,11 @@ def _pairs(rows: DataFrame) -> DataFrame:
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id",
                text_column: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles and component_id; linked where Jaccard >= num / den."""
+    with shuffles_dropped(docs.sparkSession):
+        return _joined(docs, n, num, den, id_column, text_column)
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int, id_column: str, text_column: str) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -379,12 +389,16 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     whole = None  # the sets of all documents that were in a pair
 
     def with_sets(wanted: DataFrame) -> DataFrame:
+        """The sets of the documents in ``wanted`` (doc_id), others left where they lie."""
         nonlocal whole
-        if whole is not None:
-            wanted = wanted.join(whole.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
-        new = stage(_whole_sets(rows, stage(wanted), n))
-        whole = new if whole is None else whole.union(new)
-        return whole
+        wanted = stage(wanted)
+        if whole is None:
+            whole = stage(_whole_sets(rows, wanted, n))
+            return whole
+        new = stage(wanted.join(whole.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"))
+        if not new.isEmpty():
+            whole = whole.union(stage(_whole_sets(rows, new, n)))
+        return whole.join(wanted.select(F.col("doc_id").alias("node")), "node", "left_semi")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stage(_within_bounds(pairs, full, num, den))

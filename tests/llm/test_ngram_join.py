@@ -1,6 +1,8 @@
 """The Jaccard join against all pairs."""
 
+import glob
 import random
+import time
 import re
 from collections import defaultdict
 
@@ -107,6 +109,40 @@ def test_blocks_are_split_by_differences(spark, monkeypatch, few):
             assert joined(df, n, num) == brute(docs, n, num, 100)
 
 
+def test_rounds_join_the_sets_they_ask_for(spark, monkeypatch):
+    seen, verified = [], nj._verified
+
+    def watched(pairs, sets, *rest):
+        asked = pairs.select("a").union(pairs.select("b")).distinct().count()
+        seen.append((asked, sets.count()))
+        return verified(pairs, sets, *rest)
+
+    monkeypatch.setattr(nj, "_verified", watched)
+    docs = near_copies(400)
+    assert joined(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90) == brute(docs, 3, 90, 100)
+    assert len(seen) > 1 and all(asked == held for asked, held in seen), seen
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = files()
+    nj.ngram_join(spark.createDataFrame(near_copies(100), "doc_id long, text string").repartition(3), 3, 90)
+    for _ in range(50):  # they are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+
+
+def test_filter_lets_all_members_pass(spark):
+    ids = spark.range(0, 1_000_000, 997)
+    words = nj.member_words(ids, "id")
+    found = nj.marked(spark.range(1_000_000).union(spark.sql("SELECT CAST(NULL AS LONG)")), words, "id").where("_member")
+    assert found.join(ids, "id").count() == ids.count()
+    assert found.count() < 2 * ids.count()
+
+
 def test_odd_documents(odd_documents, no_documents):
     rows = nj.ngram_join(odd_documents, n=3, num=90).collect()
     assert len(rows) == odd_documents.count()

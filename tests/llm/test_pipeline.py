@@ -85,3 +85,27 @@ def test_near_duplicate_stage_on_odd_rows(spark, sf, odd_documents):
     rows = corpus_pipeline.near_duplicates(spark, odd_documents, sf).collect()
     assert sorted(r.doc_id for r in rows if r.doc_id) == [1, 2, 3, 4, 6, 8, 9, 10] and sum(r.doc_id is None for r in rows) == 1
     assert TABLES
+
+
+def test_repeated_ids_and_copies(spark, sf):
+    """Rows with a null id and rows without a copy stay, copies go; of rows with one id that are heads the smallest stays."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (2, text + " "), (3, "a text of its own"), (None, text), (None, text), (4, "b"), (4, "c"), (5, None), (6, text.upper())]
+    rows += [(i, f"w{i} x{i} y{i} z{i} q{i}") for i in range(10, 300)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, member int").repartition(4)
+    found = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    gone = {(2, text + " "), (6, text.upper()), (4, "c")}
+    assert sorted(map(str, ((r.doc_id, r.text) for r in found))) == sorted(str(r) for r in rows if r not in gone)
+
+
+def test_texts_without_copies_are_not_shuffled(spark, sf):
+    rows = [(i, f"w{i} x{i} y{i} z{i} q{i} " * 50) for i in range(400)] + [(1000, "w1 x1 y1 z1 q1 " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = corpus_pipeline.near_duplicates(spark, docs, sf)._jdf.queryExecution().optimizedPlan()
+        joins = [plan.children().apply(i).toString() for i in range(plan.children().size())]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all("Join" not in line or "broadcast" in line for line in joins[0].splitlines()), joins[0]
