@@ -17,9 +17,11 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import struct
 import unicodedata
 import uuid
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from logquarry.llm.common import process_store, small_batches
 from logquarry.session import scratch_path, stage
 
 END = "</w>"
+NEVER = 1 << 40  # the rank of two symbols that no rule merges
 LAST = b"\xff"  # ends every word of the automaton
 UNICODE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -57,9 +60,10 @@ class Merger:
         self.path, self.library, self.byte_of = path, None, {c: b for b, c in enumerate(letters)}
         self.inner = [vocab.get(c) for c in letters]
         self.last = [vocab.get(c + END) for c in letters]
-        self.merges = {}
+        self.merges, self.merged = {}, []  # two symbols to their rank, a rank to what they become
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a], vocab[b]] = rank
+            self.merged.append(vocab[a + b])
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*vocab.items(), *self.specials.items()]}
         self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{UNICODE_SPACE}\p{{L}}\p{{N}}]+")
@@ -85,37 +89,49 @@ class Merger:
         parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(map(self.byte_of.__getitem__, p)).decode("utf-8", "surrogatepass") for p, _ in parts]
 
+    def parts(self, unit: str) -> list[str | int]:
+        """The words of a text, and the ids of its special tokens."""
+        if unit.isascii() and unit.isalpha():
+            return [unit.lower()]
+        parts, at = [], 0
+        if "<" in unit:
+            for m in self.special.finditer(unit):
+                parts += [*self.words(unit[at : m.start()]), self.specials[m.group()]]
+                at = m.end()
+        return parts + self.words(unit[at:])
+
     def word_ids(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
         symbols = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         symbols = [s for s in symbols if s is not None]
-        n, merges = len(symbols), self.merges
+        n, rank_of, merged = len(symbols), self.merges.get, self.merged
         if n < 2:
             return symbols
-        if n <= 24:
-            while True:
-                best = None
-                for i in range(len(symbols) - 1):
-                    found = merges.get((symbols[i], symbols[i + 1]))
-                    if found and (best is None or found[0] < best[0]):
-                        best, at = found, i
-                if best is None:
-                    return symbols
-                symbols[at : at + 2] = [best[1]]
+        if n <= 24:  # ranks[i]: of symbols i and i + 1; a merge changes those beside it only
+            ranks = list(map(rank_of, zip(symbols, symbols[1:]), repeat(NEVER)))
+            while ranks and (best := min(ranks)) != NEVER:
+                at = ranks.index(best)
+                symbols[at : at + 2] = [merged[best]]
+                del ranks[at]
+                if at:
+                    ranks[at - 1] = rank_of((symbols[at - 1], symbols[at]), NEVER)
+                if at < len(ranks):
+                    ranks[at] = rank_of((symbols[at], symbols[at + 1]), NEVER)
+            return symbols
         after, before, queue = [*range(1, n), -1], [*range(-1, n - 1)], []
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (found := merges.get((symbols[i], symbols[after[i]]))):
-                heapq.heappush(queue, (found[0], i, found[1]))
+            if i >= 0 and after[i] >= 0 and (rank := rank_of((symbols[i], symbols[after[i]]))) is not None:
+                heapq.heappush(queue, (rank, i))
 
         for i in range(n - 1):
             offer(i)
         while queue:
-            rank, i, new = heapq.heappop(queue)
+            rank, i = heapq.heappop(queue)
             j = after[i]
-            if symbols[i] < 0 or j < 0 or merges.get((symbols[i], symbols[j])) != (rank, new):
+            if symbols[i] < 0 or j < 0 or rank_of((symbols[i], symbols[j])) != rank:
                 continue
-            symbols[i], symbols[j], after[i] = new, -1, after[j]
+            symbols[i], symbols[j], after[i] = merged[rank], -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             offer(before[i])
@@ -242,9 +258,12 @@ class Lexicon:
 # ---- on Spark --------------------------------------------------------------------------------
 
 
+PIECE = 4 << 20  # bytes of a lexicon's file that pass through the driver at once
+
+
 def frequent_words(docs: DataFrame, tokenizer_path: str, size: int, text_column: str = "text",
-                   longest: int = 40) -> list[bytes]:
-    """At most ``size`` words of up to ``longest`` bytes, the most frequent over all documents; equal counts stay together."""
+                   longest: int = 40) -> DataFrame:
+    """At most ``size`` words (word) of up to ``longest`` bytes, the most frequent over all documents; equal counts stay together."""
     small_batches(docs.sparkSession)
 
     def counted(batches):
@@ -253,11 +272,10 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, size: int, text_column:
         def rows():
             found = Counter()
             for unit, n in units.items():
-                for part in rules.special.split(unit):
-                    for word in rules.words(part):
-                        found[word] += n
+                for word in rules.parts(unit):
+                    found[word] += n
             units.clear()
-            kept = [(w, n) for w, n in found.items() if len(w.encode("utf-8", "surrogatepass")) <= longest]
+            kept = [(w, n) for w, n in found.items() if isinstance(w, str) and len(w.encode("utf-8", "surrogatepass")) <= longest]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()),
                                                pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
@@ -278,23 +296,34 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, size: int, text_column:
         if total > size:
             break
         least = row.step
-    top = counts.where(step >= least if least is not None else F.lit(False)).select("word")
-    return sorted(r.word.encode() for r in top.collect())
+    return counts.where(step >= least if least is not None else F.lit(False)).select("word")
 
 
-def publish_lexicon(spark: SparkSession, words: list[bytes], tokenizer_path: str) -> str:
+def publish_lexicon(spark: SparkSession, words: DataFrame, tokenizer_path: str) -> str:
     """Compile the words, put the file into the shared folder and have Spark hand it to every executor.
 
+    A task compiles them (they are bounded in number), the driver holds PIECE bytes of the file at a time.
     Returns its name for ``SparkFiles``; executors that start later fetch it too.
     """
-    rules = Merger(tokenizer_path)
-    content = compile_lexicon({w: rules.word_ids(w.decode()) for w in words})
+
+    def compiled(batches):
+        rules = Merger(tokenizer_path)
+        content = compile_lexicon({w.encode(): rules.word_ids(w) for batch in batches for w in batch.column(0).to_pylist()})
+        for at in range(0, len(content), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([content[at : at + PIECE]], pa.binary())],
+                                             names=["at", "piece"])
+
+    pieces = stage(words.repartition(1).mapInArrow(compiled, "at long, piece binary"))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "lexicon"), name)
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
     try:
-        out.write(bytearray(content))
+        starts = sorted(r.at for r in pieces.select("at").collect())
+        for at in starts:
+            out.write(bytearray(pieces.where(F.col("at") == at).first().piece))
+        if not starts:  # no task ran
+            out.write(bytearray(compile_lexicon({})))
     finally:
         out.close()
     spark.sparkContext.addFile(target.toString())
@@ -320,22 +349,19 @@ class WordEncoder:
         self.cache_bytes = cache_bytes
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
-        rules, parsed = self.rules, []
-        for unit in units:
-            parts, at = [], 0
-            if "<" in unit:
-                for m in rules.special.finditer(unit):
-                    parts += [*rules.words(unit[at : m.start()]), rules.specials[m.group()]]
-                    at = m.end()
-            parsed.append(parts + rules.words(unit[at:]))
+        rules = self.rules
+        parsed = list(map(rules.parts, units))
         names = list(set().union(*parsed))
         words = [w for w in names if isinstance(w, str)]
         ordinals = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in words])
         listed = ordinals >= 0
-        ids = {w: np.asarray([w], "<u4").tobytes() for w in names if not isinstance(w, str)}
+        ids = {w: struct.pack("<I", w) for w in names if not isinstance(w, str)}
         ids.update(zip((w for w, hit in zip(words, listed.tolist()) if hit), self.lexicon.ids(ordinals[listed])))
-        ids.update((w, np.asarray(rules.word_ids(w), "<u4").tobytes()) for w, hit in zip(words, listed.tolist()) if not hit)
-        return {unit: b"".join(map(ids.__getitem__, parts)) for unit, parts in zip(units, parsed)}
+        for w, hit in zip(words, listed.tolist()):
+            if not hit:
+                own = rules.word_ids(w)
+                ids[w] = struct.pack(f"<{len(own)}I", *own)
+        return {unit: ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts)) for unit, parts in zip(units, parsed)}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
@@ -368,14 +394,21 @@ class TokenDecoder:
     """Ids to the text of their tokens, with a space between them."""
 
     def __init__(self, tokens: dict[int, str]):
-        self.known = np.zeros(max(tokens) + 1, bool)
+        self.known = np.zeros(max(tokens) + 2, bool)  # the last one stands for all ids beyond
         self.known[list(tokens)] = True
-        self.token = [tokens.get(i) for i in range(len(self.known))]
+        self.token = pa.array([tokens.get(i) for i in range(len(self.known))], pa.string())
 
-    def __call__(self, raw: bytes | None) -> str:
-        ids = np.frombuffer(raw or b"", "<u4")
-        ids = ids[ids < len(self.known)]
-        return " ".join(map(self.token.__getitem__, ids[self.known[ids]].tolist()))
+    def __call__(self, raws: list[bytes | None]) -> pa.Array:
+        """The text of each row's ids (uint32, little-endian); those without a token are left out."""
+        parts = [np.frombuffer(raw or b"", "<u4") for raw in raws]
+        ids = np.concatenate([np.zeros(0, "<u4"), *parts])
+        ends = np.cumsum([0, *map(len, parts)])
+        known = self.known[np.minimum(ids, len(self.known) - 1)]
+        if not known.all():
+            ends = np.concatenate([[0], np.cumsum(known)])[ends]
+            ids = ids[known]
+        rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.token.take(pa.array(ids)))
+        return pc.binary_join(rows, " ")
 
 
 STEP_CHARS = 1 << 22  # characters of texts that are widened at a time
@@ -420,7 +453,7 @@ def encode_with(docs: DataFrame, tokenizer_path: str, lexicon: str, text_column:
         for batch in batches:
             for part in parts_of(batch, at):
                 ids = coder([t or "" for t in part.column(at).to_pylist()])
-                new = [pa.array(ids, pa.binary()), *([pa.array(map(back, ids), pa.string())] if decoded else [])]
+                new = [pa.array(ids, pa.binary()), *([back(ids)] if decoded else [])]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *added])
 
     return rest.mapInArrow(encoded, shape)
@@ -447,7 +480,6 @@ def decode(docs: DataFrame, tokenizer_path: str, ids_column: str = "ids", into:
         back = TokenDecoder(Merger(tokenizer_path).tokens)
         for batch in batches:
             for part in parts_of(batch, at):
-                texts = pa.array(map(back, part.column(at).to_pylist()), pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, into])
+                yield pa.RecordBatch.from_arrays([*part.columns, back(part.column(at).to_pylist())], names=[*part.schema.names, into])
 
     return rest.mapInArrow(decoded, shape)

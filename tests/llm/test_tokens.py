@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -62,6 +63,41 @@ def test_words_equal_the_library(word_bpe):
             assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
 
 
+def test_merging_asks_for_changed_pairs_only(word_bpe):
+    rules, asked = lexicon_bpe.Merger(word_bpe), []
+
+    class Counted(dict):
+        def get(self, *args):
+            asked.append(args[0])
+            return super().get(*args)
+
+    rules.merges = Counted(rules.merges)
+    words = ["internationalization", "antidisestablishment", "thththththththththththth", "qzxjkvwpqzxjkvwp", "a", "ab"]
+    library = Tokenizer.from_file(word_bpe)
+    for word in words:
+        asked.clear()
+        assert rules.word_ids(word) == library.encode(word, add_special_tokens=False).ids
+        assert len(asked) <= 3 * len(word)
+
+
+def test_lexicon_is_compiled_in_a_task(spark, word_bpe, monkeypatch):
+    rules = lexicon_bpe.Merger(word_bpe)
+    names = ["walking", "talking", "größer", "x"]
+    monkeypatch.setattr(lexicon_bpe, "PIECE", 100)  # several pieces
+    wanted = lexicon_bpe.compile_lexicon({w.encode(): rules.word_ids(w) for w in names})
+    for given, content in ((names, wanted), ([], lexicon_bpe.compile_lexicon({}))):
+        words = spark.createDataFrame([(w,) for w in given], "word string")
+        with open(SparkFiles.get(lexicon_bpe.publish_lexicon(spark, words, word_bpe)), "rb") as f:
+            assert f.read() == content
+
+
+def test_decoded_rows_leave_unknown_ids_out():
+    back = lexicon_bpe.TokenDecoder({0: "a", 2: "b</w>"})
+    raws = [np.asarray(x, "<u4").tobytes() for x in ([0, 2, 0], [], [1, 3, 2**32 - 1], [1, 2, 9, 0])]
+    assert back([*raws, None]).to_pylist() == ["a b</w> a", "", "", "b</w> a", ""]
+    assert back([]).to_pylist() == []
+
+
 def test_equal_suffixes_share_states():
     words = {w.encode(): [1] for w in ("walking", "talking", "walked", "talked")}
     arcs = np.frombuffer(lexicon_bpe.compile_lexicon(words), np.int64)[0]
